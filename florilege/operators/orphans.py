@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from florilege.functions.text import label, words_key
-from florilege.operators.skew import hot_threshold, split_join
+from florilege.operators.skew import HOT_LEAST, hot_threshold, split_join
 from florilege.session import stage
 
 EVENT_SCHEMA = "ref_key string, at timestamp_ntz, row_id bigint, d_active int, d_begun int, slot bigint, period int"
@@ -80,7 +80,7 @@ def _months(c: Column) -> Column:
 def advance(state: OrphanState, events: DataFrame) -> tuple[OrphanState, DataFrame]:
     """One step: events of a period (ref_key, at, row_id, d_active, d_begun, slot) onto the state.
 
-    Returns the new state and the orphans settled in this step (row_id, reason). At equal times
+    Returns the new state and the orphans settled in this step (ref_key, row_id, reason). At equal times
     parents arrive and leave before references probe.
     """
     sums = events.groupBy("ref_key", "slot").agg(F.sum("d_active").alias("a"), F.sum("d_begun").alias("b"), F.count("row_id").alias("refs"))
@@ -112,11 +112,19 @@ def advance(state: OrphanState, events: DataFrame) -> tuple[OrphanState, DataFra
         "orphans-index",
     )
     waiting = state.pending.unionByName(orphans.filter("not had_parent").select("ref_key", "row_id", "at"))
+    begun = index.filter("begun > 0").select("ref_key", "begun")
     rows = waiting.count()
-    hot = waiting.groupBy("ref_key").count().filter(F.col("count") >= hot_threshold(rows)).select("ref_key")
-    looked = split_join(waiting, index.filter("begun > 0").select("ref_key", "begun"), ["ref_key"], hot, "left")
+    if rows < HOT_LEAST:  # no key can be hot
+        looked = waiting.join(begun, "ref_key", "left")
+    else:
+        hot = waiting.groupBy("ref_key").count().filter(F.col("count") >= hot_threshold(rows)).select("ref_key")
+        looked = split_join(waiting, begun, ["ref_key"], hot, "left")
     looked = stage(looked, "orphans-waiting")
-    settled = orphans.filter("had_parent").select("row_id", F.lit("deleted").alias("reason")).unionByName(looked.filter("begun is not null").select("row_id", F.lit("late").alias("reason")))
+    settled = (
+        orphans.filter("had_parent")
+        .select("ref_key", "row_id", F.lit("deleted").alias("reason"))
+        .unionByName(looked.filter("begun is not null").select("ref_key", "row_id", F.lit("late").alias("reason")))
+    )
     return OrphanState(index, looked.filter("begun is null").select("ref_key", "row_id", "at")), settled
 
 
@@ -130,7 +138,7 @@ def with_slots(events: DataFrame, period_months: int) -> DataFrame:
 
 
 def find_orphans(refs: DataFrame, parents: DataFrame, *, period_months: int = PERIOD_MONTHS, on_step=None) -> DataFrame:
-    """All orphans of one reference relation: row_id and reason (missing, deleted or late).
+    """All orphans: ref_key, row_id and reason (missing, deleted or late).
 
     ``refs`` and ``parents`` come from reference_events and parent_events. The history is played
     through the state in steps of ``period_months``; ``on_step(period, state)`` sees each state.
@@ -144,7 +152,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame, *, period_months: int = PE
         found.append(settled)
         if on_step:
             on_step(period, state)
-    result = state.pending.select("row_id", F.lit("missing").alias("reason"))
+    result = state.pending.select("ref_key", "row_id", F.lit("missing").alias("reason"))
     for settled in found:
         result = result.unionByName(settled)
     return result
@@ -155,21 +163,57 @@ def words_or_null(c: Column) -> Column:
     return F.when(k != "", k)
 
 
+#: The reference relations of the plant tables; the letter before a key tells them apart in one state.
+RELATIONS = {"a": "plant_compounds", "b": "plant_compound_pair_tanimoto", "c": "plant_metadata"}
+
+
+def plant_events(compounds: DataFrame, metadata: DataFrame, pairs: DataFrame, species_list: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References and parents of the three relations: species on file, compounds on file, species on the list."""
+
+    def key(relation: str, value: Column) -> Column:
+        return F.concat(F.lit(relation + ":"), value)
+
+    species, known, wanted = words_or_null(F.col("species")), label(F.col("compound_id")), label(F.col("compound_id_a"))
+    refs = (
+        reference_events(compounds, key("a", species), F.col("occurrence_id"), F.col("retrieved_at"))
+        .unionByName(reference_events(pairs, key("b", wanted), F.col("pair_id"), F.col("computed_at")))
+        .unionByName(reference_events(metadata, key("c", species), F.col("metadata_id"), F.col("valid_from")))
+    )
+    parents = (
+        parent_events(metadata, key("a", species), F.col("valid_from"), F.col("withdrawn_at"))
+        .unionByName(parent_events(compounds, key("b", known), F.col("retrieved_at"), F.col("withdrawn_at")))
+        .unionByName(parent_events(species_list, key("c", species), _ts(_BEFORE), F.lit(None)))
+    )
+    return refs, parents
+
+
 def plant_orphans(compounds: DataFrame, metadata: DataFrame, pairs: DataFrame, species_list: DataFrame, *, period_months: int = PERIOD_MONTHS) -> DataFrame:
-    """Orphans of the three relations: ref_table, row_id, reason, month of the reference."""
-    col = F.col
-    a_refs = reference_events(compounds, words_or_null(col("species")), col("occurrence_id"), col("retrieved_at"))
-    a = find_orphans(a_refs, parent_events(metadata, words_or_null(col("species")), col("valid_from"), col("withdrawn_at")), period_months=period_months)
-    b_refs = reference_events(pairs, label(col("compound_id_a")), col("pair_id"), col("computed_at"))
-    b = find_orphans(b_refs, parent_events(compounds, label(col("compound_id")), col("retrieved_at"), col("withdrawn_at")), period_months=period_months)
-    c_refs = reference_events(metadata, words_or_null(col("species")), col("metadata_id"), F.lit(None))
-    always = _ts(_BEFORE)
-    c = find_orphans(c_refs, parent_events(species_list, words_or_null(col("species")), always, F.lit(None)), period_months=period_months)
-    tagged = [(a, "plant_compounds"), (b, "plant_compound_pair_tanimoto"), (c, "plant_metadata")]
-    out = None
-    for part, name in tagged:
-        part = part.select(F.lit(name).alias("ref_table"), "row_id", "reason")
-        out = part if out is None else out.unionByName(part)
+    """Orphans of the three relations: ref_table, row_id, reason.
+
+    A species without words and a blank compound id refer to nothing and are no orphans.
+    """
+    found = find_orphans(*plant_events(compounds, metadata, pairs, species_list), period_months=period_months)
+    table = F.substring("ref_key", 1, 1)
+    name = F.lit(None).cast("string")
+    for letter, title in RELATIONS.items():
+        name = F.when(table == letter, title).otherwise(name)
+    return found.select(name.alias("ref_table"), "row_id", "reason")
+
+
+def orphan_snapshots(compounds: DataFrame, metadata: DataFrame, pairs: DataFrame, species_list: DataFrame, *, period_months: int = PERIOD_MONTHS) -> DataFrame:
+    """After each period: per relation, keys on file, keys whose parents are all gone, and references still waiting for a parent."""
+    shots: list[DataFrame] = []
+
+    def keep(period: int, state: OrphanState) -> None:
+        letter = F.substring("ref_key", 1, 1).alias("relation")
+        keys = state.index.groupBy(letter).agg(F.count_if(F.col("active") > 0).alias("keys_on_file"), F.count_if((F.col("active") <= 0) & (F.col("begun") > 0)).alias("keys_gone"))
+        waiting = state.pending.groupBy(letter).agg(F.count(F.lit(1)).alias("refs_waiting"))
+        shots.append(keys.join(waiting, "relation", "left").select(F.lit(period).alias("period"), "relation", "keys_on_file", "keys_gone", F.coalesce("refs_waiting", F.lit(0)).alias("refs_waiting")))
+
+    find_orphans(*plant_events(compounds, metadata, pairs, species_list), period_months=period_months, on_step=keep)
+    out = shots[0] if shots else compounds.sparkSession.createDataFrame([], "period int, relation string, keys_on_file bigint, keys_gone bigint, refs_waiting bigint")
+    for shot in shots[1:]:
+        out = out.unionByName(shot)
     return out
 
 

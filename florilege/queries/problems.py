@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florilege.operators.orphans import orphan_counts, plant_orphans
+from florilege.operators.orphans import orphan_counts, orphan_snapshots, plant_orphans
 from florilege.operators.tree_aggregate import TIERS, species_profile
 from florilege.session import stage, table
 from florilege.sources.peak_lines import broken_lines, loaded_peaks, rejected_lines
@@ -27,6 +27,10 @@ def p3_counts(spark, d):
     return orphan_counts(orphans, *(table(spark, d, t) for t in ("plant_compounds", "plant_metadata", "plant_compound_pair_tanimoto")))
 
 
+def p3_snapshots(spark, d):
+    return orphan_snapshots(*(table(spark, d, t) for t in ("plant_compounds", "plant_metadata", "plant_compound_pair_tanimoto", "plant_list")))
+
+
 def p4_found(spark, d):
     return broken_lines(table(spark, d, "standard_data_raw"))
 
@@ -90,6 +94,7 @@ QUERIES = {
     "p1_species_profile": p1_species_profile,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
+    "p3_snapshots": p3_snapshots,
     "p4_found": p4_found,
     "p4_loaded": p4_loaded,
     "p4_rejected": p4_rejected,
