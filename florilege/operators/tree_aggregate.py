@@ -67,6 +67,20 @@ def tree_aggregate(df: DataFrame, keys: dict[str, Column], states: list[State],
     return merge_rounds(numbered, list(keys), states, nodes, fan_in)
 
 
+def _species_states() -> list[State]:
+    tier = F.coalesce(label(F.col("evidence_tier")), F.lit(""))
+    one = lambda cond: cond.cast("long")
+    tallies = [State(f"n_tier_{i + 1}", one(tier == t)) for i, t in enumerate(TIERS)] + [State("n_tier_other", one(~tier.isin(*TIERS)))]
+    times = [State("first_retrieved_at", F.col("retrieved_at"), "min"), State("last_retrieved_at", F.col("retrieved_at"), "max")]
+    return [State("n_rows", F.lit(1).cast("long")), *tallies, *times]
+
+
+def species_compounds(compounds: DataFrame, *, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+    """Per species and compound (same words each): rows, tier tallies, first and last retrieval."""
+    keys = {"species_key": words_key(F.col("species")), "compound_key": words_key(F.col("compound_name"))}
+    return tree_aggregate(compounds, keys, _species_states(), chunk_rows=chunk_rows, fan_in=fan_in)
+
+
 def species_profile(compounds: DataFrame, *, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Per species (same words): rows, distinct compounds, tier tallies, first and last retrieval.
 
@@ -75,17 +89,8 @@ def species_profile(compounds: DataFrame, *, chunk_rows: int = CHUNK_ROWS, fan_i
     one task's work. Rows whose species has no words form the group ''; compounds without words do
     not count as compounds.
     """
-    tier = F.coalesce(label(F.col("evidence_tier")), F.lit(""))
-    one = lambda cond: cond.cast("long")
-    tallies = [State(f"n_tier_{i + 1}", one(tier == t)) for i, t in enumerate(TIERS)] + [State("n_tier_other", one(~tier.isin(*TIERS)))]
-    times = [State("first_retrieved_at", F.col("retrieved_at"), "min"), State("last_retrieved_at", F.col("retrieved_at"), "max")]
-    states = [State("n_rows", F.lit(1).cast("long")), *tallies, *times]
-    rows = compounds.count()
-    keyed = compounds.select(
-        words_key(F.col("species")).alias("species_key"), words_key(F.col("compound_name")).alias("compound_key"), *[s.value.alias(s.name) for s in states]
-    )
-    numbered, nodes = chunk_nodes(keyed, rows, chunk_rows)
-    pairs = merge_rounds(numbered, ["species_key", "compound_key"], states, nodes, fan_in)
-    buckets = max(1, math.ceil(rows / chunk_rows))
+    states = _species_states()
+    pairs = species_compounds(compounds, chunk_rows=chunk_rows, fan_in=fan_in)
+    buckets = max(1, math.ceil(compounds.count() / chunk_rows))
     pairs = pairs.withColumn("n_compounds", (F.col("compound_key") != "").cast("long")).withColumn(_NODE, F.pmod(F.xxhash64("compound_key"), F.lit(buckets)))
     return merge_rounds(pairs.drop("compound_key"), ["species_key"], [State("n_compounds", F.lit(0)), *states], buckets, fan_in)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from florilege.operators.orphans import orphan_counts, orphan_snapshots, plant_orphans
-from florilege.operators.tree_aggregate import TIERS, species_profile
+from florilege.operators.tree_aggregate import TIERS, species_compounds, species_profile
 from florilege.session import stage, table
 from florilege.sources.peak_lines import broken_lines, loaded_peaks, rejected_lines
 
@@ -14,6 +14,10 @@ def words_sql(column: str) -> str:
     return WORDS_SQL.format(column)
 
 
+def p1_species_compounds(spark, d):
+    return species_compounds(table(spark, d, "plant_compounds"))
+
+
 def p1_species_profile(spark, d):
     return species_profile(table(spark, d, "plant_compounds"))
 
@@ -44,13 +48,13 @@ def p4_rejected(spark, d):
 
 
 _TIER = "coalesce(lower(trim(evidence_tier)), '')"
-_P1_SQL = f"""
+_P1_ROWS = f"""
 WITH r AS (SELECT {words_sql("species")} AS species_key, {words_sql("compound_name")} AS compound_key, {_TIER} AS tier, retrieved_at FROM plant_compounds)
-SELECT species_key, count(DISTINCT nullif(compound_key, '')) AS n_compounds, count(*) AS n_rows,
+"""
+_P1_STATES = f"""count(*) AS n_rows,
   {", ".join(f"count(*) FILTER (tier = '{t}') AS n_tier_{i + 1}" for i, t in enumerate(TIERS))},
   count(*) FILTER (tier NOT IN ({", ".join(f"'{t}'" for t in TIERS)})) AS n_tier_other,
-  min(retrieved_at) AS first_retrieved_at, max(retrieved_at) AS last_retrieved_at
-FROM r GROUP BY species_key"""
+  min(retrieved_at) AS first_retrieved_at, max(retrieved_at) AS last_retrieved_at"""
 
 _P3_SQL = f"""
 WITH ma AS (SELECT {words_sql("species")} AS k, valid_from AS b, withdrawn_at AS e FROM plant_metadata),
@@ -91,6 +95,7 @@ r AS (SELECT line_id, v, CASE WHEN NOT fits THEN 'quoting' WHEN n <> 8 THEN 'col
 _P4_NUMBER = "CAST(ltrim(nullif(v[{0}], ''), '+') AS DOUBLE) AS {1}"
 
 QUERIES = {
+    "p1_species_compounds": p1_species_compounds,
     "p1_species_profile": p1_species_profile,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
@@ -101,7 +106,8 @@ QUERIES = {
 }
 
 ORACLES = {
-    "p1_species_profile": _P1_SQL,
+    "p1_species_compounds": _P1_ROWS + f"SELECT species_key, compound_key, {_P1_STATES} FROM r GROUP BY species_key, compound_key",
+    "p1_species_profile": _P1_ROWS + f"SELECT species_key, count(DISTINCT nullif(compound_key, '')) AS n_compounds, {_P1_STATES} FROM r GROUP BY species_key",
     "p3_found": _P3_SQL + "SELECT * FROM found",
     "p3_counts": _P3_SQL
     + """, times AS (SELECT 'plant_compounds' AS ref_table, occurrence_id AS row_id, retrieved_at AS at_time FROM plant_compounds
