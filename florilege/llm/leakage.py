@@ -1,6 +1,7 @@
 """Held-out evaluation texts that appear in a training corpus.
 
-The items form a BM25 inverted index with block-max postings. Every passage of every document is a
+The items form a BM25 inverted index with block-max postings; its terms are runs of TERM_WORDS words,
+which texts of the same field seldom share by chance. Every passage of every document is a
 query, answered by block-max WAND: all items whose score reaches the item's own threshold come back.
 The threshold is the smallest score that any run of MIN_RUN consecutive words of the item gives, so
 no passage that holds such a run is missed. What comes back is verified word by word.
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_RUN = 12
+#: Words of an index term.
+TERM_WORDS = 3
 #: Words of a passage; neighbouring passages share MIN_RUN - 1 words, so that no run is cut.
 PASSAGE_WORDS = 48
 BLOCK = 8
@@ -30,7 +33,14 @@ _END = 1 << 62
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text or "")]
+    text = text or ""
+    if "\u0130" in text or "\u03a3" in text:  # letters whose lower case depends on where a word ends
+        return [w.lower() for w in _WORD.findall(text)]
+    return _WORD.findall(text.lower())
+
+
+def terms_of(words: list[str] | tuple[str, ...]) -> list[tuple[str, ...]]:
+    return list(zip(*(words[k:] for k in range(TERM_WORDS)), strict=False))
 
 
 @dataclass
@@ -52,22 +62,22 @@ class ItemIndex:
         self.ids = [i for i, _ in texts]
         self.runs = [{tuple(w[k : k + MIN_RUN]) for k in range(len(w) - MIN_RUN + 1)} for _, w in texts]
         n = len(texts)
-        df = Counter(t for _, w in texts for t in set(w))
+        df = Counter(t for _, w in texts for t in set(terms_of(w)))
         mean = sum(len(w) for _, w in texts) / n if n else 1
-        lists: dict[str, list[tuple[int, float]]] = {}
+        lists: dict[tuple[str, ...], list[tuple[int, float]]] = {}
         for at, (_, w) in enumerate(texts):
             impact = {}
-            for term, tf in Counter(w).items():
+            for term, tf in Counter(terms_of(w)).items():
                 idf = math.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
                 impact[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-            least = min(sum(impact[t] for t in set(run)) for run in self.runs[at])
+            least = min(sum(impact[t] for t in set(terms_of(run))) for run in self.runs[at])
             for term, x in impact.items():
                 lists.setdefault(term, []).append((at, x / least))
         self.terms = {
             t: Posting([i for i, _ in p], [x for _, x in p], [max(x for _, x in p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)], max(x for _, x in p)) for t, p in lists.items()
         }
 
-    def search(self, terms: set[str], threshold: float = 1 - 1e-9) -> list[int]:
+    def search(self, terms: set[tuple[str, ...]], threshold: float = 1 - 1e-9) -> list[int]:
         """Positions of all items that score at least the threshold for these terms: block-max WAND."""
         cursors = [[0, p] for t in terms if (p := self.terms.get(t))]
         if sum(p.most for _, p in cursors) < threshold:
@@ -117,13 +127,17 @@ class ItemIndex:
     def leaks(self, text: str | None) -> list[int]:
         """Identifiers of the items of which a run of MIN_RUN words stands in the text."""
         words = words_of(text)
+        grams = terms_of(words)
         known = self.terms
+        hits = {g for g in grams if g in known}
+        if sum(known[g].most for g in hits) < 1 - 1e-9:  # no passage can reach a threshold
+            return []
         out: set[int] = set()
         for begin in range(0, max(1, len(words) - MIN_RUN + 1), PASSAGE_WORDS - MIN_RUN + 1):
             passage = words[begin : begin + PASSAGE_WORDS]
             if len(passage) < MIN_RUN:
                 break
-            terms = {w for w in passage if w in known}
+            terms = hits.intersection(grams[begin : begin + PASSAGE_WORDS - TERM_WORDS + 1])
             for at in self.search(terms):
                 if self.ids[at] not in out and any(tuple(passage[k : k + MIN_RUN]) in self.runs[at] for k in range(len(passage) - MIN_RUN + 1)):
                     out.add(self.ids[at])
