@@ -18,12 +18,14 @@ GREEK = {
     "ρ": "rho", "σ": "sigma", "ς": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega",
 }
 
+#: The white space of Unicode.
+SPACES = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD_PATTERN = r"[^\p{L}\p{Nd}]+"
 
 
 def squish(c: Column) -> Column:
     """White space collapsed to single spaces, outer white space removed."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"[\s\pZ]+", " "))
 
 
 def non_empty(c: Column) -> Column:
@@ -61,7 +63,7 @@ def key_value(c: Column) -> Column:
 
 def label(c: Column) -> Column:
     """A label compared without case and outer spaces; null when blank."""
-    s = F.lower(F.trim(c))
+    s = F.lower(F.btrim(c, F.lit(SPACES)))
     return F.when(s != "", s)
 
 
