@@ -169,10 +169,8 @@ def property_name(c: Column) -> Column:
 def unit_name(c: Column) -> Column:
     """The standard spelling of a unit; unknown units stay as they are, without degree signs."""
     cleaned = squish(F.replace(c, F.lit("°"), F.lit("")))
-    low, out = F.lower(cleaned), cleaned
-    for name, spellings in UNIT_SPELLINGS.items():
-        out = F.when(low.isin(*spellings), F.lit(name)).otherwise(out)
-    return F.when(cleaned != "", out)
+    named = lookup(F.lower(cleaned), {x: name for name, spellings in UNIT_SPELLINGS.items() for x in spellings})
+    return F.when(cleaned != "", F.coalesce(named, cleaned))
 
 
 def measurement_value(c: Column) -> Column:
@@ -208,28 +206,23 @@ def value_relation(c: Column) -> Column:
 
 
 def measurement_class(prop: Column) -> Column:
-    out = F.when(prop.rlike("count$"), "count").otherwise("measurement")
-    for name, members in CLASS_OF.items():
-        out = F.when(prop.isin(*members), name).otherwise(out)
-    return out
+    named = lookup(prop, {p: kind for kind, members in CLASS_OF.items() for p in members})
+    return F.coalesce(named, F.when(prop.rlike("count$"), "count").otherwise("measurement"))
 
 
 def standard_value(prop: Column, value: Column, unit: Column) -> Column:
     """The value in the standard unit of its class."""
-    kind, out = measurement_class(prop), value
-    for name, (_, factors) in CONVERSIONS.items():
-        for u, factor in factors.items():
-            out = F.when((kind == name) & (unit == u), value * factor).otherwise(out)
+    kind = measurement_class(prop)
+    factors = F.create_map(*[F.lit(x) for k, (_, units) in CONVERSIONS.items() for u, factor in units.items() for x in (f"{k}|{u}", factor)])
+    scaled = value * F.coalesce(factors[F.concat_ws("|", kind, unit)], F.lit(1.0))
     degrees = F.when(unit == "F", F.round((value - 32) * 5 / 9, 4)).when(unit == "K", F.round(value - 273.15, 4)).otherwise(value)
-    return F.when(kind == "temperature", degrees).otherwise(out)
+    return F.when(kind == "temperature", degrees).otherwise(scaled)
 
 
 def standard_unit(prop: Column, value: Column, unit: Column) -> Column:
-    kind, out = measurement_class(prop), unit
-    for name, (u, _) in CONVERSIONS.items():
-        out = F.when(kind == name, u).otherwise(out)
-    out = F.when(kind == "temperature", "C").when(kind == "mass", "Da").when(prop == "tpsa", "A^2").when(prop.rlike("count$|charge"), "count").otherwise(out)
-    return F.when(value.isNotNull(), out)
+    units = {k: u for k, (u, _) in CONVERSIONS.items()} | {"temperature": "C", "mass": "Da"}
+    special = F.when(prop == "tpsa", "A^2").when(prop.rlike("count$|charge"), "count")
+    return F.when(value.isNotNull(), F.coalesce(special, lookup(measurement_class(prop), units), unit))
 
 
 #: Property -> (limits with bins, last bin, whether limits are included).
