@@ -134,14 +134,9 @@ def measurements_standard(spark, d):
     """Units, ranges, relations and bins of measurement texts made of peaks."""
     units = F.element_at(F.array(*[F.lit(u) for u in ("deg F", "K", "°C", "g/cm3", "kg m-3", "g/L", "torr", "kPa", "ug/kg")]), (F.col("peak_id") % 9 + 1).cast("int"))
     props = F.element_at(F.array(*[F.lit(p) for p in ("Boiling Point", "melting point", "Flash Point", "Density", "density", "Water solubility", "Vapour pressure", "vapor pressure", "ld50")]), (F.col("peak_id") % 9 + 1).cast("int"))
-    value, prop, unit = F.col("base_peak_mz"), rules.property_name(props), rules.unit_name(units)
-    std = rules.standard_value(prop, value, unit)
     text = F.concat(F.lit("about "), F.col("base_peak_mz").cast("int").cast("string"), F.when(F.col("peak_id") % 2 == 0, F.lit(" to 900")).otherwise(""))
-    low, high = rules.range_bounds(text)
-    return table(spark, d, "standard_data").select(
-        "peak_id", prop.alias("property"), unit.alias("unit"), F.round(std, 6).alias("standard_value"), rules.standard_unit(prop, value, unit).alias("standard_unit"), rules.measurement_class(prop).alias("kind"),
-        rules.behavior_bin(prop, std).alias("bin"), rules.value_relation(text).alias("relation"), low.alias("low"), high.alias("high"),
-    )
+    out = rules.standardize_measurements(table(spark, d, "standard_data").select("peak_id", "base_peak_mz"), props, F.col("base_peak_mz"), units, text)
+    return out.drop("base_peak_mz").withColumn("standard_value", F.round("standard_value", 6))
 
 
 def hazard_classes(spark, d):
