@@ -310,6 +310,7 @@ def match_rows(named: DataFrame, library: DataFrame) -> DataFrame:
 
 def match_by_join(named: DataFrame, library: DataFrame) -> DataFrame:
     """The same for lists of any size: delete keys of distinct values and of list names meet in a shuffle join."""
+    named = named.select("src_table", "row_id", "name")
     names = library.select(
         F.col("library_id").cast("bigint").alias("library_id"), F.explode(F.split(F.concat_ws(";", "compound", "also_called"), ";")).alias("list_name")
     )

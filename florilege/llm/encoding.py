@@ -123,39 +123,45 @@ def _is_cyrillic(c: str) -> bool:
     return "Ѐ" <= c <= "џ"
 
 
+#: Rounds of undoing; each undoes one layer in one encoding.
+_ROUNDS = 8
 _HIGH_RUN = re.compile(r"[^\x00-\x7f]{2,}")
 
 
+def _spans(text: str, name: str) -> tuple[int, list[tuple[int, int, str]]]:
+    """(characters covered by spans that fit, the spans to decode) of a text for one encoding."""
+    pattern, table = automaton(name)
+    found = []
+    for m in pattern.finditer(text):
+        decoded = bytes(table[c] for c in m.group()).decode("utf-8")
+        found.append((m.start(), m.end(), decoded, _fits(text, m.start(), m.end(), decoded)))
+    covered = sum(end - begin for begin, end, _, ok in found if ok)
+    cyrillic = any(ok and any(map(_is_cyrillic, d)) for *_, d, ok in found)
+    return covered, [(b, e, d) for b, e, d, ok in found if ok or cyrillic and len(d) == 1 and _is_cyrillic(d)]
+
+
 def restore_multibyte(text: str) -> tuple[str, list[str]]:
-    """Decode the maximal well-formed multibyte spans; the encodings that the text had been read as."""
+    """Decode the maximal well-formed multibyte spans; the encodings that the text had been read as.
+
+    In each round the encoding whose spans cover the most characters is undone, in all places.
+    """
     used: list[str] = []
-    for _ in range(4):
-        changed = False
-        for name in MULTIBYTE_READ_AS:
-            pattern, table = automaton(name)
-            runs = "\n".join(_HIGH_RUN.findall(text))
-            if not runs:
-                return text, used
-            if not pattern.search(runs):
-                continue
-            spans = []
-            for m in pattern.finditer(text):
-                decoded = bytes(table[c] for c in m.group()).decode("utf-8")
-                spans.append((m.start(), m.end(), decoded, _fits(text, m.start(), m.end(), decoded)))
-            if not any(ok for *_, ok in spans):
-                continue
-            cyrillic = any(ok and any(map(_is_cyrillic, d)) for *_, d, ok in spans)
-            parts, at = [], 0
-            for begin, end, decoded, ok in spans:
-                if ok or cyrillic and len(decoded) == 1 and _is_cyrillic(decoded):
-                    parts += [text[at:begin], decoded]
-                    at = end
-            text = "".join([*parts, text[at:]])
-            changed = True
-            if name not in used:
-                used.append(name)
-        if not changed:
+    for _ in range(_ROUNDS):
+        runs = "\n".join(_HIGH_RUN.findall(text))
+        if not runs:
+            break
+        options = [(_spans(text, name), name) for name in MULTIBYTE_READ_AS if automaton(name)[0].search(runs)]
+        options = [x for x in options if x[0][0]]
+        if not options:
             break
+        (_, spans), name = max(options, key=lambda x: x[0][0])  # the first of those that cover as much
+        parts, at = [], 0
+        for begin, end, decoded in spans:
+            parts += [text[at:begin], decoded]
+            at = end
+        text = "".join([*parts, text[at:]])
+        if name not in used:
+            used.append(name)
     return text, used
 
 

@@ -91,7 +91,8 @@ def demand(t: float, plan: SourcePlan) -> float:
 def position(filled: Column, tilt: Column) -> Column:
     """The time at which the demand reaches a part of what is wanted: the demand's inverse."""
     u = F.least(F.greatest(filled, F.lit(0.0)), F.lit(1.0))
-    return 2 * u / ((1 - tilt) + F.sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * u))
+    root = F.sqrt(F.greatest((1 - tilt) * (1 - tilt) + 4 * tilt * u, F.lit(0.0)))
+    return F.coalesce(F.try_divide(2 * u, (1 - tilt) + root), F.lit(0.0))
 
 
 def _starts(sized: DataFrame, buckets: int) -> DataFrame:
