@@ -132,13 +132,13 @@ def calibration_models(calibration: DataFrame) -> DataFrame:
     )
     models = F.array(*[F.struct(F.lit(m).alias("model"), *[F.col(f"{k}_{m}").alias(k) for k in ("slope", "intercept", "r2")]) for m in x])
     flat = row.select("n", F.explode(models).alias("m")).select("n", "m.*")
-    return flat.withColumn("adjusted_r2", 1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 2))
+    return flat.withColumn("adjusted_r2", 1 - F.try_divide((1 - F.col("r2")) * (F.col("n") - 1), F.col("n") - 2))
 
 
 def external_standard(areas: DataFrame, calibration: DataFrame) -> DataFrame:
     """Areas turned into ng by the inverse of the best of the three fits; 0 and null areas stay null."""
     best = calibration_models(calibration).orderBy(F.col("adjusted_r2").desc_nulls_last(), "model").limit(1).select("model", "slope", "intercept")
-    z = (F.col("area") - F.col("intercept")) / F.col("slope")
+    z = F.try_divide(F.col("area") - F.col("intercept"), F.col("slope"))
     amount = F.when(F.col("model") == "log", F.exp(z)).when(F.col("model") == "exponent", F.when(z > 0, F.ln(z))).otherwise(z)
     return areas.crossJoin(F.broadcast(best)).select("compound", "file_name", "area", "model", F.when(F.col("area") != 0, amount).alias("amount"))  # one row
 
