@@ -265,7 +265,25 @@ def standardize_measurements(df: DataFrame, prop: Column, value: Column, unit: C
 
 # --- annotation classifiers ----------------------------------------------------------------------
 
-#: Pathway groups, first pattern wins.
+#: Pathway groups, the first pattern found wins.
+PATHWAY_RULES = (
+    ("glycolysis|gluconeogenesis|pentose|starch|sucrose|galactose|fructose|mannose|carbohydrate", "Carbohydrate metabolism"),
+    ("lipid|fatty acid|arachidonic|glycerolipid|glycerophospholipid|sphingolipid|steroid|bile", "Lipid metabolism"),
+    ("amino acid|alanine|aspartate|glutamate|lysine|tryptophan|tyrosine|phenylalanine|histidine|arginine|proline|glycine|serine|threonine|cysteine|methionine|valine|leucine|isoleucine", "Amino acid metabolism"),
+    ("carbon fixation|methane|nitrogen|sulfur|oxidative phosphorylation", "Energy metabolism"),
+    ("purine|pyrimidine|nucleotide", "Nucleotide metabolism"),
+    ("cofactor|vitamin|porphyrin|folate|nicotinate|riboflavin|biotin|lipoic", "Cofactor and vitamin metabolism"),
+    ("secondary metabolite|terpenoid|polyketide|phenylpropanoid|flavonoid|alkaloid", "Secondary metabolism"),
+    ("xenobiotic|drug|cytochrome p450|dioxin|chloro|toluene|benzoate|polycyclic|ddt", "Xenobiotic metabolism"),
+    ("signaling|hormone|neuroactive|synapse|inflammation", "Signaling and regulation"),
+)
+#: Terms looked for in label and flavour texts.
+DESCRIPTOR_TERMS = tuple("citrus lemon orange lime floral rose green herbal mint pine woody earthy fruity berry apple banana sweet bitter sour fatty waxy spicy pepper smoky nutty almond vanilla phenolic sulfurous alliaceous camphor terpene fresh".split())
+ROUTE_TERMS = tuple("oral intravenous topical inhalation subcutaneous intramuscular ophthalmic nasal transdermal rectal sublingual buccal intradermal epidural".split())
+DOSAGE_TERMS = tuple("tablet capsule solution suspension injection cream ointment gel patch spray powder suppository syrup".split())
+NP_CLASS_TERMS = tuple("alkaloid terpenoid terpene monoterpene sesquiterpene diterpene triterpene flavonoid phenylpropanoid polyketide peptide lipid steroid saponin coumarin lignan tannin".split())
+WARNING_TERMS = ("contraindication", "adverse reaction", "boxed warning", "warning", "precaution", "interaction", "overdosage", "pregnancy", "carcinogenesis", "hypersensitivity")
+#: Activity directions and domains, the first pattern found wins.
 DIRECTION_RULES = (
     ("antagonist|inhibit|blocker|blockade", "inhibitor"), ("agonist", "agonist"), ("activator|activation|stimulat", "activator"), ("binding|binds?", "binding"),
     ("cytotoxic|toxicity|dead cells|viability|growth inhibition", "cell_viability"), ("substrate", "substrate"),
@@ -284,7 +302,7 @@ ORGANISM_RULES = ((r"\bhuman\b|\bhek\b|\bhela\b|\bnci-", "human"), (r"\bmouse\b|
 TARGET_ORGANS = ("eye", "skin", "respiratory tract", "liver", "kidney", "central nervous system", "blood", "heart", "lung", "reproductive system")
 TEST_SPECIES = ("rat", "mouse", "rabbit", "human", "fish", "daphnia", "dog")
 #: Enzyme classes by the first digit of an EC number.
-EC_CLASSES = {"1": "oxidoreductase", "2": "transferase", "3": "hydrolase", "4": "lyase", "5": "isomerase", "6": "ligase", "7": "translocase"}
+EC_CLASSES = {"1": "Oxidoreductases", "2": "Transferases", "3": "Hydrolases", "4": "Lyases", "5": "Isomerases", "6": "Ligases", "7": "Translocases"}
 #: Groups of descriptor trees by their first letter.
 TREE_GROUPS = {
     "A": "Anatomy", "B": "Organisms", "C": "Diseases", "D": "Chemicals and Drugs", "E": "Analytical Diagnostic and Therapeutic Techniques", "F": "Psychiatry and Psychology",
@@ -319,6 +337,18 @@ def found_terms(text: Column, terms: Iterable[str]) -> Column:
     return F.when(F.size(hits) > 0, F.array_join(hits, "; "))
 
 
+def pathway_group(name: Column) -> Column:
+    return F.when(non_empty(name).isNotNull(), ordered(name, PATHWAY_RULES, F.lit("Other KEGG pathway")))
+
+
+def enzyme_class(ec: Column) -> Column:
+    return lookup(F.regexp_extract(ec, r"^([0-9]+)\.", 1), EC_CLASSES)
+
+
+def tree_group(tree_number: Column) -> Column:
+    return lookup(F.upper(F.substring(F.trim(tree_number), 1, 1)), TREE_GROUPS)
+
+
 def activity_class(outcome: Column, supplied: Column) -> Column:
     o, given = F.lower(squish(outcome)), non_empty(supplied)
     by_outcome = (

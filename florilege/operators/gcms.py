@@ -48,8 +48,8 @@ def peak_matrix(peaks: DataFrame, row: str, column: str, columns: list[str], val
 
 def fit_retention(peaks: DataFrame) -> DataFrame:
     """One row: slope and intercept of RT over exact mass, over confident peaks of known mass."""
-    best = peaks.agg(F.max("match_factor").alias("best"))
-    used = peaks.join(F.broadcast(best), F.col("match_factor") > F.col("best") - MATCH_BAND).filter(~F.col("mass").isin(*NO_MASS))
+    best = peaks.agg(F.max("match_factor")).first()[0]
+    used = peaks.filter((F.col("match_factor") > (best - MATCH_BAND if best is not None else 0.0)) & ~F.col("mass").isin(*NO_MASS))
     return used.agg(
         F.count(F.lit(1)).alias("n_peaks"),
         F.regr_slope(F.col("component_rt"), F.col("mass")).alias("slope"),
@@ -69,12 +69,11 @@ def extract_targets(peaks: DataFrame, targets: DataFrame, *, decontaminate: bool
     in samples without an exact area, within RT_BAND of the best tentative RT, and each goes to the
     lightest target that takes it. Targets without mass come last and are dropped when decontaminating.
     """
-    fit = fit_retention(peaks)
+    fit = fit_retention(peaks).first()
     order = Window.orderBy(F.coalesce("mass", F.lit(999.999)), "compound")  # one row per target: a small, bounded table
     ordered = (
-        targets.crossJoin(F.broadcast(fit.select("slope", "intercept")))  # one row
-        .withColumn("target_mass", F.coalesce("mass", F.lit(999.999)))
-        .withColumn("predicted_rt", F.col("target_mass") * F.col("slope") + F.col("intercept"))
+        targets.withColumn("target_mass", F.coalesce("mass", F.lit(999.999)))
+        .withColumn("predicted_rt", F.col("target_mass") * F.lit(fit["slope"]).cast("double") + F.lit(fit["intercept"]).cast("double"))
         .withColumn("limit_rt", F.coalesce(F.lead("predicted_rt").over(order), F.col("predicted_rt")))
         .withColumn("place", F.row_number().over(order))
         .select("compound", "target_mass", "place", "limit_rt", "names", F.col("mz").alias("target_mz"))
@@ -137,10 +136,10 @@ def calibration_models(calibration: DataFrame) -> DataFrame:
 
 def external_standard(areas: DataFrame, calibration: DataFrame) -> DataFrame:
     """Areas turned into ng by the inverse of the best of the three fits; 0 and null areas stay null."""
-    best = calibration_models(calibration).orderBy(F.col("adjusted_r2").desc_nulls_last(), "model").limit(1).select("model", "slope", "intercept")
-    z = F.try_divide(F.col("area") - F.col("intercept"), F.col("slope"))
-    amount = F.when(F.col("model") == "log", F.exp(z)).when(F.col("model") == "exponent", F.when(z > 0, F.ln(z))).otherwise(z)
-    return areas.crossJoin(F.broadcast(best)).select("compound", "file_name", "area", "model", F.when(F.col("area") != 0, amount).alias("amount"))  # one row
+    best = calibration_models(calibration).orderBy(F.col("adjusted_r2").desc_nulls_last(), "model").first()  # of three
+    z = F.try_divide(F.col("area") - F.lit(best["intercept"]).cast("double"), F.lit(best["slope"]).cast("double"))
+    amount = {"log": F.exp(z), "exponent": F.when(z > 0, F.ln(z)), "linear": z}[best["model"]]
+    return areas.select("compound", "file_name", "area", F.lit(best["model"]).alias("model"), F.when(F.col("area") != 0, amount).alias("amount"))
 
 
 def library_lists(library: DataFrame, kind: str, compound: str) -> DataFrame:

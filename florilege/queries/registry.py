@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("problems", "gcms", "traits", "similarity", "evidence", "providers")
+_MODULES = ("problems", "gcms", "traits", "similarity", "evidence", "providers", "context")
 
 
 def queries() -> dict:

@@ -173,3 +173,39 @@ def test_orphan_stream(spark, tmp_path):
     spark.createDataFrame([("k", datetime(2024, 2, 1), None, 1, 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
     stream.start(source(), str(tmp_path / "cp")).awaitTermination()
     assert seen == [(1, "late")] and stream.state.pending.count() == 0
+
+
+def test_context_vectors(spark):
+    from florilege.operators import context
+
+    parts = {None: "unknown", "root exudate": "exudate_rhizosphere", "root and leaf": "root_belowground", "foliar tissue": "leaf", "stem": "stem_shoot", "bark": "bark_wood", "flower": "flower", "seedling seed": "whole_plant", "seed": "fruit_seed", "aerial tissue": "aerial", "whole plant": "whole_plant", "vascular tissue": "vascular", "secretory gland": "secretory", "epidermis": "epidermal", "endophytic microbial community": "microbial", "callus culture": "whole_plant", "essential oil": "extract_unspecified", "not a biological context": "other"}
+    methods = {None: "unknown", "GC-MS": "gc_ms", "LC-MS": "lc_ms", "UPLC": "hplc", "NMR": "nmr", "mass spectrometry": "mass_spectrometry", "chromatography": "chromatography", "infrared spectroscopy": "spectroscopy", "literature curation": "literature_curation", "provider record": "database_record", "unclassified assay": "other"}
+    for rule, vectors in ((context.plant_part, parts), (context.method, methods)):
+        df = spark.createDataFrame([(k,) for k in vectors], "c string")
+        assert [r["r"] for r in df.select(rule(F.col("c")).alias("r")).collect()] == list(vectors.values())
+    names = ["α-carotene", "β-carotene", "(+)-limonene", "(-)-limonene", "β alanine", "alanine", " ", None]
+    df = spark.createDataFrame([(n,) for n in names], "c string")
+    assert [r["r"] for r in df.select(context.clean_compound(F.col("c")).alias("r")).collect()] == ["alpha_carotene", "beta_carotene", "plus_limonene", "minus_limonene", "beta_alanine", "alanine", None, None]
+    compounds = {"salicin": "specialized_metabolites", "caffeine": "specialized_metabolites", "glucose": "primary_metabolites", "linoleic acid": "lipids_fatty_acids", "unknownoid": "unknown", "abscisic acid": "plant_hormone_signaling"}
+    df = spark.createDataFrame([(n,) for n in compounds], "c string")
+    none = F.lit(None).cast("string")
+    assert [r["r"] for r in df.select(context.comparability(none, none, F.col("c"), F.lit(False))[0].alias("r")).collect()] == list(compounds.values())
+
+
+def test_text_context_needs_the_species_in_the_sentence(spark):
+    from florilege.operators import context
+
+    df = spark.createDataFrame([(1, "Salix nigra leaf by GC-MS. The bark too.", "Salix nigra"), (2, None, "x"), (3, "", None)], "id int, t string, s string")
+    got = {(r["kind"], r["value"]) for r in context.text_context(df, "id", "t", "s").collect()}
+    assert got == {("plant_part", "leaf"), ("method", "gc_ms")}
+
+
+def test_index_with_fallback(spark):
+    records = spark.createDataFrame([("r1", "Aa bb", "c1", "S"), ("r2", "aa cc", "c2", "S"), ("r2", "aa cc", "c2", "S"), ("r3", None, "c3", "S")], "record_id string, species string, compound_id string, source string")
+    compounds = spark.createDataFrame([("c1", "caffeine", None), ("c2", "epicatechin", "K")], "compound_id string, name string, inchikey string")
+    taxa = spark.createDataFrame([("aa bb", "Aa", "Fam")], "species_key string, genus string, family string")
+    index = providers.build_index(records, compounds, taxa)
+    plants = spark.createDataFrame([(1, "aa BB", None, None), (2, "", None, None)], "plant_id int, species string, genus string, family string")
+    got = {(r["matched_rank"], r["name"]) for r in providers.query_index(plants, index).collect()}
+    assert got == {("species", "caffeine"), ("genus", "epicatechin")}
+    assert providers.query_index(plants, index, max_records=1).first()["name"] == "caffeine"
