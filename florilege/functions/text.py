@@ -78,6 +78,11 @@ def words_key(c: Column) -> Column:
     return F.array_join(F.array_sort(word_list(c)), " ")
 
 
+def has_words(c: Column) -> Column:
+    """Whether a value has any word; cheaper than its key, for filters that are pushed below the key's projection."""
+    return F.coalesce(c.rlike(r"[\p{L}\p{Nd}]"), F.lit(False))
+
+
 def slug(c: Column) -> Column:
     """Letters and digits kept, every other run one underscore, outer underscores removed."""
     return F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9]+", "_"), r"^_+|_+$", "")
