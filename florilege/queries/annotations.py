@@ -52,8 +52,8 @@ def pathway_rows(spark, d):
     lib = table(spark, d, "chemical_library")
     ident = F.concat(F.lit("map"), F.lpad(F.col("library_id").cast("string"), 5, "0"))
     records = lib.select(F.col("library_id").alias("record"), F.lit("PATHWAY").alias("field"), F.concat(ident, F.lit("  "), "compound", F.lit(" acid biosynthesis purine")).alias("value"))
-    links = lib.select(F.col("library_id").alias("record"), F.lit("pathway").alias("target_db"), ident.alias("target_id")).filter("record % 2 = 0")
-    return A.pathway_rows(records, links, lib.filter("library_id % 3 = 0").select(ident.alias("id"), F.lit("Starch metabolism").alias("name")))
+    links = lib.select(F.col("library_id").alias("record"), F.lit("pathway").alias("target_db"), ident.alias("target_id"), "also_called").filter("also_called is not null").drop("also_called")
+    return A.pathway_rows(records, links, lib.filter("compound_type = 'class A'").select(ident.alias("id"), F.lit("Starch metabolism").alias("name")))
 
 
 _PROFILES = ("safety_profile", "flavour_profile", "label_profile", "subject_profile", "literature_profile", "natural_profile")
@@ -76,5 +76,5 @@ ORACLES = {
     "subject_profile": _oracle(3, f"'D02.455.' || {_N} AS tree_numbers, 'Chemicals and Drugs' AS tree_group, true AS is_action"),
     "assay_classes": "SELECT user_id AS query, event_id AS aid, CASE WHEN event_type = 'click' THEN 'active' ELSE 'inactive' END AS activity_class, 'inhibitor' AS direction, CASE WHEN event_id % 3 = 0 THEN 'cell_viability_cytotoxicity' ELSE 'kinase_signaling' END AS domain, CASE WHEN event_id % 3 = 0 THEN 'cell_line' ELSE 'protein_or_gene' END AS target_kind, 'human' AS organism, CASE WHEN value IS NULL THEN NULL WHEN event_id % 2 = 0 THEN 'IC50' ELSE 'potency' END AS metric, CASE WHEN value <= 0.1 THEN 'sub_100_nM' WHEN value <= 1 THEN 'sub_1_uM' WHEN value <= 10 THEN '1_to_10_uM' WHEN value <= 50 THEN '10_to_50_uM' WHEN value > 50 THEN 'above_50_uM' END AS bucket FROM events",
     "long_terms": f"SELECT DISTINCT compound_id AS query, 'classification' AS domain, 'class_name' AS term_type, unnest([comparison_group, comparison_subgroup]) AS term_raw FROM plant_compounds WHERE compound_id IS NOT NULL UNION ALL SELECT DISTINCT compound_id, 'occurrence', 'tissue_group', tissue_group FROM plant_compounds WHERE compound_id IS NOT NULL AND {non('tissue_group')} IS NOT NULL",
-    "pathway_rows": "WITH b AS (SELECT library_id AS record, 'map' || lpad(library_id::VARCHAR, 5, '0') AS id, CASE WHEN library_id % 3 = 0 THEN 'Starch metabolism' END AS m, compound || ' acid biosynthesis purine' AS o FROM chemical_library WHERE compound IS NOT NULL), r AS (SELECT record, id, coalesce(m, o) AS name, 'record' AS evidence FROM b UNION ALL SELECT record, id, m, 'link' FROM b WHERE record % 2 = 0) SELECT record, id, name, CASE WHEN name IS NULL THEN NULL WHEN name = 'Starch metabolism' THEN 'Carbohydrate metabolism' ELSE 'Nucleotide metabolism' END AS pathway_group, evidence FROM r",
+    "pathway_rows": "WITH b AS (SELECT library_id AS record, 'map' || lpad(library_id::VARCHAR, 5, '0') AS id, CASE WHEN compound_type = 'class A' THEN 'Starch metabolism' END AS m, also_called, compound || ' acid biosynthesis purine' AS o FROM chemical_library WHERE compound IS NOT NULL), r AS (SELECT record, id, coalesce(m, o) AS name, 'record' AS evidence FROM b UNION ALL SELECT record, id, m, 'link' FROM b WHERE also_called IS NOT NULL) SELECT record, id, name, CASE WHEN name IS NULL THEN NULL WHEN name = 'Starch metabolism' THEN 'Carbohydrate metabolism' ELSE 'Nucleotide metabolism' END AS pathway_group, evidence FROM r",
 }

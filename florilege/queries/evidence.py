@@ -18,10 +18,11 @@ def _rows(spark, d):
 
 
 def _review(spark, d):
-    """Reviews made from records: every fifth by id, every seventh by its key."""
+    """Reviews made of curation flags: checked and flagged records by id, automatic ones by their key."""
     rows = _rows(spark, d)
-    by_id = rows.filter("occurrence_id % 5 = 0").select("occurrence_id", *[F.lit(None).cast("string").alias(c) for c in ("species", "compound_name_clean", "source_database", "source_record_id")], F.when(F.col("occurrence_id") % 10 == 0, "exclude").otherwise("confirmed_literature").alias("decision"))
-    by_key = rows.filter("occurrence_id % 7 = 0 and species is not null").select(F.lit(None).cast("bigint").alias("occurrence_id"), "species", "compound_name_clean", "source_database", "source_record_id", F.lit("direct_species_database").alias("decision"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("species", "compound_name_clean", "source_database", "source_record_id")]
+    by_id = rows.filter("curation_flag in ('needs_review', 'checked')").select("occurrence_id", *none, F.when(F.col("curation_flag") == "needs_review", "exclude").otherwise("confirmed_literature").alias("decision"))
+    by_key = rows.filter("curation_flag = 'auto' and species is not null").select(F.lit(None).cast("bigint").alias("occurrence_id"), "species", "compound_name_clean", "source_database", "source_record_id", F.lit("direct_species_database").alias("decision"))
     return by_id.unionByName(by_key)
 
 
@@ -59,8 +60,8 @@ def metadata_standardized(spark, d):
 
 def _overrides(spark, d):
     lib = table(spark, d, "chemical_library")
-    by_name = lib.select(F.lit(None).cast("string").alias("compound_id"), F.lower("compound").alias("compound_name_clean"), F.lit("volatiles").alias("comparison_scope"), F.when(F.col("library_id") % 2 == 0, "terpenoid").alias("comparison_group"))
-    by_id = lib.filter("library_id % 3 = 0").select(F.concat(F.lit("cid_"), (F.col("library_id") + 700000).cast("string")).alias("compound_id"), F.lit(None).cast("string").alias("compound_name_clean"), F.lit("primary_metabolites").alias("comparison_scope"), F.lit(" ").alias("comparison_group"))
+    by_name = lib.select(F.lit(None).cast("string").alias("compound_id"), F.lower("compound").alias("compound_name_clean"), F.lit("volatiles").alias("comparison_scope"), F.when(F.col("compound_type").isNotNull(), "terpenoid").alias("comparison_group"))
+    by_id = lib.filter("also_called is not null").select(F.concat(F.lit("cid_"), (F.col("library_id") + 700000).cast("string")).alias("compound_id"), F.lit(None).cast("string").alias("compound_name_clean"), F.lit("primary_metabolites").alias("comparison_scope"), F.lit(" ").alias("comparison_group"))
     return by_name.unionByName(by_id)
 
 
@@ -180,8 +181,8 @@ def _dom(c: str) -> str:
 
 _COV = f"WITH c AS (SELECT q.compound_id AS query, s.source, count(p.compound_id) AS n_records FROM (SELECT DISTINCT compound_id FROM plant_compounds WHERE compound_id IS NOT NULL) q, (SELECT unnest({SOURCES}) AS source) s LEFT JOIN plant_compounds p ON p.compound_id = q.compound_id AND p.source_database = s.source GROUP BY 1, 2)"
 _WORDS = "array_to_string(list_sort(regexp_extract_all(lower(coalesce(species, '')), '[\\p{L}\\p{Nd}]+')), ' ')"
-_OV = """ov AS (SELECT NULL AS compound_id, lower(compound) AS compound_name_clean, 'volatiles' AS comparison_scope, CASE WHEN library_id % 2 = 0 THEN 'terpenoid' END AS comparison_group FROM chemical_library
-UNION ALL SELECT 'cid_' || (library_id + 700000), NULL, 'primary_metabolites', ' ' FROM chemical_library WHERE library_id % 3 = 0)"""
+_OV = """ov AS (SELECT NULL AS compound_id, lower(compound) AS compound_name_clean, 'volatiles' AS comparison_scope, CASE WHEN compound_type IS NOT NULL THEN 'terpenoid' END AS comparison_group FROM chemical_library
+UNION ALL SELECT 'cid_' || (library_id + 700000), NULL, 'primary_metabolites', ' ' FROM chemical_library WHERE also_called IS NOT NULL)"""
 _REASONS = (
     ("no_structure", f"NOT ({known('smiles')} OR {known('inchikey')})"), ("no_compound_id", f"NOT {known('compound_id')}"), ("no_citation", f"NOT {known('citation_or_url')}"), ("low_confidence", f"{_CONF} <= 1"),
     ("weak_tier", "coalesce(regexp_matches(lower(evidence_tier), 'candidate|fallback|unresolved'), true)"), ("flagged", "coalesce(contains(lower(curation_flag), 'review'), false)"),
@@ -189,8 +190,8 @@ _REASONS = (
 
 ORACLES = {
     "evidence_grades": _GRADED + f"SELECT occurrence_id, species, compound_id, evidence_grade, rank AS evidence_grade_rank, {_YN.format('rank <= 3')} AS source_backed, {_YN.format('sr')} AS structure_resolved, {_YN.format('cm')} AS comparable_for_analysis, {_YN.format('rr')} AS review_required, decision, evidence_grade || '__' || CASE WHEN sr THEN 'structure_resolved' ELSE 'structure_unresolved' END || '__' || CASE WHEN cm THEN 'comparable' ELSE 'not_comparable' END AS analysis_filter_key FROM k",
-    "evidence_grades_reviewed": f"""WITH ki AS (SELECT occurrence_id, CASE WHEN occurrence_id % 10 = 0 THEN 'exclude' ELSE 'confirmed_literature' END AS di FROM plant_compounds WHERE occurrence_id % 5 = 0),
-kk AS (SELECT DISTINCT species, compound_name_clean, source_database, source_record_id, 'direct_species_database' AS dk FROM plant_compounds WHERE occurrence_id % 7 = 0 AND species IS NOT NULL),
+    "evidence_grades_reviewed": f"""WITH ki AS (SELECT occurrence_id, CASE WHEN curation_flag = 'needs_review' THEN 'exclude' ELSE 'confirmed_literature' END AS di FROM plant_compounds WHERE curation_flag IN ('needs_review', 'checked')),
+kk AS (SELECT DISTINCT species, compound_name_clean, source_database, source_record_id, 'direct_species_database' AS dk FROM plant_compounds WHERE curation_flag = 'auto' AND species IS NOT NULL),
 j AS (SELECT p.*, coalesce(dk, di, 'not_reviewed') AS decision, {_LOW} FROM plant_compounds p LEFT JOIN ki USING (occurrence_id) LEFT JOIN kk USING (species, compound_name_clean, source_database, source_record_id))
 SELECT occurrence_id, {_GRADE} AS evidence_grade, decision FROM j""",
     "evidence_direct": _GRADED + f"SELECT occurrence_id, evidence_grade FROM k WHERE {_DIRECT}",
