@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.functions.text import label, non_empty, words_key
+from florilege.functions.text import has_words, label, non_empty, words_key
+from florilege.session import stage
 
 #: Evidence tiers and confidences, best first; anything else or none ranks last.
 TIER_ORDER = ("direct_species_database", "direct_species_literature", "direct_species_pubtator_candidate", "genus_database_fallback")
@@ -22,10 +23,8 @@ _KEY = ["__fl_species", "__fl_inchikey", "__fl_citation"]
 
 def place_in(c: Column, order: tuple[str, ...]) -> Column:
     """The place of a label in an order, from 1; labels outside it and missing ones come after all."""
-    value, out = label(c), F.lit(len(order) + 1)
-    for i, name in reversed(list(enumerate(order))):
-        out = F.when(value == name, i + 1).otherwise(out)
-    return out
+    places = F.create_map(*[F.lit(x) for i, name in enumerate(order) for x in (name, i + 1)])
+    return F.coalesce(places[label(c)], F.lit(len(order) + 1))
 
 
 def ranked_findings(compounds: DataFrame, providers: DataFrame) -> DataFrame:
@@ -35,11 +34,10 @@ def ranked_findings(compounds: DataFrame, providers: DataFrame) -> DataFrame:
     """
     trust = providers.select(label(F.col("source_database")).alias("__fl_provider"), F.col("trust_rank").alias("__fl_trust")).filter("__fl_provider is not null")
     trust = trust.groupBy("__fl_provider").agg(F.min("__fl_trust").alias("__fl_trust"))
-    rows = compounds.select(
+    stated = has_words(F.col("species")) & F.col("inchikey").rlike(r"[^\s\pZ]") & F.col("citation_or_url").rlike(r"[^\s\pZ]")
+    rows = compounds.filter(stated).select(
         words_key(F.col("species")).alias(_KEY[0]),
-        non_empty(F.col("inchikey")).isNotNull().alias("__fl_has_key"),
         F.col("inchikey").alias(_KEY[1]),
-        non_empty(F.col("citation_or_url")).isNotNull().alias("__fl_has_citation"),
         F.col("citation_or_url").alias(_KEY[2]),
         F.col("occurrence_id").cast("bigint").alias("row_id"),
         place_in(F.col("evidence_tier"), TIER_ORDER).alias("tier_rank"),
@@ -48,8 +46,8 @@ def ranked_findings(compounds: DataFrame, providers: DataFrame) -> DataFrame:
         F.when(non_empty(F.col("compound_id")).isNotNull(), 0).otherwise(1).alias("id_rank"),
         F.col("retrieved_at"),
         *[F.col(c).alias("value_" + c) for c in ("compound_id", "evidence_tier", "confidence", "source_database")],
-    ).filter(f"{_KEY[0]} <> '' and __fl_has_key and __fl_has_citation")
-    return rows.join(trust, "__fl_provider", "left").withColumn("trust_rank", F.coalesce("__fl_trust", F.lit(_LAST))).drop("__fl_trust", "__fl_has_key", "__fl_has_citation")
+    )
+    return rows.join(trust, "__fl_provider", "left").withColumn("trust_rank", F.coalesce("__fl_trust", F.lit(_LAST))).drop("__fl_trust")
 
 
 def _hash_keys(ranked: DataFrame) -> DataFrame:
@@ -72,7 +70,7 @@ def best_of_findings(compounds: DataFrame, providers: DataFrame) -> DataFrame:
     (none last), smallest identifier. Empty tables give no rows.
     """
     keys = ["__fl_k1", "__fl_k2"]
-    rows = _hash_keys(ranked_findings(compounds, providers))
+    rows = stage(_hash_keys(ranked_findings(compounds, providers)), "findings-ranked")  # narrow, and read by both branches
     groups = rows.groupBy(*keys).agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n >= 2")
     order = Window.partitionBy(*keys).orderBy("label_rank", "trust_rank", "id_rank", F.col("retrieved_at").desc_nulls_last(), "row_id")
     kept = rows.withColumn("place", F.row_number().over(order)).filter("place = 1").select(*keys, F.col("row_id").alias("keep_id"))
