@@ -247,7 +247,7 @@ def behavior_bin(prop: Column, value: Column) -> Column:
     return F.when(value.isNotNull(), out)
 
 
-def _hold(df: DataFrame, **columns: Column) -> DataFrame:
+def hold(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed once: the one-element explode keeps Catalyst from inlining them everywhere they are used."""
     parts = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select("*", F.explode(F.array(parts)).alias("__fl_held")).select(*[f"`{c}`" for c in df.columns], *[F.col(f"__fl_held.{n}").alias(n) for n in columns])
@@ -255,11 +255,11 @@ def _hold(df: DataFrame, **columns: Column) -> DataFrame:
 
 def standardize_measurements(df: DataFrame, prop: Column, value: Column, unit: Column, text: Column) -> DataFrame:
     """Add property, unit, standard_value, standard_unit, kind, bin, relation, low and high of a measurement and its text."""
-    out = _hold(df, property=property_name(prop), unit=unit_name(unit), __fl_value=value, __fl_text=text)
+    out = hold(df, property=property_name(prop), unit=unit_name(unit), __fl_value=value, __fl_text=text)
     p, u, v = F.col("property"), F.col("unit"), F.col("__fl_value")
     low, high = range_bounds(F.col("__fl_text"))
-    out = _hold(out, kind=measurement_class(p), low=low, high=high)
-    out = _hold(out, standard_value=standard_value(p, v, u), standard_unit=standard_unit(p, v, u), relation=value_relation(F.col("__fl_text")))
+    out = hold(out, kind=measurement_class(p), low=low, high=high)
+    out = hold(out, standard_value=standard_value(p, v, u), standard_unit=standard_unit(p, v, u), relation=value_relation(F.col("__fl_text")))
     return out.withColumn("bin", behavior_bin(p, F.col("standard_value"))).drop("__fl_value", "__fl_text")
 
 

@@ -59,15 +59,16 @@ def similar_pairs(fps: DataFrame, row_id: str, words: str, threshold: float) ->
     """
     reps = fps.groupBy(words).agg(F.min(row_id).alias("id"), F.count(F.lit(1)).alias("n")).withColumn("pop", popcount(F.col(words))).filter("pop > 0")
     places = F.expr(f"flatten(transform(`{words}`, (w, i) -> filter(transform(sequence(0, {_WORD_BITS - 1}), k -> CASE WHEN (shiftright(w, k) & 1) = 1 THEN i * {_WORD_BITS} + k END), x -> x IS NOT NULL)))")
-    bits = reps.select("id", "n", "pop", F.col(words).alias("words"), F.explode(places).alias("bit"))
+    bits = reps.select("id", "pop", F.explode(places).alias("bit"))
     often = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("id").orderBy("often", "bit")
     prefix = F.col("pop") - F.ceil(F.lit(threshold) * F.col("pop")) + 1
     sent = bits.join(often, "bit").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= prefix)
     a, b = sent.alias("a"), sent.alias("b")
     near = (F.col("a.bit") == F.col("b.bit")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.pop") >= F.col("b.pop") * threshold) & (F.col("b.pop") >= F.col("a.pop") * threshold)
-    met = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("a.words").alias("wa"), F.col("b.words").alias("wb"), F.col("a.pop").alias("pa"), F.col("b.pop").alias("pb"))
-    scored = met.dropDuplicates(["a", "b"]).withColumn("tanimoto", tanimoto(F.col("wa"), F.col("wb"), F.col("pa"), F.col("pb")))
+    met = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias("n_" + s), F.col("pop").alias("p" + s), F.col(words).alias("w" + s))
+    scored = met.join(side("a"), "a").join(side("b"), "b").withColumn("tanimoto", tanimoto(F.col("wa"), F.col("wb"), F.col("pa"), F.col("pb")))
     return scored.filter(F.col("tanimoto") >= threshold).select("a", "b", "n_a", "n_b", "tanimoto")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.functions.rules import best_confidence, clean_label, confidence_threshold, number, ordered
+from florilege.functions.rules import best_confidence, clean_label, confidence_threshold, hold, number, ordered
 from florilege.functions.text import collapse_sorted, key_value, non_empty, squish
 
 TRAIT_KEY = ["query", "cid", "trait_type", "trait_group", "trait_value_clean"]
@@ -103,9 +103,13 @@ def source_database(source_table: Column, source: Column) -> Column:
 
 
 def is_descriptive(value: Column) -> Column:
-    """Whether a value is a sentence rather than a label; such values take no place in matrices."""
-    v = squish(value)
-    words = F.size(F.split(v, r"\s+"))
+    """Whether a squished value is a sentence rather than a label; such values take no place in matrices."""
+    v = value
+    words = F.length(v) - F.length(F.replace(v, F.lit(" "), F.lit(""))) + 1
+    return F.when(F.length(v) <= 12, v == "").otherwise(_is_sentence(v, words))  # seven words do not fit in twelve letters
+
+
+def _is_sentence(v: Column, words: Column) -> Column:
     return (
         F.coalesce(v == "", F.lit(True))
         | (F.length(v) > 140)
@@ -142,21 +146,27 @@ def property_trait(prop: Column, value: Column) -> tuple[Column, Column]:
 
 
 def build_traits(rows: DataFrame) -> DataFrame:
-    """Complete trait rows from query, cid, trait_type, trait_group, trait_value, source, confidence, evidence_id, extraction_rule."""
-    return (
-        rows.withColumn("trait_value_clean", non_empty(clean_label(F.col("trait_value"))))
-        .filter("trait_value_clean is not null")
-        .withColumn("source_database", source_database(F.lit(None).cast("string"), F.col("source")))
-        .withColumn("confidence_score", confidence_score(F.col("confidence"), F.col("source_database"), F.col("evidence_id"), F.col("extraction_rule")))
-        .withColumn("matrix_eligible", ~is_descriptive(F.col("trait_value")))
-    )
+    """Complete trait rows from query, cid, trait_type, trait_group, trait_value, source, confidence, evidence_id, extraction_rule.
+
+    The rules run in steps that each compute their columns once: one large expression would become a
+    method too long for the JVM to compile.
+    """
+    step = hold(rows, __fl_value=squish(F.col("trait_value")), __fl_source=non_empty(F.col("source")))
+    step = hold(step, __fl_clean=clean_label(F.col("__fl_value")), source_database=ordered(F.col("__fl_source"), SOURCE_RULES, F.coalesce("__fl_source", F.lit("unknown"))))
+    step = step.filter("__fl_clean <> ''")
+    step = hold(step, confidence_score=confidence_score(F.col("confidence"), F.col("source_database"), F.col("evidence_id"), F.col("extraction_rule")))
+    step = hold(step, matrix_eligible=~is_descriptive(F.col("__fl_value")))
+    return step.withColumnRenamed("__fl_clean", "trait_value_clean").drop("__fl_value", "__fl_source")
 
 
 def dedupe_traits(traits: DataFrame) -> DataFrame:
-    """One row per (query, cid, type, group, clean value): texts collapsed, best confidence and score, matrix key."""
+    """One row per (query, cid, type, group, clean value): sources collapsed, the smallest evidence id, best confidence and score, matrix key.
+
+    A trait may rest on any number of records, so their ids are counted (n_rows), not gathered.
+    """
     out = traits.groupBy(*TRAIT_KEY).agg(
         collapse_sorted(F.col("source_database")).alias("source_database"),
-        collapse_sorted(F.col("evidence_id")).alias("evidence_id"),
+        F.min(non_empty(F.col("evidence_id"))).alias("evidence_id"),
         best_confidence(F.col("confidence")).alias("confidence"),
         F.max("confidence_score").alias("confidence_score"),
         F.bool_or("matrix_eligible").alias("matrix_eligible"),

@@ -17,8 +17,9 @@ KEYS = [
 
 
 def _rows(spark, d):
-    base = table(spark, d, "plant_compounds").withColumn("query", label(F.col("compound_id"))).filter("query is not null")
-    group, value = T.property_trait(F.lit("exact_mass"), formula_mass(F.col("molecular_formula")))
+    base = table(spark, d, "plant_compounds").select(label(F.col("compound_id")).alias("query"), "cid", "source_database", "confidence", "source_record_id", "molecular_formula", *FIELDS).filter("query is not null")
+    base = rules.hold(base, mass=formula_mass(F.col("molecular_formula")))
+    group, value = T.property_trait(F.lit("exact_mass"), F.col("mass"))
     parts = [F.struct(F.lit(t).alias("trait_type"), F.lit(g).alias("trait_group"), F.col(c).alias("trait_value")) for c, (t, g) in FIELDS.items()]
     parts.append(F.struct(F.when(group.isNotNull(), "property").alias("trait_type"), group.alias("trait_group"), value.alias("trait_value")))
     rows = base.select("query", "cid", F.col("source_database").alias("source"), "confidence", F.col("source_record_id").alias("evidence_id"), F.lit("source record id").alias("extraction_rule"), F.explode(F.array(*parts)).alias("t"))
@@ -97,8 +98,7 @@ def term_lookup(spark, d):
 
 def compound_bins(spark, d):
     """Mass, volatility and element rules per record; its provider count stands for the sources."""
-    mass = formula_mass(F.col("molecular_formula"))
-    rows = table(spark, d, "plant_compounds").withColumn("mass", mass)
+    rows = rules.hold(table(spark, d, "plant_compounds"), mass=formula_mass(F.col("molecular_formula")))
     none = F.lit(0)
     score = rules.compound_confidence(F.col("cid"), F.col("molecular_formula"), F.col("mass"), F.col("mass"), F.lit(1), none, none, none, F.lit(False), F.col("method_group") == "NMR")
     return rows.select(
