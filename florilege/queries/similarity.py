@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from florilege.operators import similarity as S
 from florilege.session import table
 
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 
 
 def _fingerprints(spark, d):
