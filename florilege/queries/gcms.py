@@ -18,12 +18,17 @@ def _info(spark, d):
 
 
 def _peaks(spark, d):
-    """Peaks with masses; a file stands for its kind of sample, m/z for the two nearest whole numbers."""
+    """Peaks with masses; a file is a sample, m/z stands for the two nearest whole numbers."""
     mz = F.floor("base_peak_mz").cast("int")
-    peaks = table(spark, d, "standard_data").filter("compound_name is not null").withColumn("mz", F.array(mz, mz + 1)).withColumn("file_name", F.split_part("file_name", F.lit("_"), F.lit(1)))
+    peaks = table(spark, d, "standard_data").filter("compound_name is not null").withColumn("mz", F.array(mz, mz + 1)).withColumn("file_name", F.trim("file_name"))
     return gcms.spread_peaks(peaks, _info(spark, d))
 
 
+def _kind_peaks(spark, d):
+    """Peaks whose file stands for its kind of sample: all files of a kind are one sample."""
+    return _peaks(spark, d).withColumn("file_name", F.split_part("file_name", F.lit("_"), F.lit(1)))
+
+
 def _targets(spark, d, peaks):
     library = table(spark, d, "chemical_library")
     names = F.filter(F.transform(F.concat(F.array("compound"), F.split(F.coalesce("also_called", F.lit("")), ";")), lambda x: F.trim(x)), lambda x: x != "")
@@ -56,18 +61,37 @@ def gcms_retention_fit(spark, d):
     return fit.select("n_peaks", F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-def _areas(spark, d):
-    peaks = _peaks(spark, d)
+def _extract(areas):
+    return areas.select("compound", "mass", "file_name", F.round("area", 4).alias("area"), F.round("mean_rt", 6).alias("mean_rt"), "best_match", "n_peaks")
+
+
+def _standardised(areas):
+    out = gcms.internal_standard(areas, STANDARD)
+    return out.select("compound", "file_name", F.round("area", 4).alias("area"), F.round("amount", 4).alias("amount"))
+
+
+def _areas(spark, d, peaks):
     return gcms.extract_targets(peaks, _targets(spark, d, peaks))
 
 
+def gcms_extract_files(spark, d):
+    """Targets in every file."""
+    return _extract(_areas(spark, d, _peaks(spark, d)))
+
+
+def gcms_internal_standard_files(spark, d):
+    """Amounts in every file, against the standard in the same file."""
+    return _standardised(_areas(spark, d, _peaks(spark, d)))
+
+
 def gcms_extract(spark, d):
-    return _areas(spark, d).select("compound", "mass", "file_name", F.round("area", 4).alias("area"), F.round("mean_rt", 6).alias("mean_rt"), "best_match", "n_peaks")
+    """Targets by kind of sample; gcms_extract_files has them by file."""
+    return _extract(_areas(spark, d, _kind_peaks(spark, d)))
 
 
 def gcms_internal_standard(spark, d):
-    out = gcms.internal_standard(_areas(spark, d), STANDARD)
-    return out.select("compound", "file_name", F.round("area", 4).alias("area"), F.round("amount", 4).alias("amount"))
+    """Amounts by kind of sample; gcms_internal_standard_files has them by file."""
+    return _standardised(_areas(spark, d, _kind_peaks(spark, d)))
 
 
 def gcms_standard_problems(spark, d):
@@ -134,7 +158,7 @@ def compound_masses(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        gcms_duplicate_keys, gcms_spread, gcms_peak_matrix, gcms_retention_fit, gcms_extract, gcms_internal_standard, gcms_standard_problems, gcms_calibration, gcms_external_standard,
+        gcms_duplicate_keys, gcms_spread, gcms_peak_matrix, gcms_retention_fit, gcms_extract_files, gcms_internal_standard_files, gcms_extract, gcms_internal_standard, gcms_standard_problems, gcms_calibration, gcms_external_standard,
         library_lists, library_long, database_sets, subset_union, subset_intersection, subset_numeric, subset_flag, compound_masses,
     )
 }
@@ -199,3 +223,5 @@ SELECT compound, file_name, area, model, CASE WHEN abs(amount) < 1e6 THEN round(
     "subset_flag": "SELECT occurrence_id, comparable_for_matrix FROM plant_compounds WHERE comparable_for_matrix <> 'No'",
     "compound_masses": f"WITH {_INFO} SELECT * FROM info",
 }
+#: The same SQL with the file in place of its kind.
+ORACLES |= {f"{name}_files": ORACLES[name].replace("split_part(file_name, '_', 1)", "trim(file_name)") for name in ("gcms_extract", "gcms_internal_standard")}

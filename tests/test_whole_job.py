@@ -5,7 +5,10 @@ from pathlib import Path
 
 import pyarrow.parquet as pq
 
+import pytest
+
 from florilege.queries import registry
+from oracle import same
 
 
 def rows_of(folder, name):
@@ -20,3 +23,22 @@ def test_tanimoto_pairs_holds_every_pair_from_a_half_on(spark, small):
     want = {(a, b) for a, b, t in scored if t >= 0.5}
     got = {(r.a, r.b) for r in registry.queries()["tanimoto_pairs"](spark, small).collect()}
     assert want and got == want
+
+
+def test_entry_takes_each_file_as_a_sample(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    spark.createDataFrame([("aa", "C10H16"), ("pircevanal", "C6H12")], "compound_name string, molecular_formula string").write.parquet(f"{tmp_path}/plant_compounds.parquet")
+    spark.createDataFrame([("aa", None), ("pircevanal", None)], "compound string, also_called string").write.parquet(f"{tmp_path}/chemical_library.parquet")
+    peak = lambda i, rt, area, mz, name, file: (i, rt, area, mz, name, 90.0, file)
+    peaks = [peak(1, 5.0, 100.0, 93.2, "aa", "Mix_00_1.D"), peak(2, 3.0, 50.0, 56.1, "pircevanal", "Mix_00_1.D"), peak(3, 4.95, 30.0, 93.4, "zz", " Mix_00_2.D "), peak(4, 3.0, 10.0, 56.1, "pircevanal", "Mix_00_2.D")]
+    spark.createDataFrame(peaks, "peak_id bigint, component_rt double, component_area double, base_peak_mz double, compound_name string, match_factor double, file_name string").write.parquet(f"{tmp_path}/standard_data.parquet")
+    asked = registry.queries()
+    monkeypatch.setattr(__spark_entry__.registry, "queries", lambda: {name: lambda s, _, f=f: f(s, str(tmp_path)) for name, f in asked.items()})
+    got = {tuple(r) for r in __spark_entry__.entry(spark).collect()}
+    assert got == {("aa", "Mix_00_1.D", 100.0, 381.0), ("aa", "Mix_00_2.D", 30.0, 571.5)}  # the second is tentative: its own file has no exact peak
+
+
+@pytest.mark.parametrize("name", ("gcms_extract_files", "gcms_internal_standard_files"))
+def test_files_equal_sql(spark, small, name):
+    same(spark, small, registry.queries()[name], registry.oracles()[name])
