@@ -162,7 +162,7 @@ def build_traits(rows: DataFrame) -> DataFrame:
 def dedupe_traits(traits: DataFrame) -> DataFrame:
     """One row per (query, cid, type, group, clean value): sources collapsed, the smallest evidence id, best confidence and score, matrix key.
 
-    A trait may rest on any number of records, so their ids are counted (n_rows), not gathered.
+    A trait may rest on any number of records, so their ids are counted (n_rows), not gathered; evidence_links has them all.
     """
     out = traits.groupBy(*TRAIT_KEY).agg(
         collapse_sorted(F.col("source_database")).alias("source_database"),
@@ -176,6 +176,14 @@ def dedupe_traits(traits: DataFrame) -> DataFrame:
     return out.withColumn("matrix_key", key)
 
 
+def evidence_links(traits: DataFrame) -> DataFrame:
+    """Every distinct evidence id of every trait, one row each: the trait key and evidence_id.
+
+    ``traits`` is the table that dedupe_traits takes. The rows are long, so a hot trait has no large row.
+    """
+    return traits.select(*TRAIT_KEY, non_empty(F.col("evidence_id")).alias("evidence_id")).filter("evidence_id is not null").distinct()
+
+
 def mean_cents(c: Column) -> Column:
     """Aggregate: the mean of scores of two decimals, summed as whole cents, so that it does not depend on their order."""
     return F.round(F.sum(F.round(c * 100).cast("long")) / F.count(c) / 100, 6)
@@ -254,11 +262,17 @@ def ontology_identifier(trait_group: Column, text: Column) -> tuple[Column, Colu
     return ident, source
 
 
-def trait_evidence(traits: DataFrame, keys: list[str] | None = None, min_confidence: str | float = 0) -> DataFrame:
-    """Audit rows of traits, for all or for some matrix keys."""
+def trait_evidence(traits: DataFrame, keys: list[str] | None = None, min_confidence: str | float = 0, links: DataFrame | None = None) -> DataFrame:
+    """Audit rows of traits, for all or for some matrix keys; with ``links`` (see evidence_links) a row for each evidence id of a trait."""
     rows = traits.filter(F.coalesce("confidence_score", F.lit(0.0)) >= confidence_threshold(min_confidence))
     if keys is not None:
         rows = rows.filter(F.col("matrix_key").isin(*keys))
+    if links is not None:
+        t, u = rows.drop("evidence_id").alias("t"), links.alias("u")
+        same = F.lit(True)
+        for k in TRAIT_KEY:
+            same = same & F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}"))
+        rows = t.join(u, same, "left").select("t.*", "u.evidence_id")
     return rows.select("query", "cid", "trait_type", "trait_group", "trait_value_clean", "matrix_key", "source_database", "evidence_id", "confidence", "confidence_score")
 
 

@@ -34,6 +34,10 @@ def traits_deduped(spark, d):
     return _traits(spark, d).drop("evidence_id")
 
 
+def trait_evidence_links(spark, d):
+    return T.evidence_links(T.build_traits(_rows(spark, d)))
+
+
 def trait_keys(spark, d):
     return T.rank_keys(T.matrix_source(_traits(spark, d), "ecology", "low"))
 
@@ -52,6 +56,11 @@ def trait_ontology(spark, d):
     return T.trait_ontology(_traits(spark, d), "low").drop("source_database")
 
 
+def trait_ontology_sources(spark, d):
+    """trait_ontology with the sources of each term."""
+    return T.trait_ontology(_traits(spark, d), "low")
+
+
 def ontology_matrix(spark, d):
     traits = _traits(spark, d)
     keys = ["ecology__natural_product_class__" + k.rsplit("__", 1)[1] for k in KEYS]
@@ -62,6 +71,12 @@ def trait_evidence(spark, d):
     return T.trait_evidence(_traits(spark, d), KEYS[:2], "high").drop("evidence_id")
 
 
+def trait_evidence_records(spark, d):
+    """Audit rows with every source record of the traits of trait_evidence."""
+    built = T.build_traits(_rows(spark, d))
+    return T.trait_evidence(T.dedupe_traits(built), KEYS[:2], "high", T.evidence_links(built))
+
+
 def trait_summary_by_type(spark, d):
     return T.trait_summary(_traits(spark, d), "type")
 
@@ -120,7 +135,7 @@ def measurement_summary(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        traits_deduped, trait_keys, trait_matrix, trait_matrix_confidence, trait_ontology, ontology_matrix, trait_evidence, trait_summary_by_type, trait_summary_by_compound, trait_report,
+        traits_deduped, trait_evidence_links, trait_keys, trait_matrix, trait_matrix_confidence, trait_ontology, trait_ontology_sources, ontology_matrix, trait_evidence, trait_evidence_records, trait_summary_by_type, trait_summary_by_compound, trait_report,
         trait_similarity, trait_classes, trait_neighbours, term_lookup, compound_bins, measurement_summary,
     )
 }
@@ -212,3 +227,9 @@ ORACLES = {
 SELECT query, property, count(*) AS n, min(v) AS min_value, round(quantile_cont(v, 0.5), 6) AS median_value, max(v) AS max_value, first(v ORDER BY v IS NULL, -c, source, v) AS best_value,
   CASE max(c) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS confidence FROM m GROUP BY query, property""",
 }
+_NO_ID = "nullif(trim(regexp_replace(evidence_id, '[\\s\\pZ]+', ' ', 'g')), '')"
+_TRAIT_KEY = ", ".join(T.TRAIT_KEY)
+ORACLES |= {
+    "trait_evidence_links": _TRAITS + f"SELECT DISTINCT {_TRAIT_KEY}, {_NO_ID} AS evidence_id FROM b WHERE {_NO_ID} IS NOT NULL",
+    "trait_evidence_records": _TRAITS + f", u AS (SELECT DISTINCT {_TRAIT_KEY}, {_NO_ID} AS evidence_id FROM b WHERE {_NO_ID} IS NOT NULL), w AS ({ORACLES['trait_evidence'].removeprefix(_TRAITS)}) SELECT w.*, u.evidence_id FROM w LEFT JOIN u ON " + " AND ".join(f"w.{k} IS NOT DISTINCT FROM u.{k}" for k in T.TRAIT_KEY),
+}

@@ -42,3 +42,22 @@ def test_entry_takes_each_file_as_a_sample(spark, tmp_path, monkeypatch):
 @pytest.mark.parametrize("name", ("gcms_extract_files", "gcms_internal_standard_files"))
 def test_files_equal_sql(spark, small, name):
     same(spark, small, registry.queries()[name], registry.oracles()[name])
+
+
+def test_every_evidence_id_of_a_trait_is_kept(spark):
+    from florilege.operators import traits
+
+    cols = "query string, cid bigint, trait_type string, trait_group string, trait_value string, source string, confidence string, evidence_id string, extraction_rule string"
+    rows = [("a", None, "use", "odor", "Citrus", "x", "high", e, None) for e in ("e1", "e2", "e2", " ", None, "e3")] + [("b", 1, "use", "odor", "mint", "x", "high", None, None)]
+    built = traits.build_traits(spark.createDataFrame(rows, cols))
+    got = {(r.query, r.evidence_id) for r in traits.trait_evidence(traits.dedupe_traits(built), links=traits.evidence_links(built)).collect()}
+    assert got == {("a", "e1"), ("a", "e2"), ("a", "e3"), ("b", None)}
+
+
+@pytest.mark.parametrize("name", ("trait_evidence_links", "trait_evidence_records"))
+def test_evidence_equals_sql(spark, small, name):
+    same(spark, small, registry.queries()[name], registry.oracles()[name])
+
+
+def test_ontology_names_its_sources(spark, small):
+    assert {r.source_database for r in registry.queries()["trait_ontology_sources"](spark, small).collect()} - {None, ""}
