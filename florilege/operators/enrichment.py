@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from florilege.functions.rules import is_micromolar, number, taxonomic_breadth
 from florilege.functions.text import collapse_first_seen, collapse_sorted, key_value, non_empty, squish
 
+#: Library rows that may be broadcast.
+MAX_BROADCAST_LIBRARY = 10_000
+
 
 def dedupe_by_key(table: DataFrame, keys: list[str], order: str, collapse: list[str] = (), flags: list[str] = (), fill: list[str] = ()) -> DataFrame:  # type: ignore[assignment]
     """One row per key: texts collapsed in first-seen order, flags or-ed, blanks filled with the first value present.
@@ -20,10 +23,13 @@ def dedupe_by_key(table: DataFrame, keys: list[str], order: str, collapse: list[
     return table.groupBy(*[key_value(F.col(k)).alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n_rows"), *aggs)
 
 
-def match_score(query: Column, names: Column) -> Column:
-    """0 exact, 1 prefix, 2 contained, 3 other, 4 without names; names are separated by ";"."""
-    q = F.lower(squish(query))
-    parts = F.filter(F.transform(F.split(F.coalesce(names, F.lit("")), ";"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+def name_parts(names: Column) -> Column:
+    """The names in a text that are separated by ";", in lower case."""
+    return F.filter(F.transform(F.split(F.coalesce(names, F.lit("")), ";"), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+
+
+def parts_score(q: Column, parts: Column) -> Column:
+    """match_score of a lower-cased, squished query and the parts of the names."""
     return (
         F.when(F.size(parts) == 0, 4)
         .when(F.exists(parts, lambda x: x == q), 0)
@@ -33,6 +39,21 @@ def match_score(query: Column, names: Column) -> Column:
     )
 
 
+def match_score(query: Column, names: Column) -> Column:
+    """0 exact, 1 prefix, 2 contained, 3 other, 4 without names; names are separated by ";"."""
+    return parts_score(F.lower(squish(query)), name_parts(names))
+
+
+def match_all(queries: DataFrame, query: str, library: DataFrame, key: str, names: str, limit: int) -> DataFrame:
+    """The best ``limit`` library rows of every query by score, then key: each query meets the whole library."""
+    lib = library.select(key, name_parts(F.col(names)).alias("__fl_parts"))
+    if library.count() <= MAX_BROADCAST_LIBRARY:
+        lib = F.broadcast(lib)
+    met = queries.select(query, F.lower(squish(F.col(query))).alias("__fl_q")).crossJoin(lib)
+    scored = met.select(query, key, parts_score(F.col("__fl_q"), F.col("__fl_parts")).alias("score"))
+    return best_matches(scored, query, [key], limit)
+
+
 def best_matches(matches: DataFrame, query: str, order: list[str], limit: int) -> DataFrame:
     """The first ``limit`` matches of each query by score and then ``order``, with their place."""
     place = F.row_number().over(Window.partitionBy(query).orderBy("score", *order))

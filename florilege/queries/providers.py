@@ -77,6 +77,13 @@ def name_matches(spark, d):
     return N.best_matches(met.withColumn("score", N.match_score(F.col("query"), F.col("names"))), "query", ["library_id"], 3).select("query", "library_id", "score", "match_rank")
 
 
+def name_matches_all(spark, d):
+    """Every typed name against the whole library; name_matches meets only entries of the same first word."""
+    lib = table(spark, d, "chemical_library").select("library_id", F.concat_ws(";", "compound", "also_called").alias("names"))
+    typed = table(spark, d, "standard_data").filter("compound_name is not null").select(F.lower("compound_name").alias("query")).distinct()
+    return N.match_all(typed, "query", lib, "library_id", "names", 3)
+
+
 def _assays(spark, d):
     outcome = F.when(F.col("event_type") == "click", "active").when(F.col("event_type") == "error", "inactive").otherwise("inconclusive")
     unit = F.when(F.col("event_type") == "view", "nM").otherwise("µM")
@@ -219,7 +226,7 @@ def json_values(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        provider_index, index_lookup, index_occurrences, query_accounting, taxon_names, species_aliases, bind_unique, coalesced_queries, deduped_profile, name_matches, assay_selection, bioactivity_summary,
+        provider_index, index_lookup, index_occurrences, query_accounting, taxon_names, species_aliases, bind_unique, coalesced_queries, deduped_profile, name_matches, name_matches_all, assay_selection, bioactivity_summary,
         target_summary, potency_buckets, occurrence_summary, class_levels, derived_groups, library_flags, text_identifiers, toxicity_figures, measurements_standard, hazard_classes, activity_texts,
         name_resolution, table_issues, table_quality, duplicate_rows, source_diagnostics, identity_audit, data_dictionary, combined_batches, batch_status, table_signature, relative_abundance, olfaction_long,
         flat_records, json_values,

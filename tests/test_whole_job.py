@@ -61,3 +61,17 @@ def test_evidence_equals_sql(spark, small, name):
 
 def test_ontology_names_its_sources(spark, small):
     assert {r.source_database for r in registry.queries()["trait_ontology_sources"](spark, small).collect()} - {None, ""}
+
+
+def test_every_name_meets_the_whole_library(spark, small):
+    library = [(r["library_id"], [x.strip(" ").lower() for x in ";".join(filter(None, (r["compound"], r["also_called"]))).split(";") if x.strip(" ")]) for r in rows_of(small, "chemical_library")]
+
+    def score(q, parts):
+        return 4 if not parts else 0 if q in parts else 1 if any(x.startswith(q) for x in parts) else 2 if any(q in x for x in parts) else 3
+
+    want = set()
+    for query in {r["compound_name"].lower() for r in rows_of(small, "standard_data") if r["compound_name"] is not None}:
+        best = sorted((score(" ".join(query.split()), parts), i) for i, parts in library)[:3]
+        want |= {(query, i, s, place) for place, (s, i) in enumerate(best, 1)}
+    got = {(r.query, r.library_id, r.score, r.match_rank) for r in registry.queries()["name_matches_all"](spark, small).collect()}
+    assert got == want and any(s == 0 for _, _, s, _ in got)
