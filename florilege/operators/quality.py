@@ -128,6 +128,6 @@ def batch_status(rows: DataFrame, batch: str, query: str, property_column: str,
 
 
 def table_signature(df: DataFrame) -> DataFrame:
-    """One row: number of rows and an order-free signature of the content, for checkpoints."""
+    """One row: number of rows and an order-free signature of the content, for checkpoints: a sum, in which repeated rows do not cancel out."""
     h = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("signature"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias("signature"))

@@ -54,6 +54,16 @@ def species_aliases(spark, d):
     return P.species_aliases(table(spark, d, "plant_metadata")).filter("alias_type <> 'core_name'")
 
 
+def taxon_core_names(spark, d):
+    """The core name beside the status of taxon_names."""
+    return table(spark, d, "plant_list").select("list_id", P.taxon_core_name(F.col("species")).alias("core_name"), P.name_status(F.col("species")).alias("status"))
+
+
+def species_aliases_all(spark, d):
+    """All aliases, those that only the core name gives as well."""
+    return P.species_aliases(table(spark, d, "plant_metadata"))
+
+
 def bind_unique(spark, d):
     a = table(spark, d, "plant_metadata").select(words_key(F.col("species")).alias("k"), F.lower("genus").alias("genus"))
     b = table(spark, d, "plant_list").select(words_key(F.col("species")).alias("k"), "list_id")
@@ -199,6 +209,11 @@ def table_signature(spark, d):
     return Q.table_signature(table(spark, d, "plant_compounds")).select("n_rows")
 
 
+def table_content_signature(spark, d):
+    """The signature over all columns; table_signature gives only the number of rows."""
+    return Q.table_signature(table(spark, d, "plant_compounds"))
+
+
 def relative_abundance(spark, d):
     rows = table(spark, d, "standard_data").filter("compound_name is not null").select(F.split_part("file_name", F.lit("_"), F.lit(1)).alias("treatment"), F.col("compound_name").alias("compound"), F.col("component_area").alias("abundance"))
     out = O.relative_abundance(rows, 0.002)
@@ -226,9 +241,9 @@ def json_values(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        provider_index, index_lookup, index_occurrences, query_accounting, taxon_names, species_aliases, bind_unique, coalesced_queries, deduped_profile, name_matches, name_matches_all, assay_selection, bioactivity_summary,
+        provider_index, index_lookup, index_occurrences, query_accounting, taxon_names, taxon_core_names, species_aliases, species_aliases_all, bind_unique, coalesced_queries, deduped_profile, name_matches, name_matches_all, assay_selection, bioactivity_summary,
         target_summary, potency_buckets, occurrence_summary, class_levels, derived_groups, library_flags, text_identifiers, toxicity_figures, measurements_standard, hazard_classes, activity_texts,
-        name_resolution, table_issues, table_quality, duplicate_rows, source_diagnostics, identity_audit, data_dictionary, combined_batches, batch_status, table_signature, relative_abundance, olfaction_long,
+        name_resolution, table_issues, table_quality, duplicate_rows, source_diagnostics, identity_audit, data_dictionary, combined_batches, batch_status, table_signature, table_content_signature, relative_abundance, olfaction_long,
         flat_records, json_values,
     )
 }

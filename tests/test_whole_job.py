@@ -75,3 +75,21 @@ def test_every_name_meets_the_whole_library(spark, small):
         want |= {(query, i, s, place) for place, (s, i) in enumerate(best, 1)}
     got = {(r.query, r.library_id, r.score, r.match_rank) for r in registry.queries()["name_matches_all"](spark, small).collect()}
     assert got == want and any(s == 0 for _, _, s, _ in got)
+
+
+def test_signature_sees_repeated_rows(spark):
+    from florilege.operators.quality import table_signature
+
+    of = lambda *rows: table_signature(spark.createDataFrame([(x,) for x in rows], "a string")).first()["signature"]
+    assert of("x", "x", "z") != of("y", "y", "z")
+    assert of("x", "y") == of("y", "x") and of("x", "x") != of()
+
+
+def test_all_aliases_and_the_signature_are_returned(spark, tmp_path):
+    spark.createDataFrame([("Aa bb (L.) Mill. 1768", "Aa cc")], "species string, accepted_species_name string").write.parquet(f"{tmp_path}/plant_metadata.parquet")
+    spark.createDataFrame([("x",)], "a string").write.parquet(f"{tmp_path}/plant_compounds.parquet")
+    spark.createDataFrame([(1, "Acacia Erioloba")], "list_id bigint, species string").write.parquet(f"{tmp_path}/plant_list.parquet")
+    ask = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.alias, r.alias_type) for r in ask("species_aliases_all")} == {("Aa cc", "accepted_name"), ("Aa bb (L.) Mill. 1768", "typed_name"), ("Aa bb", "core_name")}
+    assert [r.core_name for r in ask("taxon_core_names")] == ["Acacia erioloba"]
+    assert ask("table_content_signature")[0].signature != 0
