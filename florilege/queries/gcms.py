@@ -109,10 +109,19 @@ def gcms_calibration(spark, d):
     return models.select("model", "n", *[F.round(c, 4).alias(c) for c in ("slope", "intercept")], F.round("adjusted_r2", 8).alias("adjusted_r2"))
 
 
-def gcms_external_standard(spark, d):
+def _external(spark, d):
     areas = table(spark, d, "standard_data").filter("compound_name is not null").groupBy(F.col("compound_name").alias("compound"), "file_name").agg(F.max("component_area").alias("area"))
-    out = gcms.external_standard(areas, _calibration(spark, d))
-    return out.select("compound", "file_name", "area", "model", F.when(F.abs("amount") < 1e6, F.round("amount", 3)).alias("amount"))
+    return gcms.external_standard(areas, _calibration(spark, d))
+
+
+def gcms_external_standard(spark, d):
+    """Amounts below 1e6; gcms_external_standard_full has all."""
+    return _external(spark, d).select("compound", "file_name", "area", "model", F.when(F.abs("amount") < 1e6, F.round("amount", 3)).alias("amount"))
+
+
+def gcms_external_standard_full(spark, d):
+    """Amounts of any size, to ten significant digits."""
+    return _external(spark, d).withColumn("amount", F.when(F.col("amount").isNotNull(), F.format_string("%.9e", "amount").cast("double")))
 
 
 def library_lists(spark, d):
@@ -158,7 +167,7 @@ def compound_masses(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        gcms_duplicate_keys, gcms_spread, gcms_peak_matrix, gcms_retention_fit, gcms_extract_files, gcms_internal_standard_files, gcms_extract, gcms_internal_standard, gcms_standard_problems, gcms_calibration, gcms_external_standard,
+        gcms_duplicate_keys, gcms_spread, gcms_peak_matrix, gcms_retention_fit, gcms_extract_files, gcms_internal_standard_files, gcms_extract, gcms_internal_standard, gcms_standard_problems, gcms_calibration, gcms_external_standard, gcms_external_standard_full,
         library_lists, library_long, database_sets, subset_union, subset_intersection, subset_numeric, subset_flag, compound_masses,
     )
 }

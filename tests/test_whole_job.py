@@ -1,5 +1,6 @@
 """Queries against brute force over the whole input, where their SQL could share a cut."""
 
+import math
 from itertools import combinations
 from pathlib import Path
 
@@ -93,3 +94,11 @@ def test_all_aliases_and_the_signature_are_returned(spark, tmp_path):
     assert {(r.alias, r.alias_type) for r in ask("species_aliases_all")} == {("Aa cc", "accepted_name"), ("Aa bb (L.) Mill. 1768", "typed_name"), ("Aa bb", "core_name")}
     assert [r.core_name for r in ask("taxon_core_names")] == ["Acacia erioloba"]
     assert ask("table_content_signature")[0].signature != 0
+
+
+def test_large_amounts_are_kept(spark, tmp_path):
+    area = lambda q: 3 + 2 * math.log(q)
+    rows = [("c", f"Cal_{q}", area(q), 10.0 * q) for q in range(1, 9)] + [("x", "Mix_1", area(1e7), 50.0), ("y", "Mix_1", 0.0, 50.0)]
+    spark.createDataFrame(rows, "compound_name string, file_name string, component_area double, match_factor double").write.parquet(f"{tmp_path}/standard_data.parquet")
+    got = {r.compound: (r.model, r.amount) for r in registry.queries()["gcms_external_standard_full"](spark, str(tmp_path)).filter("file_name = 'Mix_1'").collect()}
+    assert got["x"] == ("log", pytest.approx(1e7, rel=1e-6)) and got["y"] == ("log", None)
