@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds more than 1 / HOT_SHARE of all rows; at most HOT_SHARE keys can be, which bounds what is broadcast.
-HOT_SHARE = 2048
+#: A key is hot when it holds more than 1 / HOT_SHARE of all rows; at most HOT_SHARE keys can be, which bounds what is broadcast (16 MB of
+#: 64-byte keys). At 10^12 rows a key that is not hot brings at most 4 million rows to one task.
+HOT_SHARE = 262_144
 #: Keys with fewer rows than this never count as hot.
 HOT_LEAST = 50_000
 

@@ -1,9 +1,10 @@
 """Multi-level tree aggregation: results per key although a few keys hold most rows.
 
 Input chunks of a fixed number of rows are combined where they are read (Spark's map-side hash
-aggregation on key and tree node); the states then merge in rounds of ``fan_in``, so that no
-reducer ever receives more than ``fan_in`` states of a key, and the number of rounds is the
-logarithm of the number of chunks. All states are built-in sum, min and max aggregates.
+aggregation on key and tree node), before anything is shuffled; the states then merge in rounds of
+``fan_in``, so that no reducer ever receives more than ``fan_in`` states of a hot key, and the number
+of rounds is the logarithm of the number of chunks. Keys with few states leave the tree after the
+first round. All states are built-in sum, min and max aggregates.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from florilege.functions.text import label, words_key
+from florilege.operators.skew import HOT_SHARE
+from florilege.session import stage
 
 CHUNK_ROWS = 65_536
 FAN_IN = 16
@@ -35,7 +38,10 @@ class State:
 
 
 def chunk_nodes(df: DataFrame, rows: int, chunk_rows: int) -> tuple[DataFrame, int]:
-    """Number the input chunks: rows of one partition in runs of ``chunk_rows``; returns the highest possible count."""
+    """Number the input chunks: rows of one partition in runs of ``chunk_rows``; returns about how many there are.
+
+    Only the number of rounds depends on that count: the last aggregation is by key alone.
+    """
     parts = max(1, df.rdd.getNumPartitions())
     per_part = max(1, 2 * math.ceil(rows / (parts * chunk_rows)))
     place = F.monotonically_increasing_id()
@@ -44,16 +50,39 @@ def chunk_nodes(df: DataFrame, rows: int, chunk_rows: int) -> tuple[DataFrame, i
     return df.withColumn(_NODE, part * F.lit(per_part) + chunk), parts * per_part
 
 
+def _merge(df: DataFrame, by: list[str], states: list[State]) -> DataFrame:
+    return df.groupBy(*by).agg(*[_MERGE[s.merge](F.col(s.name)).alias(s.name) for s in states])
+
+
+def _rounds(df: DataFrame, keys: list[str], states: list[State], nodes: int, fan_in: int) -> DataFrame:
+    """Rounds of ``fan_in`` until a key has at most that many states; the last one is by key alone."""
+    while nodes > fan_in:
+        df = _merge(df.withColumn(_NODE, F.floor(F.col(_NODE) / F.lit(fan_in)).cast("long")), [*keys, _NODE], states)
+        nodes = math.ceil(nodes / fan_in)
+    return _merge(df, keys, states)
+
+
 def merge_rounds(df: DataFrame, keys: list[str], states: list[State], nodes: int, fan_in: int) -> DataFrame:
-    """Fan-in rounds over states already in columns named as the states; node numbers are below ``nodes``."""
-    rounds = max(1, math.ceil(round(math.log(max(nodes, 1), fan_in), 9)))
-    for _ in range(rounds):
-        df = (
-            df.withColumn(_NODE, F.floor(F.col(_NODE) / F.lit(fan_in)).cast("long"))
-            .groupBy(*keys, _NODE)
-            .agg(*[_MERGE[s.merge](F.col(s.name)).alias(s.name) for s in states])
-        )
-    return df.drop(_NODE)
+    """Fan-in rounds over states in columns named as the states, of about ``nodes`` nodes.
+
+    The first round runs for all keys. If more are needed, its states are written once; keys with at
+    most ``fan_in`` states, or too few to count as hot, then merge in one aggregation by key, and only
+    the hot keys (at most HOT_SHARE, so their list may be broadcast) go through the other rounds.
+    """
+    if nodes <= fan_in:
+        return _merge(df, keys, states)
+    first = _merge(df.withColumn(_NODE, F.floor(F.col(_NODE) / F.lit(fan_in)).cast("long")), [*keys, _NODE], states)
+    nodes = math.ceil(nodes / fan_in)
+    if nodes <= fan_in:
+        return _merge(first, keys, states)
+    first = stage(first, "tree-states")
+    least = max(fan_in, first.count() // HOT_SHARE)
+    hot = F.broadcast(stage(first.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least).select(*[F.col(k).alias("__fl_hot_" + k) for k in keys]), "tree-hot"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("__fl_hot_" + k))
+    cold = _merge(first.join(hot, same, "left_anti"), keys, states)
+    return cold.unionByName(_rounds(first.join(hot, same, "left_semi"), keys, states, nodes, fan_in))
 
 
 def tree_aggregate(df: DataFrame, keys: dict[str, Column], states: list[State], *, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:

@@ -6,10 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDERS: dict[str, str] = {}
+#: Staged tables that are still there, by application.
+_STAGED: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "florilege", master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -60,11 +64,58 @@ def _remove(path: str) -> None:
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The table stays until ``unstage``, the end of a ``staging`` block or the end of the application.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = spark.sparkContext.applicationId
+    if key not in _STAGED:
+        _STAGED[key] = []
+        atexit.register(_drop_all, spark)
+    _STAGED[key].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._florilege_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_florilege_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is deleted at the end: write or collect results inside, as they read staged tables lazily."""
+    key = spark.sparkContext.applicationId
+    before = set(_STAGED.get(key, ()))
+    try:
+        yield
+    finally:
+        for path in [p for p in _STAGED.get(key, ()) if p not in before]:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    paths = _STAGED.get(spark.sparkContext.applicationId, [])
+    if path in paths:
+        paths.remove(path)
+
+
+def _drop_all(spark: SparkSession) -> None:
+    try:
+        for path in list(_STAGED.get(spark.sparkContext.applicationId, ())):
+            _delete(spark, path)
+    except Exception:  # noqa: BLE001 - the session may have ended before the interpreter
+        pass

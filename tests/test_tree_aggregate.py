@@ -40,5 +40,13 @@ def test_empty_table_and_null_keys(spark):
 
 def test_no_node_gets_more_than_fan_in_states(spark):
     df = spark.range(1000).select(F.lit("hot").alias("k")).repartition(10)
-    plan = tree_aggregate(df, {"k": F.col("k")}, [State("n", F.lit(1))], chunk_rows=10, fan_in=4)._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Aggregate [") >= 4  # 100 chunks need at least four rounds of four
+    out = tree_aggregate(df, {"k": F.col("k")}, [State("n", F.lit(1))], chunk_rows=10, fan_in=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") >= 3  # 100 chunks need at least four rounds of four; the first is written before
+    assert [tuple(r) for r in out.collect()] == [("hot", 1000)]
+
+
+def test_cold_keys_leave_the_tree_after_the_first_round(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, "hot").otherwise(F.concat(F.lit("c"), F.col("id").cast("string"))).alias("k")).repartition(9)
+    got = {r["k"]: r["n"] for r in tree_aggregate(df, {"k": F.col("k")}, [State("n", F.lit(1))], chunk_rows=5, fan_in=3).collect()}
+    assert got[None] == got["hot"] == 1000 and len(got) == 1002 and sum(got.values()) == 3000
