@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from florilege.operators.orphans import orphan_counts, orphan_snapshots, plant_orphans
+from florilege.operators.orphans import open_plant_references, orphan_counts, orphan_snapshots, plant_orphans
 from florilege.operators.tree_aggregate import TIERS, species_compounds, species_profile
 from florilege.session import stage, table
 from florilege.sources.peak_lines import broken_lines, loaded_peaks, rejected_lines
@@ -22,17 +22,26 @@ def p1_species_profile(spark, d):
     return species_profile(table(spark, d, "plant_compounds"))
 
 
+def _p3_tables(spark, d):
+    return tuple(table(spark, d, t) for t in ("plant_compounds", "plant_metadata", "plant_compound_pair_tanimoto", "plant_list"))
+
+
 def p3_found(spark, d):
-    return plant_orphans(*(table(spark, d, t) for t in ("plant_compounds", "plant_metadata", "plant_compound_pair_tanimoto", "plant_list")))
+    return plant_orphans(*_p3_tables(spark, d))
 
 
 def p3_counts(spark, d):
     orphans = stage(p3_found(spark, d), "p3-found")
-    return orphan_counts(orphans, *(table(spark, d, t) for t in ("plant_compounds", "plant_metadata", "plant_compound_pair_tanimoto")))
+    return orphan_counts(orphans, *_p3_tables(spark, d)[:3])
 
 
 def p3_snapshots(spark, d):
-    return orphan_snapshots(*(table(spark, d, t) for t in ("plant_compounds", "plant_metadata", "plant_compound_pair_tanimoto", "plant_list")))
+    return orphan_snapshots(*_p3_tables(spark, d))
+
+
+def p3_open(spark, d):
+    """References that are orphans after all events, those that deletions have reopened included."""
+    return open_plant_references(*_p3_tables(spark, d))
 
 
 def p4_found(spark, d):
@@ -72,6 +81,27 @@ UNION ALL SELECT 'plant_metadata', metadata_id, 'missing' FROM plant_metadata
   WHERE {words_sql("species")} <> '' AND {words_sql("species")} NOT IN (SELECT {words_sql("species")} FROM plant_list))
 """
 
+_P3_EVENTS = f"""
+WITH refs AS (SELECT 'a' AS r, 'plant_compounds' AS ref_table, occurrence_id AS row_id, {words_sql("species")} AS k, retrieved_at AS t FROM plant_compounds
+UNION ALL SELECT 'b', 'plant_compound_pair_tanimoto', pair_id, lower(trim(compound_id_a)), computed_at FROM plant_compound_pair_tanimoto
+UNION ALL SELECT 'c', 'plant_metadata', metadata_id, {words_sql("species")}, valid_from FROM plant_metadata),
+rf AS (SELECT * REPLACE (coalesce(t, TIMESTAMP '0001-01-01') AS t) FROM refs WHERE k <> ''),
+pa AS (SELECT r, k, b, e, n AND (e IS NULL OR e > b) AS held FROM (SELECT r, k, coalesce(b, TIMESTAMP '9999-01-01') AS b, e, b IS NOT NULL AS n FROM (
+  SELECT 'a' AS r, {words_sql("species")} AS k, valid_from AS b, withdrawn_at AS e FROM plant_metadata
+  UNION ALL SELECT 'b', lower(trim(compound_id)), retrieved_at, withdrawn_at FROM plant_compounds
+  UNION ALL SELECT 'c', {words_sql("species")}, TIMESTAMP '0001-01-01', NULL FROM plant_list) WHERE k <> '')),
+ks AS (SELECT r, k FROM rf UNION SELECT r, k FROM pa),
+kp AS (SELECT r, k, count(*) AS n, count(*) FILTER (held AND e IS NULL) AS still FROM pa GROUP BY r, k)
+"""
+_P3_PERIODS = """, tt AS (SELECT r, k, t FROM rf UNION ALL SELECT r, k, b FROM pa UNION ALL SELECT r, k, e FROM pa WHERE held AND e IS NOT NULL),
+pe AS (SELECT r, k, t, (year(t) * 12 + month(t) - 1) // 24 AS p FROM tt), ps AS (SELECT DISTINCT p FROM pe),
+dl AS (SELECT r, k, p, sum(a) AS a, sum(g) AS g, sum(n) AS n FROM (
+  SELECT r, k, (year(b) * 12 + month(b) - 1) // 24 AS p, held::INT AS a, 1 AS g, 0 AS n FROM pa
+  UNION ALL SELECT r, k, (year(e) * 12 + month(e) - 1) // 24, -1, 0, 0 FROM pa WHERE held AND e IS NOT NULL
+  UNION ALL SELECT r, k, (year(t) * 12 + month(t) - 1) // 24, 0, 0, 1 FROM rf) GROUP BY r, k, p),
+st AS (SELECT ps.p, dl.r, dl.k, sum(a) AS a, sum(g) AS g, sum(n) AS n FROM ps JOIN dl ON dl.p <= ps.p GROUP BY ALL)
+"""
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(5760) || chr(8192) || chr(8193) || chr(8194) || chr(8195) || chr(8196) || chr(8197) || chr(8198) || chr(8199) || chr(8200) || chr(8201) || chr(8202) || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
 _NUM = "regexp_full_match({0}, '[+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?')"
 
@@ -100,6 +130,7 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p3_snapshots": p3_snapshots,
+    "p3_open": p3_open,
     "p4_found": p4_found,
     "p4_loaded": p4_loaded,
     "p4_rejected": p4_rejected,
@@ -114,6 +145,9 @@ ORACLES = {
 UNION ALL SELECT 'plant_compound_pair_tanimoto', pair_id, computed_at FROM plant_compound_pair_tanimoto
 UNION ALL SELECT 'plant_metadata', metadata_id, valid_from FROM plant_metadata)
 SELECT ref_table, strftime(at_time, '%Y-%m') AS month, reason, count(*) AS n_orphans FROM found JOIN times USING (ref_table, row_id) GROUP BY ALL""",
+    "p3_snapshots": _P3_EVENTS + _P3_PERIODS + """SELECT p::INT AS period, r AS relation, count(*) FILTER (a > 0) AS keys_on_file, count(*) FILTER (a <= 0 AND g > 0) AS keys_gone,
+  coalesce(sum(n) FILTER (a <= 0 AND g = 0), 0)::BIGINT AS refs_waiting, coalesce(sum(n) FILTER (a <= 0 AND g > 0), 0)::BIGINT AS refs_gone FROM st GROUP BY p, r""",
+    "p3_open": _P3_EVENTS + "SELECT ref_table, row_id, CASE WHEN n IS NULL THEN 'waiting' ELSE 'gone' END AS status FROM rf LEFT JOIN kp USING (r, k) WHERE coalesce(still, 0) = 0",
     "p4_found": _P4_CTE + "SELECT line_id, reason FROM r WHERE reason IS NOT NULL",
     "p4_loaded": _P4_CTE
     + "SELECT line_id, "

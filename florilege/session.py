@@ -104,10 +104,15 @@ def staging(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path, whatever its scheme."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = hadoop_path(spark, path)
+    fs.delete(target, True)
     paths = _STAGED.get(spark.sparkContext.applicationId, [])
     if path in paths:
         paths.remove(path)

@@ -159,20 +159,27 @@ def test_quality_of_an_empty_and_a_bad_table(spark):
     assert quality.table_quality(df.limit(0), rows).first()["status"] == "empty"
 
 
-def test_orphan_stream(spark, tmp_path):
+def test_orphan_stream_goes_on_after_a_restart_and_takes_a_replay(spark, tmp_path):
     from florilege.streaming.incremental import OrphanStream
 
     t = datetime(2024, 1, 1)
     schema = "ref_key string, at timestamp_ntz, row_id bigint, d_active int, d_begun int"
-    spark.createDataFrame([("k", t, 1, 0, 0)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
-    seen = []
-    stream = OrphanStream(lambda _, settled: seen.extend(tuple(r)[1:] for r in settled.collect()))
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
     source = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    stream.start(source(), str(tmp_path / "cp")).awaitTermination()
-    assert seen == [] and stream.state.pending.count() == 1
-    spark.createDataFrame([("k", datetime(2024, 2, 1), None, 1, 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
-    stream.start(source(), str(tmp_path / "cp")).awaitTermination()
-    assert seen == [(1, "late")] and stream.state.pending.count() == 0
+    seen = []
+    new = lambda: OrphanStream(spark, str(tmp_path / "state"), lambda i, settled: seen.extend((i, *tuple(r)[1:]) for r in settled.collect()))
+    put("a", [("k", t, 1, 0, 0), ("q", t, 2, 0, 0)])
+    new().start(source(), str(tmp_path / "cp")).awaitTermination()
+    assert seen == [] and new().finished() == [0] and new().state_of(0)[1].count() == 2
+    put("b", [("k", datetime(2024, 2, 1), None, 1, 1)])
+    new().start(source(), str(tmp_path / "cp")).awaitTermination()  # another object, as after a restart
+    assert seen == [(1, 1, "late")] and new().state_of(1)[0].pending.count() == 1
+    again = spark.createDataFrame([("k", datetime(2024, 2, 1), None, 1, 1)], schema)
+    new().batch(again, 1)  # the same batch again: the same rows and the same state
+    assert seen == [(1, 1, "late")] * 2
+    assert {tuple(r) for r in new().state_of(1)[0].index.collect()} == {("k", 1, 1, 1), ("q", 0, 0, 1)}
+    new().batch(spark.createDataFrame([("k", datetime(2024, 3, 1), None, -1, 0), ("k", datetime(2024, 3, 2), 3, 0, 0)], schema), 2)
+    assert seen[2:] == [(2, 3, "deleted")] and new().finished() == [1, 2]
 
 
 def test_context_vectors(spark):

@@ -3,7 +3,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from florilege.operators.orphans import find_orphans, parent_events, plant_orphans, reference_events
+from florilege.operators import orphans
+from florilege.operators.orphans import find_orphans, open_references, parent_events, plant_orphans, play_history, reference_events, step_ends
 
 T0 = datetime(2020, 1, 1)
 
@@ -57,3 +58,37 @@ def test_clashing_columns_and_repeated_rows(spark):
     listed = spark.createDataFrame([(1, "other")], "list_id bigint, species string")
     got = {tuple(r) for r in plant_orphans(compounds, meta, pairs, listed).collect()}
     assert got == {("plant_compounds", 3, "missing"), ("plant_compound_pair_tanimoto", 2, "missing"), ("plant_metadata", 1, "missing"), ("plant_metadata", 2, "missing")}
+
+
+def events(spark, refs, parents):
+    r = spark.createDataFrame(refs, "row_id bigint, k string, at timestamp_ntz")
+    p = spark.createDataFrame(parents, "k string, b timestamp_ntz, e timestamp_ntz")
+    return reference_events(r, F.col("k"), F.col("row_id"), F.col("at")), parent_events(p, F.col("k"), F.col("b"), F.col("e"))
+
+
+def test_deletions_reopen_references(spark):
+    day = lambda n: T0 + timedelta(days=n)
+    refs, parents = events(spark, [(1, "a", day(5)), (2, "b", day(5)), (3, "c", day(5)), (4, "d", day(1)), (5, "d", day(3))], [("a", day(0), day(400)), ("b", day(0), None), ("d", day(2), day(800))])
+    state, settled = play_history(refs, parents, period_months=6)
+    assert {(r["ref_key"], r["reason"]) for r in settled.collect()} == {("c", "missing"), ("d", "late")}
+    got = {(r["row_id"], r["status"]) for r in open_references(refs, state.index).collect()}
+    assert got == {(1, "gone"), (3, "waiting"), (4, "gone"), (5, "gone")}  # 1 and 5 had a parent, 4 was resolved; deletions reopened them
+
+
+def test_a_key_with_half_of_the_rows_at_one_instant(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "HOT_LEAST", 50)
+    monkeypatch.setattr(orphans, "hot_threshold", lambda rows: max(50, rows // 4))
+    refs = [(i, "hot", T0) for i in range(300)] + [(1000 + i, f"k{i % 30}", T0 + timedelta(hours=i)) for i in range(300)]
+    parents = [("hot", T0 + timedelta(days=1), None), *[(f"k{i}", T0, None if i % 2 else T0 + timedelta(hours=9)) for i in range(20)]]
+    assert run(spark, refs, parents, 1) == truth(refs, parents)
+
+
+def test_a_calendar_of_any_length_is_played_in_few_steps(spark, monkeypatch):
+    assert step_ends({3: 1, 5: 9}) == [3, 5]
+    ends = step_ends({p: 1 for p in range(1000)}, 10)
+    assert len(ends) == 10 and ends[-1] == 999
+    monkeypatch.setattr(orphans, "MAX_STEPS", 3)
+    monkeypatch.setattr(step_ends, "__defaults__", (3,))
+    refs = [(i, "a" if i % 2 else "b", datetime(1 + 37 * i, 1, 1)) for i in range(60)]
+    parents = [("a", datetime(700, 1, 1), datetime(1500, 1, 1)), ("b", None, None)]
+    assert run(spark, refs, parents, 12) == truth(refs, parents)
