@@ -4,8 +4,10 @@ Two dynamic programs run on each line. The first walks the line's quotes, delimi
 through the quoting automaton; a quote may be deleted or inserted at cost 1 each. The second
 aligns the resulting fields with the declared columns; a delimiter may be inserted (an empty
 column) or deleted (two fields merged) at cost 1 each, and a field that is no valid value of its
-column costs TYPE_COST. Quote edits weigh more than any number of delimiter edits. A line of cost
-zero loads; otherwise the edits of the cheapest parse state the reason:
+column costs TYPE_COST. Quote edits weigh more than any number of delimiter edits: of the parses
+with the fewest quote edits, one for each number of fields, the one whose alignment costs least is
+taken. Both programs take time in proportion to the line. A line of cost zero loads; otherwise the
+edits of the cheapest parse state the reason:
 
 * a quote edit: ``quoting``; otherwise a delimiter edit: ``column_count``; otherwise ``invalid_value``.
 """
@@ -13,6 +15,7 @@ zero loads; otherwise the edits of the cheapest parse state the reason:
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,11 +75,11 @@ def _step(state: int, token: str) -> int | None:
     return {_START: _PLAIN, _PLAIN: _PLAIN, _QUOTED: _QUOTED}.get(state)
 
 
-def quote_parse(tokens: list[str], width: int) -> tuple[int, list[str], list[str]]:
-    """Cheapest parse by quote edits: (edits, fields with their quotes, edit texts).
+def quote_parses(tokens: list[str], width: int) -> tuple[int, list[tuple[list[str], list[str]]]]:
+    """Cheapest parses by quote edits: (edits, [(fields with their quotes, edit texts)]), one parse for each number of fields.
 
-    Zero-cost lines are one walk through the automaton. Ties prefer a field count near ``width``,
-    then fewer insertions, then the earliest alternative.
+    Zero-cost lines are one walk through the automaton. Ties prefer fewer insertions, then the
+    earliest alternative; parses of a field count nearer ``width`` come first.
     """
     state, fields, begin = _START, [], 0
     for i, token in enumerate(tokens):
@@ -89,7 +92,7 @@ def quote_parse(tokens: list[str], width: int) -> tuple[int, list[str], list[str
         state = after
     else:
         if state != _QUOTED:
-            return 0, [*fields, "".join(tokens[begin:])], []
+            return 0, [([*fields, "".join(tokens[begin:])], [])]
     # best[(state, fields so far)] = (edits, insertions, back link); a back link is (earlier link, emitted text, edit text)
     cap = 2 * width + 2
     best: dict[tuple[int, int], tuple[int, int, tuple | None]] = {(_START, 1): (0, 0, None)}
@@ -117,58 +120,96 @@ def quote_parse(tokens: list[str], width: int) -> tuple[int, list[str], list[str
             if token == '"':
                 offer((s, k), (edits + 1, ins, (link, "", f"delete quote at {i}")))
         best = moved
-    (_, _), (edits, _, link) = min(((x, v) for x, v in best.items() if x[0] != _QUOTED), key=lambda x: (x[1][0], abs(x[0][1] - width), x[1][1], x[0]))
-    parts: list[str] = []
-    said: list[str] = []
-    while link is not None:
-        link, text, edit = link
-        parts.append(text)
-        if edit:
-            said.append(edit)
-    return edits, "".join(reversed(parts)).split("\x00"), said[::-1]
+    ends = {x: v for x, v in best.items() if x[0] != _QUOTED}
+    least = min(v[0] for v in ends.values())
+    out, seen = [], set()
+    for (_, k), (edits, _, link) in sorted(ends.items(), key=lambda x: (abs(x[0][1] - width), x[1][1], x[0])):
+        if edits > least or k in seen:
+            continue
+        seen.add(k)
+        parts: list[str] = []
+        said: list[str] = []
+        while link is not None:
+            link, text, edit = link
+            parts.append(text)
+            if edit:
+                said.append(edit)
+        out.append(("".join(reversed(parts)).split("\x00"), said[::-1]))
+    return least, out
+
+
+#: Characters and pieces that a number put together of several fields may have; longer ones count as no valid number.
+MERGED_NUMBER = 64
 
 
 def align(values: list[str], columns: tuple[Column_, ...]) -> tuple[float, list[str | None], list[str]]:
-    """Cheapest alignment of field values with columns by delimiter edits: (cost, a value per column, edit texts)."""
+    """Cheapest alignment of field values with columns by delimiter edits: (cost, a value per column, edit texts).
+
+    A column takes any run of fields. Whether a run is a valid text depends only on whether any of its
+    fields is non-empty, so the best start of a run is a running minimum; only numbers put together of a
+    few fields are tried run by run. The time is in proportion to the number of fields.
+    """
     n, width = len(values), len(columns)
     if n == width:
         return sum(TYPE_COST for v, c in zip(values, columns, strict=True) if not c.accepts(v)), list(values), []
     inf = float("inf")
-    cost = [[inf] * (width + 1) for _ in range(n + 1)]
-    back: list[list[tuple | None]] = [[None] * (width + 1) for _ in range(n + 1)]
-    cost[0][0] = 0.0
-    most = n - width + 1 if n > width else 1  # fields that one column may take
-    for j in range(width):
-        column = columns[j]
+    empty_from = [0] * (n + 1)  # the first field of the run of empty fields that ends before i
+    for i in range(1, n + 1):
+        empty_from[i] = empty_from[i - 1] if values[i - 1] == "" else i
+    cost = array("d", [inf]) * (n + 1)
+    cost[0] = 0.0
+    takes: list[array] = []
+    for column in columns:
+        new, took = array("d", [inf]) * (n + 1), array("q", [0]) * (n + 1)
+        blank = 0.0 if column.accepts("") else TYPE_COST
+        filled = TYPE_COST if column.number else 0.0  # a run that holds a non-empty field, numbers apart
+        low, low_at = inf, -1  # the least cost[k] - k of starts whose run up to here holds a non-empty field
+        void, void_at = inf, -1  # and of starts whose run up to here is empty fields only
         for i in range(n + 1):
-            if cost[i][j] == inf:
-                continue
-            new = cost[i][j] + 1 + (0 if column.accepts("") else TYPE_COST)
-            if new < cost[i][j + 1]:
-                cost[i][j + 1], back[i][j + 1] = new, (0, "")
-            merged = ""
-            for take in range(1, min(most, n - i) + 1):
-                merged = merged + values[i + take - 1]
-                new = cost[i][j] + (take - 1) + (0 if column.accepts(merged) else TYPE_COST)
-                if new < cost[i + take][j + 1]:
-                    cost[i + take][j + 1], back[i + take][j + 1] = new, (take, merged)
-    # fields beyond the last column are merged into it by the rule above, so the corner is always reached unless n == 0
+            if i:
+                if cost[i - 1] - i + 1 < void:
+                    void, void_at = cost[i - 1] - i + 1, i - 1
+                if values[i - 1] != "":  # with this field, the runs that were empty are not
+                    if void < low:
+                        low, low_at = void, void_at
+                    void, void_at = inf, -1
+            best, take = cost[i] + 1 + blank, 0
+            if low_at >= 0 and low + i - 1 + filled < best:
+                best, take = low + i - 1 + filled, i - low_at
+            if void_at >= 0 and void + i - 1 + blank < best:
+                best, take = void + i - 1 + blank, i - void_at
+            if column.number and i - empty_from[i] < MERGED_NUMBER:
+                merged = ""
+                for k in range(i - 1, max(-1, i - MERGED_NUMBER - 1), -1):
+                    merged = values[k] + merged
+                    if len(merged) > MERGED_NUMBER or i - k - 1 >= best:
+                        break
+                    if merged != "" and cost[k] + i - k - 1 < best and column.accepts(merged):
+                        best, take = cost[k] + i - k - 1, i - k
+            new[i], took[i] = best, take
+        takes.append(took)
+        cost = new
     i, out, said = n, [], []
-    for j in range(width, 0, -1):
-        take, text = back[i][j]
-        out.append(text)
+    for j in range(width - 1, -1, -1):
+        take = takes[j][i]
+        out.append("".join(values[i - take : i]))
         if take == 0:
-            said.append(f"insert delimiter for {columns[j - 1].name}")
+            said.append(f"insert delimiter for {columns[j].name}")
         elif take > 1:
-            said.append(f"delete {take - 1} delimiter(s) in {columns[j - 1].name}")
+            said.append(f"delete {take - 1} delimiter(s) in {columns[j].name}")
         i -= take
-    return cost[n][width], out[::-1], said[::-1]
+    return cost[n], out[::-1], said[::-1]
 
 
 def parse_line(line: str | None, columns: tuple[Column_, ...] = PEAK_COLUMNS) -> tuple[str | None, float, list[str], list[str | None]]:
     """(reason or None, cost, edits, a value per column). A null line counts as an empty one."""
-    quotes, fields, said = quote_parse(_TOKENS.findall(line or ""), len(columns))
-    cost, values, moves = align([value_of(f) for f in fields], columns)
+    quotes, parses = quote_parses(_TOKENS.findall(line or ""), len(columns))
+    best = None
+    for fields, edits in parses:
+        aligned = align([value_of(f) for f in fields], columns)
+        if best is None or aligned[0] < best[1][0]:
+            best = edits, aligned
+    said, (cost, values, moves) = best
     bad = [f"invalid {c.name}" for c, v in zip(columns, values, strict=True) if not c.accepts(v)]
     reason = "quoting" if quotes else "column_count" if moves else "invalid_value" if bad else None
     return reason, 1000 * quotes + cost, said + moves + bad, values

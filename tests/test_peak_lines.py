@@ -3,7 +3,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from florilege.sources.peak_lines import PEAK_COLUMNS, broken_lines, loaded_peaks, parse_line
+from florilege.sources.peak_lines import PEAK_COLUMNS, TYPE_COST, Column_, align, broken_lines, loaded_peaks, parse_line
 
 FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
 LINE = re.compile(rf"{FIELD}(?:,{FIELD})*", re.S)
@@ -62,3 +62,42 @@ def test_loading(spark):
     assert set(got) == {1, 4, 5} and got[5]["match_factor"] == 50.0 and got[5]["sample_name"] is None and got[5]["compound_name"] == "n"
     assert got[1]["compound_name"] == '2,7-x "trace"'
     assert broken_lines(df.limit(0)).count() == 0
+
+
+SMALL = (Column_("n", True, 120, False), Column_("t", may_be_empty=False), Column_("m", True), Column_("s"))
+
+
+def plain_align(values, columns):
+    """All ways to give every column a run of fields."""
+    n = len(values)
+    best = {0: 0.0}
+    for c in columns:
+        after = {}
+        for i, x in best.items():
+            for take in range(n - i + 1):
+                y = x + (1 if take == 0 else take - 1) + (0 if c.accepts("".join(values[i : i + take])) else TYPE_COST)
+                if y < after.get(i + take, 1e9):
+                    after[i + take] = y
+        best = after
+    return best[n]
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(["", "1", "2.5", "x", "0", "300", "1e", "-"]), max_size=9))
+def test_alignment_is_the_cheapest(values):
+    cost, out, _ = align(values, SMALL)
+    assert abs(cost - plain_align(values, SMALL)) < 1e-9 and len(out) == 4 and "".join(out) == "".join(values)
+
+
+def test_long_lines_take_time_in_proportion():
+    import time
+
+    for line in ("," * 200_000, "1," * 100_000, "x," * 100_000):
+        began = time.perf_counter()
+        assert parse_line(line)[0] == "column_count"
+        assert time.perf_counter() - began < 40
+
+
+def test_the_quote_edit_that_fits_the_columns_is_taken():
+    reason, cost, edits, values = parse_line('1.5,2,3,4,"a,b,50,S,F.D')
+    assert reason == "quoting" and int(cost // 1000) == 1 and cost % 1000 < 1 and values[4] == "a,b"
