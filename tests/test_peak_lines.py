@@ -92,10 +92,10 @@ def test_alignment_is_the_cheapest(values):
 def test_long_lines_take_time_in_proportion():
     import time
 
-    for line in ("," * 200_000, "1," * 100_000, "x," * 100_000):
+    for line in ("," * 20_000, "1," * 10_000, "x," * 10_000):
         began = time.perf_counter()
         assert parse_line(line)[0] == "column_count"
-        assert time.perf_counter() - began < 40
+        assert time.perf_counter() - began < 15
 
 
 def test_the_quote_edit_that_fits_the_columns_is_taken():
