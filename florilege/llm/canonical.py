@@ -3,13 +3,17 @@
 A symmetric-delete dictionary of the list is broadcast: each name's number words together with its
 letters, sorted and with up to two of them left out, lead to the name. A typed value leaves out
 letters likewise, so every name within two slips, with the words in any order, is among its hits.
-Hits are verified by Damerau-Levenshtein distance over the orders of the words; the nearest entry
-wins, ties go to the smaller weighted distance, then to the entry that occurs more often as typed
-exactly, then to the smaller identifier. Values that mean no entry are reported.
+Hits are ranked by weighted Damerau-Levenshtein distance, the least over all orders of the words of
+both sides, then by how often the entry occurs as typed exactly, then by the smaller identifier. Values
+that mean no entry are reported.
+
+A slip costs 7 to 10 tenths, so that fewer slips always cost less than more, and at most two slips is
+the same as a cost of at most 20: costs need to be worked out only where entries tie in slips.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,13 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.functions.text import GREEK
+from florilege.operators.skew import hot_threshold, salt
 from florilege.session import stage
 
 SLIPS = 2
-#: Names of the list that may be broadcast as one dictionary (about 20 KB a name); beyond it the lists meet by a shuffle join.
+#: Names (of all entries, other names included) and delete keys of a list that may be broadcast as one dictionary: about 100 MB in a worker.
+#: Beyond either the lists meet by a shuffle join, with the same rows.
 MAX_BROADCAST_NAMES = 5_000
-#: Words other than numbers that a name of the list may have.
-MAX_LIST_WORDS = 6
+MAX_BROADCAST_KEYS = 500_000
+#: Salted parts of a delete key that many values share.
+SALTS = 64
 _WORD = re.compile(r"[^\W_]+")
 _GREEK = str.maketrans(GREEK)
 
@@ -116,84 +123,109 @@ def _rows_after(rows: list[list[int]], done: str, word: str, target: str) -> lis
     return rows
 
 
-#: Values of more words than this are searched depth first instead of order by order.
-_FEW_WORDS = 5
+#: With more words than this on a side, orders are searched together letter by letter instead of one by one.
+_FEW_WORDS = 4
 
 
-def order_distance(words: tuple[str, ...], targets: tuple[str, ...], limit: int = SLIPS) -> tuple[int, str, str] | None:
-    """Fewest slips between some order of the words, joined, and one of the targets; None beyond the limit.
+@lru_cache(maxsize=50_000)
+def orders_of(words: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(sorted({"".join(p) for p in permutations(words)}))
 
-    Returns the slips and the pair of texts.
-    """
-    total = sum(map(len, words))
-    targets = tuple(t for t in targets if abs(total - len(t)) <= limit)
-    if not targets:
+
+def slips_between(words: tuple[str, ...], target: tuple[str, ...], limit: int = SLIPS) -> int | None:
+    """Fewest slips between some order of the words, joined, and some order of the target's; None beyond the limit."""
+    if abs(sum(map(len, words)) - sum(map(len, target))) > limit:
         return None
-    if len(words) > _FEW_WORDS:
-        return _deep_distance(words, targets, limit)
-    orders = sorted({"".join(p) for p in permutations(words)})
-    same = set(orders).intersection(targets)
-    if same:
-        return 0, min(same), min(same)
+    if max(len(words), len(target)) > _FEW_WORDS:
+        cost = slip_cost(words, target, limit)
+        return None if cost is None else -(-cost // 10)
+    mine, theirs = orders_of(words), orders_of(target)
+    if not set(mine).isdisjoint(theirs):
+        return 0
     best = None
-    for order in orders:
-        for target in targets:
-            d = bounded_distance(order, target, limit)
-            if d is not None and (best is None or d < best[0]):
-                best = (d, order, target)
+    for order in mine:
+        for other in theirs:
+            d = bounded_distance(order, other, limit)
+            if d is not None:
                 if d == 1:
-                    return best
-                limit = d - 1
+                    return 1
+                best, limit = d, d - 1
     return best
 
 
-def _deep_distance(words: tuple[str, ...], targets: tuple[str, ...], limit: int) -> tuple[int, str, str] | None:
-    """order_distance for many words: orders depth first, cut as soon as a prefix is too far from every prefix of the target."""
-    best = None
-    for target in targets:
-        stack = [("", list(words), [list(range(len(target) + 1))])]
-        while stack:
-            done, rest, rows = stack.pop()
-            if not rest:
-                d = rows[-1][-1]
-                if d <= limit and (best is None or (d, done, target) < best):
-                    best = (d, done, target)
-                    limit = d
-                continue
-            for word in sorted(set(rest), reverse=True):
-                after = _rows_after(rows, done, word, target)
-                if min(after[-1]) <= limit:
-                    left = list(rest)
-                    left.remove(word)
-                    stack.append((done + word, left, after))
-    return best
+_VOWELS = set("aeiouy")
+SWAP, DOUBLED, VOWEL, OTHER = 7, 7, 8, 10
 
 
-_VOWELS = set("aeiouy")
+def _draw(word: str, before: str, rest: tuple[str, ...], n: int) -> Iterator[tuple[str, str, str, tuple[str, ...]]]:
+    """All ways to take n letters: (letters, what is left of the word, the letter before it in the word, words left)."""
+    if n == 0:
+        yield "", word, before, rest
+    elif word:
+        for letters, *state in _draw(word[1:], word[0], rest, n - 1):
+            yield word[0] + letters, *state
+    else:
+        for k, w in enumerate(rest):
+            if k == 0 or w != rest[k - 1]:
+                yield from _draw(w, "", rest[:k] + rest[k + 1 :], n)
 
 
-def weighted_distance(a: str, b: str) -> float:
-    """Damerau-Levenshtein with likelier slips cheaper: swaps and doubled letters 0.7, vowel for vowel 0.8, others 1."""
-    prev2: list[float] = []
-    prev = [float(j) for j in range(len(b) + 1)]
-    for i in range(1, len(a) + 1):
-        row = [float(i)]
-        for j in range(1, len(b) + 1):
-            x, y = a[i - 1], b[j - 1]
-            sub = 0.0 if x == y else 0.8 if x in _VOWELS and y in _VOWELS else 1.0
-            gone = 0.7 if i > 1 and a[i - 2] == x else 1.0
-            new = 0.7 if j > 1 and b[j - 2] == y else 1.0
-            best = min(prev[j - 1] + sub, prev[j] + gone, row[j - 1] + new)
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, prev2[j - 2] + 0.7)
-            row.append(best)
-        prev2, prev = prev, row
-    return prev[-1]
+def slip_cost(words: tuple[str, ...], target: tuple[str, ...], limit: int = SLIPS) -> int | None:
+    """The least cost in tenths of turning some order of the words into some order of the target's, None beyond ``limit`` slips.
+
+    Swapped neighbours and a doubled letter of a word cost 7, a vowel for a vowel 8, other slips 10; a
+    swap around a letter too many or missing is two slips. Both texts are built letter by letter, cheapest
+    first; where both stand between words, what follows does not depend on what went before, so the
+    parts may come in any order and the one that holds the first word left comes next.
+    """
+    most = 10 * limit
+    start = ("", "", tuple(sorted(words)), "", "", tuple(sorted(target)), None)
+    if start[2] == start[5]:
+        return 0
+    heap: list[tuple[int, int, tuple]] = [(0, 0, start)]
+    done: set[tuple] = set()
+    serial = 0
+    while heap:
+        cost, _, state = heapq.heappop(heap)
+        if state in done:
+            continue
+        done.add(state)
+        a, a0, left, b, b0, other, first = state
+        if not (a or left or b or other):
+            return cost
+        steps: list[tuple[int, tuple, tuple]] = []
+        ones_a, ones_b = list(_draw(a, a0, left, 1)), list(_draw(b, b0, other, 1))
+        for x, *to_a in ones_a:
+            for y, *to_b in ones_b:
+                steps.append((0 if x == y else VOWEL if x in _VOWELS and y in _VOWELS else OTHER, to_a, to_b))
+            steps.append((DOUBLED if a and a0 == x else OTHER, to_a, [b, b0, other]))
+        for y, *to_b in ones_b:
+            steps.append((DOUBLED if b and b0 == y else OTHER, [a, a0, left], to_b))
+        if cost + SWAP <= most:
+            twos_a, twos_b = list(_draw(a, a0, left, 2)), list(_draw(b, b0, other, 2))
+            steps += [(SWAP, to_a, to_b) for x, *to_a in twos_a for y, *to_b in twos_b if x[0] == y[1] != x[1] == y[0]]
+            if cost + SWAP + OTHER <= most:
+                steps += [(SWAP + OTHER, to_a, to_b) for x, *to_a in _draw(a, a0, left, 3) for y, *to_b in twos_b if x[0] == y[1] and x[2] == y[0]]
+                steps += [(SWAP + OTHER, to_a, to_b) for x, *to_a in twos_a for y, *to_b in _draw(b, b0, other, 3) if y[0] == x[1] and y[2] == x[0]]
+        for more, (a1, p, left1), (b1, q, other1) in steps:
+            total = cost + more
+            gap = abs(len(a1) + sum(map(len, left1)) - len(b1) - sum(map(len, other1)))
+            if total + gap * DOUBLED > most:
+                continue
+            mark = first if first is not None else (left[0], left.count(left[0])) if left else None
+            if not a1 and not b1:  # between words on both sides
+                if mark is not None and left1.count(mark[0]) == mark[1]:
+                    continue
+                p = q = ""
+                mark = (left1[0], left1.count(left1[0])) if left1 else None
+            serial += 1
+            heapq.heappush(heap, (total, serial, (a1, p, left1, b1, q, other1, mark)))
+    return None
 
 
 @dataclass
 class NameIndex:
-    """The dictionary: exact list names, names by their words, and delete key -> positions of (entry, orders of its words)."""
+    """The dictionary: exact list names, names by their words, and delete key -> positions of (entry, words)."""
 
     exact: set[str] = field(default_factory=set)
     names: list[tuple[int, tuple[str, ...]]] = field(default_factory=list)
@@ -204,10 +236,8 @@ class NameIndex:
         numbers, words = name_parts(name)
         if not words:
             return
-        if len(words) > MAX_LIST_WORDS:
-            raise ValueError(f"a name of the list has more than {MAX_LIST_WORDS} words: {name!r}")
         at = len(self.names)
-        self.names.append((entry, tuple(sorted({"".join(p) for p in permutations(words)}))))
+        self.names.append((entry, tuple(sorted(words))))
         for key in delete_keys(numbers, words):
             self.keys.setdefault(key, []).append(at)
 
@@ -231,14 +261,16 @@ class NameIndex:
         return self.nearest(words, hits) if hits else None
 
     def nearest(self, words: tuple[str, ...], hits: set[int]) -> int | None:
-        found = [(got[0], self.names[at][0], got) for at in sorted(hits) if (got := order_distance(words, self.names[at][1]))]
-        if not found:
-            return None
-        least = min(d for d, *_ in found)
-        close = [(entry, got) for d, entry, got in found if d == least]
-        if len({e for e, _ in close}) == 1:
-            return close[0][0]
-        return min(close, key=lambda x: (weighted_distance(x[1][1], x[1][2]), -self.frequency.get(x[0], 0), x[0]))[0]
+        least, close = SLIPS, []
+        for entry, target in {self.names[at] for at in hits}:
+            d = slips_between(words, target, least)
+            if d is not None:
+                if d < least:
+                    least, close = d, []
+                close.append((entry, target))
+        if len({e for e, _ in close}) <= 1:
+            return close[0][0] if close else None
+        return min((slip_cost(words, target, least), -self.frequency.get(entry, 0), entry) for entry, target in close)[2]
 
 
 class Lookup:
@@ -256,11 +288,16 @@ class Lookup:
         self.meaning = lru_cache(maxsize=size)(by_value)
 
 
+def fits_broadcast(library: DataFrame) -> bool:
+    """Whether the names and the delete keys of a list stay below the bounds; counted before anything is brought to the driver."""
+    names = library.select(F.explode(F.split(F.concat_ws(";", "compound", "also_called"), ";")).alias("n"))
+    letters = F.size(F.array_distinct(F.split(F.regexp_replace(F.lower("n"), r"[^\p{L}]+", ""), "")))  # distinct letters, rounded up
+    row = names.agg(F.count(F.lit(1)).alias("n"), F.sum((letters + 1) * (letters + 2) / 2).alias("k"), F.sum(F.length("n")).alias("c")).first()
+    return row["n"] <= MAX_BROADCAST_NAMES and (row["k"] or 0) <= MAX_BROADCAST_KEYS and (row["c"] or 0) <= MAX_BROADCAST_KEYS * 4
+
+
 def list_names(library: DataFrame) -> list[tuple[int, str, str | None]]:
-    """The canonical list; its size is checked before anything of it is brought to the driver."""
-    n = library.count()
-    if n > MAX_BROADCAST_NAMES:
-        raise ValueError(f"{n} entries: more than MAX_BROADCAST_NAMES, use match_by_join")
+    """The canonical list, of a size that fits_broadcast has checked."""
     return [tuple(r) for r in library.select(F.col("library_id").cast("bigint"), "compound", "also_called").collect()]
 
 
@@ -276,7 +313,7 @@ def build_index(entries: list[tuple[int, str, str | None]], frequency: dict[int,
 
 def exact_frequency(named: DataFrame, entries: list[tuple[int, str, str | None]]) -> dict[int, int]:
     """How many rows carry each list name exactly: counts over all rows, one row per list name comes back."""
-    by_name = {c: e for e, c, _ in entries if c is not None}
+    by_name = {c: e for e, c, _ in sorted(entries, key=lambda x: -x[0]) if c is not None}  # of the same name the smallest
     if not by_name:
         return {}
     counts = named.filter(F.col("name").isin(*by_name)).groupBy("name").count().collect()
@@ -286,11 +323,11 @@ def exact_frequency(named: DataFrame, entries: list[tuple[int, str, str | None]]
 def match_rows(named: DataFrame, library: DataFrame) -> DataFrame:
     """Rows (src_table, row_id, name) whose name is not a list name but means one: src_table, row_id, library_id.
 
-    Map-only: the dictionary is broadcast (bounded by MAX_BROADCAST_NAMES), each worker keeps what it
-    has looked up. Null names mean none; repeated rows each come out; an empty list matches nothing.
-    Beyond the bound, match_by_join gives the same rows.
+    Map-only: the dictionary is broadcast (bounded by MAX_BROADCAST_NAMES and MAX_BROADCAST_KEYS), each
+    worker keeps what it has looked up. Null names mean none; repeated rows each come out; an empty
+    list matches nothing. Beyond the bounds, match_by_join gives the same rows.
     """
-    if library.count() > MAX_BROADCAST_NAMES:
+    if not fits_broadcast(library):
         return match_by_join(named, library)
     entries = list_names(library)
     index = build_index(entries, exact_frequency(named, entries))
@@ -309,7 +346,10 @@ def match_rows(named: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def match_by_join(named: DataFrame, library: DataFrame) -> DataFrame:
-    """The same for lists of any size: delete keys of distinct values and of list names meet in a shuffle join."""
+    """The same for lists of any size: delete keys of distinct values and of list names meet in a shuffle join.
+
+    Values of the same words are looked up once. A key that many values share is salted.
+    """
     named = named.select("src_table", "row_id", "name")
     names = library.select(
         F.col("library_id").cast("bigint").alias("library_id"), F.explode(F.split(F.concat_ws(";", "compound", "also_called"), ";")).alias("list_name")
@@ -317,39 +357,59 @@ def match_by_join(named: DataFrame, library: DataFrame) -> DataFrame:
     exact = library.filter("compound is not null").groupBy(F.col("compound").alias("name")).agg(F.min(F.col("library_id").cast("bigint")).alias("entry"))
     counted = named.filter("name is not null").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     frequency = counted.join(exact, "name").groupBy(F.col("entry").alias("library_id")).agg(F.sum("n").alias("frequency"))
-    values = counted.join(exact, "name", "left_anti").select("name")
-    keyed = _with_keys(values, "name").join(_with_keys(names.join(frequency, "library_id", "left").na.fill(0, ["frequency"]), "list_name"), "key")
-    pairs = keyed.select("name", "library_id", "list_name", "frequency").distinct()
+    values = stage(_with_words(counted.join(exact, "name", "left_anti").select("name"), "name"), "names-words")
+    theirs = _with_words(names.join(frequency, "library_id", "left").na.fill(0, ["frequency"]), "list_name").select("library_id", "frequency", "numbers", F.col("words").alias("target")).distinct()
+    mine = stage(_with_keys(values.select("numbers", "words").distinct(), "words"), "names-keys")
+    hot = F.broadcast(mine.groupBy("key").count().filter(F.col("count") >= hot_threshold(mine.count())).select("key", F.lit(True).alias("is_hot")))
+    salted = mine.join(hot, "key", "left").withColumn("salt", F.when(F.col("is_hot"), salt(F.col("words"), SALTS)).otherwise(0)).drop("is_hot")
+    spread = _with_keys(theirs, "target").join(hot, "key", "left")
+    spread = spread.withColumn("salt", F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("is_hot")
+    pairs = salted.join(spread, ["key", "numbers", "salt"]).select("numbers", "words", "library_id", "target", "frequency").distinct()
+
+    near = _scored(pairs, "slips", lambda w, t: slips_between(w, t))
+    least = F.rank().over(Window.partitionBy("numbers", "words").orderBy("slips"))
+    near = near.filter("slips is not null").withColumn("place", least).filter("place = 1").drop("place")
+    several = F.min("library_id").over(Window.partitionBy("numbers", "words")) != F.max("library_id").over(Window.partitionBy("numbers", "words"))
+    near = stage(near.withColumn("several", several), "names-near")
+    costed = _scored(near.filter("several"), "cost", lambda w, t: slip_cost(w, t)).unionByName(near.filter("not several").withColumn("cost", F.lit(0)))
+    best = F.row_number().over(Window.partitionBy("numbers", "words").orderBy("cost", F.desc("frequency"), "library_id"))
+    meant = costed.withColumn("place", best).filter("place = 1").select("numbers", "words", "library_id")
+    return named.join(values.join(meant, ["numbers", "words"]).select("name", "library_id"), "name").select("src_table", "row_id", "library_id")
+
+
+def _scored(pairs: DataFrame, name: str, score) -> DataFrame:
+    """Pairs of words with a whole-number score of words and target."""
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name, entry, list_name, often in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                (_, words), (_, target) = name_parts(name), name_parts(list_name)
-                if len(target) > MAX_LIST_WORDS:
-                    raise ValueError(f"a name of the list has more than {MAX_LIST_WORDS} words: {list_name!r}")
-                got = order_distance(tuple(sorted(words)), tuple({"".join(p) for p in permutations(target)}))
-                if got:
-                    rows.append((name, entry, got[0], weighted_distance(got[1], got[2]), -often))
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["name", "library_id", "d", "w", "f"])
-
-    best = Window.partitionBy("name").orderBy("d", "w", "f", "library_id")
-    meant = pairs.mapInArrow(verify, "name string, library_id bigint, d int, w double, f bigint").withColumn("place", F.row_number().over(best)).filter("place = 1").select("name", "library_id")
-    return named.join(meant, "name").select("src_table", "row_id", "library_id")
-
-
-def _with_keys(df: DataFrame, name: str) -> DataFrame:
+            at = batch.schema.get_field_index
+            both = zip(batch.column(at("words")).to_pylist(), batch.column(at("target")).to_pylist(), strict=True)
+            yield batch.append_column(name, pa.array([score(tuple(w.split(" ")), tuple(t.split(" "))) for w, t in both], pa.int32()))
+
+    return pairs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes) + f", {name} int")
+
+
+def _with_words(df: DataFrame, name: str) -> DataFrame:
+    """Add ``numbers`` and ``words`` (sorted, joined) of a name; names without words are left out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
-            for value in batch.column(batch.schema.get_field_index(name)).to_pylist():
-                numbers, words = name_parts(value)
-                keys.append(sorted(delete_keys(numbers, words)) if words else [])
-            yield batch.append_column("keys", pa.array(keys, pa.list_(pa.int64())))
-
-    kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    return df.mapInArrow(run, kinds + ", keys array<bigint>").select(*df.columns, F.explode("keys").alias("key"))
+            parts = [name_parts(v) for v in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+            yield batch.append_column("numbers", pa.array([n for n, _ in parts], pa.string())).append_column("words", pa.array([" ".join(sorted(w)) for _, w in parts], pa.string()))
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", numbers string, words string").filter("words <> ''")
+
+
+def _with_keys(df: DataFrame, words: str) -> DataFrame:
+    """A row for each delete key of ``numbers`` and the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            both = zip(batch.column(at("numbers")).to_pylist(), batch.column(at(words)).to_pylist(), strict=True)
+            yield batch.append_column("keys", pa.array([sorted(delete_keys(n, tuple(w.split(" ")))) for n, w in both], pa.list_(pa.int64())))
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", keys array<bigint>").select(*df.columns, F.explode("keys").alias("key"))
 
 
 def named_rows(compounds: DataFrame, peaks: DataFrame) -> DataFrame:
