@@ -9,7 +9,9 @@ One-byte damage (bytes of one legacy encoding read as another) has no multibyte
 automaton can't see it. Sentences whose tokens fit no alphabet are mapped back to bytes and decoded
 by the documented pairs of encodings; a pair is taken only if it leaves (almost) no misfit.
 
-U+FFFD stands for bytes that are lost: such texts are found, and marked as not restorable there.
+U+FFFD stands for bytes that are lost, and C1 controls that no encoding explains stay as they are: such
+texts are found, and marked as not fully restored. So is a text in which tokens fit no alphabet after
+all. ``by`` says which of these found a text.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -30,6 +33,7 @@ SINGLE_BYTE_PAIRS = (
     ("cp1251", "western"), ("koi8-r", "western"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp866", "western"), ("iso8859-5", "western"),
     ("cp1250", "western"), ("iso8859-2", "western"), ("mac_roman", "western"), ("cp850", "western"), ("cp437", "western"),
     ("western", "mac_roman"), ("western", "cp850"), ("western", "cp437"), ("western", "cp1250"), ("western", "cp1251"), ("western", "koi8-r"), ("cp1250", "cp1251"), ("iso8859-2", "cp1250"),
+    ("cp1252", "latin-1"), ("cp1251", "latin-1"), ("cp1250", "latin-1"),
 )
 #: The letters beyond a-z of the languages that texts are expected in.
 ALPHABETS = {
@@ -107,10 +111,27 @@ def _expected(c: str) -> bool:
     )
 
 
-def _fits(text: str, begin: int, end: int, decoded: str) -> bool:
-    """Whether a span may be decoded: expected characters, and letters that stand beside letters."""
-    if not all(map(_expected, decoded)):
+def _script(c: str) -> str:
+    """The script of a letter, by the first word of its name; marks have the script of what they stand on."""
+    return unicodedata.name(c, "?").split(" ")[0]
+
+
+def _one_script(decoded: str) -> bool:
+    """Two letters or more of one script, its marks included: letters that a span gives by chance hardly ever stand together."""
+    own = [c for c in decoded if c.isalpha() or unicodedata.category(c) in ("Mn", "Mc")]
+    if len(own) < 2 or not own[0].isalpha() or not all(c in own or unicodedata.category(c) == "Nd" or _expected(c) for c in decoded):
         return False
+    return len({_script(c) for c in own} - {"COMBINING"}) == 1 and _script(own[0]) != "?"
+
+
+def _fits(text: str, begin: int, end: int, decoded: str, name: str) -> bool:
+    """Whether a span may be decoded: expected characters, and letters that stand beside letters.
+
+    Letters of other scripts count only where the text was read as a western encoding, in which the
+    characters of such spans never make up words; in the Cyrillic ones they do.
+    """
+    if not all(map(_expected, decoded)):
+        return name == "western" and (_one_script(decoded) or _beside_letters(text, begin, end, decoded))
     before, after = text[begin - 1 : begin], text[end : end + 1]
     if len(decoded) > 1 or not decoded.isalpha() or decoded in LONE_LETTERS and not _is_cyrillic(decoded):
         return True
@@ -119,12 +140,17 @@ def _fits(text: str, begin: int, end: int, decoded: str) -> bool:
     return before.isalpha() or after.isalpha()
 
 
+def _beside_letters(text: str, begin: int, end: int, decoded: str) -> bool:
+    """A single small Latin letter of another alphabet, or a mark, beside a small letter: it would have been read as a capital or an accented letter and a sign there."""
+    before, after = text[begin - 1 : begin], text[end : end + 1]
+    latin = len(decoded) == 1 and (decoded.islower() and _script(decoded) == "LATIN" or unicodedata.category(decoded) == "Mn")
+    return latin and (before.islower() or after.islower())
+
+
 def _is_cyrillic(c: str) -> bool:
     return "Ѐ" <= c <= "џ"
 
 
-#: Rounds of undoing; each undoes one layer in one encoding.
-_ROUNDS = 8
 _HIGH_RUN = re.compile(r"[^\x00-\x7f]{2,}")
 
 
@@ -134,7 +160,7 @@ def _spans(text: str, name: str) -> tuple[int, list[tuple[int, int, str]]]:
     found = []
     for m in pattern.finditer(text):
         decoded = bytes(table[c] for c in m.group()).decode("utf-8")
-        found.append((m.start(), m.end(), decoded, _fits(text, m.start(), m.end(), decoded)))
+        found.append((m.start(), m.end(), decoded, _fits(text, m.start(), m.end(), decoded, name)))
     covered = sum(end - begin for begin, end, _, ok in found if ok)
     cyrillic = any(ok and any(map(_is_cyrillic, d)) for *_, d, ok in found)
     return covered, [(b, e, d) for b, e, d, ok in found if ok or cyrillic and len(d) == 1 and _is_cyrillic(d)]
@@ -143,10 +169,11 @@ def _spans(text: str, name: str) -> tuple[int, list[tuple[int, int, str]]]:
 def restore_multibyte(text: str) -> tuple[str, list[str]]:
     """Decode the maximal well-formed multibyte spans; the encodings that the text had been read as.
 
-    In each round the encoding whose spans cover the most characters is undone, in all places.
+    In each round the encoding whose spans cover the most characters is undone, in all places. Every
+    round makes the text shorter, so it ends, whatever the number of layers.
     """
     used: list[str] = []
-    for _ in range(_ROUNDS):
+    while True:
         runs = "\n".join(_HIGH_RUN.findall(text))
         if not runs:
             break
@@ -264,22 +291,40 @@ def restore_single_byte(text: str) -> tuple[str, list[str]]:
     return "".join(a + b for a, b in pieces), [f"{w} read as {r}" for w, r in used]
 
 
-def restore(text: str | None) -> tuple[str, list[str], bool] | None:
-    """(restored text, what had happened, whether characters are lost), or None where nothing is damaged."""
+_C1 = re.compile("[\x80-\x84\x86-\x9f]")  # U+0085 is a line break of its own
+
+
+@dataclass(frozen=True)
+class Restored:
+    """What became of a damaged text."""
+
+    text: str
+    damage: tuple[str, ...]
+    by: tuple[str, ...]
+    fully_restored: bool
+
+
+def restore(text: str | None) -> Restored | None:
+    """The restored text, what had happened, what found it and whether nothing of the damage is left; None where nothing is damaged."""
     if not text or text.isascii():
         return None
     fixed, utf8 = restore_multibyte(text)
-    said = [f"utf-8 read as {x}" for x in utf8]
     fixed, single = restore_single_byte(fixed)
-    said += single
-    lost = LOST in text
-    if lost:
+    said = [f"utf-8 read as {x}" for x in utf8] + single
+    by = ["multibyte"] * bool(utf8) + ["single byte"] * bool(single)
+    if LOST in text:
         said.append("bytes lost")
-    return (fixed, said, lost) if said else None
+        by.append("lost bytes")
+    if _C1.search(text):
+        said += ["control characters"] * bool(_C1.search(fixed))
+        by.append("controls")
+    if not by:
+        return None
+    return Restored(fixed, tuple(said), tuple(by), LOST not in fixed and not _C1.search(fixed) and not _misfits(fixed))
 
 
-RESTORED_SCHEMA = "doc_id bigint, restored_text string, damage string, fully_restored boolean"
-_RESTORED = pa.schema([("doc_id", pa.int64()), ("restored_text", pa.string()), ("damage", pa.string()), ("fully_restored", pa.bool_())])
+RESTORED_SCHEMA = "doc_id bigint, restored_text string, damage string, found_by string, fully_restored boolean"
+_RESTORED = pa.schema([("doc_id", pa.int64()), ("restored_text", pa.string()), ("damage", pa.string()), ("found_by", pa.string()), ("fully_restored", pa.bool_())])
 
 
 def _restore_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,12 +333,12 @@ def _restore_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             got = restore(text)
             if got:
-                rows.append((doc_id, got[0], "; ".join(got[1]), not got[2]))
+                rows.append((doc_id, got.text, "; ".join(got.damage), "; ".join(got.by), got.fully_restored))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_RESTORED.types)], schema=_RESTORED)
 
 
 def damaged_texts(documents: DataFrame) -> DataFrame:
-    """Damaged documents with the restored text, what had happened, and whether nothing is lost.
+    """Damaged documents with the restored text, what had happened, what found it, and whether nothing of the damage is left.
 
     Null, empty and pure-ASCII texts are never damaged. Map-only: no shuffle, whole texts.
     """

@@ -68,6 +68,11 @@ def p9_restored(spark, d):
     return damaged_texts(table(spark, d, "documents"))
 
 
+def p9_ways(spark, d):
+    """How many documents each way of finding damage has found, and how many of them came out whole."""
+    return damaged_texts(table(spark, d, "documents")).groupBy("found_by").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if("fully_restored").alias("n_fully_restored"))
+
+
 _KEYED = f"SELECT *, {words_sql('species')} AS sw, {words_sql('compound_name')} AS nw FROM plant_compounds"
 _SAME = "sw, nw, " + ", ".join(_COMPOUND_COLUMNS)
 
@@ -91,7 +96,7 @@ def _golden(field: str, *ranks: str) -> str:
 
 QUERIES = {
     "p2_found": p2_found, "p2_collapsed": p2_collapsed, "p5_found": p5_found, "p5_golden": p5_golden, "p6_found": p6_found, "p6_misses": p6_misses,
-    "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored,
+    "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored, "p9_ways": p9_ways,
 }
 
 _P7 = f"""

@@ -33,16 +33,16 @@ def test_multibyte_round_trip(lang, wrong):
     except UnicodeDecodeError:
         pytest.skip("the encoding has no character for a byte")
     got = restore(text)
-    assert got is not None and got[2] is False
+    assert got is not None and "multibyte" in got.by
     if not (wrong == "cp1251" and lang not in ("ru", "en")):
-        assert got[0] == TEXTS[lang]
+        assert got.text == TEXTS[lang] and got.fully_restored
 
 
 def test_twice_and_in_places():
     twice = western(western(TEXTS["fr"].encode()).encode())
-    assert restore(twice)[0] == TEXTS["fr"]
+    assert restore(twice).text == TEXTS["fr"]
     part = TEXTS["de"] + "\n" + western(TEXTS["es"].encode())
-    assert restore(part)[0] == TEXTS["de"] + "\n" + TEXTS["es"]
+    assert restore(part).text == TEXTS["de"] + "\n" + TEXTS["es"]
 
 
 @pytest.mark.parametrize(("lang", "written", "read"), [("ru", "cp1251", "western"), ("ru", "cp1251", "koi8-r"), ("pl", "iso8859-2", "western"), ("pl", "cp1250", "western"), ("fr", "mac_roman", "western"), ("es", "cp850", "western"), ("de", "mac_roman", "western")])
@@ -50,12 +50,39 @@ def test_one_byte_round_trip(lang, written, read):
     data = TEXTS[lang].replace("–", "-").replace("“", "").replace("”", "").replace("’", "'").encode(written)
     text = western(data) if read == "western" else data.decode(read)
     got = restore(text)
-    assert got is not None and got[0] == data.decode(written)
+    assert got is not None and got.text == data.decode(written) and got.by[0] == "single byte"
 
 
 def test_lost_bytes():
-    fixed, said, lost = restore("Im Mai bl�hte es")
-    assert lost and said == ["bytes lost"] and fixed == "Im Mai bl�hte es"
+    got = restore("Im Mai bl�hte es")
+    assert got.damage == ("bytes lost",) and got.text == "Im Mai bl�hte es" and not got.fully_restored
+
+
+def test_any_number_of_layers():
+    text = TEXTS["fr"]
+    for _ in range(11):
+        text = western(text.encode())
+    got = restore(text)
+    assert got.text == TEXTS["fr"] and got.fully_restored
+
+
+@pytest.mark.parametrize("text", ["Universitatea din București și Timișoara", "Ελλάδα: τα φυτά μεγαλώνουν", "中文植物化学", "النباتات الطبية", "Đặc điểm của rễ cây", "हिन्दी में पौधे"])
+def test_scripts_outside_the_expected_languages(text):
+    assert restore(text) is None or not restore(text).by == ("multibyte",)
+    got = restore(western(text.encode()))
+    assert got is not None and got.text == text
+
+
+def test_controls_are_reported():
+    got = restore("un \x93très\x94 noté")
+    assert got.text == "un “très” noté" and got.damage == ("cp1252 read as latin-1",) and got.fully_restored
+    got = restore("x\x81\x8d\x9dZy 12")
+    assert "controls" in got.by
+
+
+def test_what_stays_damaged_is_not_called_restored():
+    got = restore(western("größer".encode()) + " und � und \x9d")
+    assert got.text.startswith("größer") and not got.fully_restored
 
 
 def test_table(spark):
