@@ -43,9 +43,12 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     import florilege.llm.leakage as leakage
 
     items, docs = make(6)
-    monkeypatch.setattr(leakage, "MAX_INDEX_ITEMS", 4)
-    got = {tuple(r) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")).collect()}
-    assert got == brute(items, docs)
+    docs += [(2000, "\u0130stanbul x " + items[1][1] + " y"), (2001, " ".join([items[2][1], "z " * 90, items[2][1]]))]
+    for name, bound in (("MAX_INDEX_ITEMS", 4), ("MAX_INDEX_CHARS", 200)):
+        with monkeypatch.context() as m:
+            m.setattr(leakage, name, bound)
+            got = [tuple(r) for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, item_text string")).collect()]
+            assert len(got) == len(set(got)) and set(got) == brute(items, docs)
 
 
 def test_search_finds_all_above_the_threshold():
