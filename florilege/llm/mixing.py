@@ -68,14 +68,17 @@ def plan_mix(totals: dict[str, tuple[int, int]], targets: list[tuple[str, float,
 
     Sources without tokens, without a share or that may not be used are left out and the other
     shares scaled up in proportion. The total is as large as every source can fill with its share
-    within its repeats; a smaller one may be asked for, a larger one is cut to that.
+    within its repeats; a smaller one may be asked for. One that is larger than that cannot be filled
+    without changing the shares, and raises.
     """
     usable = [(s, share, reps) for s, share, reps in targets if s is not None and share and share > 0 and reps and reps > 0 and totals.get(s, (0, 0))[0] > 0]
     weight = sum(share for _, share, _ in usable)
     if not usable:
         return []
     most = min(reps * totals[s][0] / (share / weight) for s, share, reps in usable)
-    total = min(most, total_tokens) if total_tokens is not None else most
+    if total_tokens is not None and total_tokens > most * (1 + 1e-9):
+        raise ValueError(f"{total_tokens} tokens are asked for, but with these shares and repeats the sources fill {most:.0f}")
+    total = total_tokens if total_tokens is not None else most
     all_tokens = sum(totals[s][0] for s, *_ in usable)
     raw = {s: tilt if share / weight > totals[s][0] / all_tokens else -tilt for s, share, _ in usable}
     middle = sum(share / weight * raw[s] for s, share, _ in usable)  # taken off, so that the weights sum to 1 at every time

@@ -22,6 +22,8 @@ def test_plan():
     assert plans["b"].wanted == pytest.approx(400) and sum(p.mix_share * p.tilt for p in plans.values()) == pytest.approx(0)
     assert plan_mix({}, [("a", 1.0, 1)]) == []
     assert sum(p.wanted for p in plan_mix(totals, [("a", 0.5, 1), ("b", 0.5, 1)], total_tokens=50)) == pytest.approx(50)
+    with pytest.raises(ValueError, match="fill 200"):
+        plan_mix(totals, [("a", 0.5, 1), ("b", 0.5, 1)], total_tokens=201)
 
 
 @pytest.fixture
