@@ -278,10 +278,18 @@ PATHWAY_RULES = (
     ("signaling|hormone|neuroactive|synapse|inflammation", "Signaling and regulation"),
 )
 #: Terms looked for in label and flavour texts.
-DESCRIPTOR_TERMS = tuple("citrus lemon orange lime floral rose green herbal mint pine woody earthy fruity berry apple banana sweet bitter sour fatty waxy spicy pepper smoky nutty almond vanilla phenolic sulfurous alliaceous camphor terpene fresh".split())
-ROUTE_TERMS = tuple("oral intravenous topical inhalation subcutaneous intramuscular ophthalmic nasal transdermal rectal sublingual buccal intradermal epidural".split())
-DOSAGE_TERMS = tuple("tablet capsule solution suspension injection cream ointment gel patch spray powder suppository syrup".split())
-NP_CLASS_TERMS = tuple("alkaloid terpenoid terpene monoterpene sesquiterpene diterpene triterpene flavonoid phenylpropanoid polyketide peptide lipid steroid saponin coumarin lignan tannin".split())
+DESCRIPTOR_TERMS = (
+    "citrus", "lemon", "orange", "lime", "floral", "rose", "green", "herbal", "mint", "pine", "woody", "earthy", "fruity", "berry", "apple", "banana", "sweet", "bitter", "sour", "fatty", "waxy", "spicy", "pepper", "smoky", "nutty", "almond", "vanilla", "phenolic", "sulfurous", "alliaceous", "camphor", "terpene", "fresh",
+)
+ROUTE_TERMS = (
+    "oral", "intravenous", "topical", "inhalation", "subcutaneous", "intramuscular", "ophthalmic", "nasal", "transdermal", "rectal", "sublingual", "buccal", "intradermal", "epidural",
+)
+DOSAGE_TERMS = (
+    "tablet", "capsule", "solution", "suspension", "injection", "cream", "ointment", "gel", "patch", "spray", "powder", "suppository", "syrup",
+)
+NP_CLASS_TERMS = (
+    "alkaloid", "terpenoid", "terpene", "monoterpene", "sesquiterpene", "diterpene", "triterpene", "flavonoid", "phenylpropanoid", "polyketide", "peptide", "lipid", "steroid", "saponin", "coumarin", "lignan", "tannin",
+)
 WARNING_TERMS = ("contraindication", "adverse reaction", "boxed warning", "warning", "precaution", "interaction", "overdosage", "pregnancy", "carcinogenesis", "hypersensitivity")
 #: Activity directions and domains, the first pattern found wins.
 DIRECTION_RULES = (

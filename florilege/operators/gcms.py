@@ -9,14 +9,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.functions.text import non_empty, squish
+from florilege.session import stage
 
 REQUIRED = ("component_rt", "component_area", "base_peak_mz", "file_name", "compound_name", "match_factor")
 #: Exact masses that stand for "not resolved" and take no part in the fit.
 NO_MASS = (58.041864811, 999.99)
 #: Confident peaks lie at most this far below the best match factor; tentative peaks lie this near the best retention time.
 MATCH_BAND, RT_BAND = 25.0, 0.15
-#: Targets with their spectra that may be broadcast.
-MAX_BROADCAST_TARGETS = 5_000
+#: Targets, and m/z values and names of all of them, that may be broadcast (about 50 MB); more meet the peaks by a shuffle join.
+MAX_BROADCAST_TARGETS, MAX_BROADCAST_VALUES = 5_000, 1_000_000
+#: Fixed value: the mass that targets without one are ordered by.
+LAST_MASS = 999.999
 
 
 def missing_columns(peaks: DataFrame) -> list[str]:
@@ -37,7 +40,7 @@ def spread_peaks(peaks: DataFrame, compound_info: DataFrame) -> DataFrame:
     """
     info = compound_info.groupBy("compound_name").agg(F.min("mass").alias("mass"))
     joined = peaks.join(info, "compound_name", "left").withColumn("mass", F.coalesce("mass", F.lit(NO_MASS[1])))
-    return joined.withColumn("peak_code", F.concat_ws(" | ", F.format_number("component_rt", 4), F.format_number("mass", 4)))
+    return joined.withColumn("peak_code", F.concat_ws(" | ", F.format_string("%.4f", "component_rt"), F.format_string("%.4f", "mass")))
 
 
 def peak_matrix(peaks: DataFrame, row: str, column: str, columns: list[str], value: Column) -> DataFrame:
@@ -68,40 +71,80 @@ def extract_targets(peaks: DataFrame, targets: DataFrame, *, decontaminate: bool
     least two m/z values is tentative, unless some target has it exactly. Tentative peaks count only
     in samples without an exact area, within RT_BAND of the best tentative RT, and each goes to the
     lightest target that takes it. Targets without mass come last and are dropped when decontaminating.
+
+    Peaks are written once, narrow. The targets are broadcast with their m/z values, so a tentative peak
+    finds its target inside its row: first the best RT of every target, combined before the shuffle, then
+    the claims. The sums per compound and sample are the only shuffle of peaks.
     """
-    fit = fit_retention(peaks).first()
-    order = Window.orderBy(F.coalesce("mass", F.lit(999.999)), "compound")  # one row per target: a small, bounded table
-    ordered = (
-        targets.withColumn("target_mass", F.coalesce("mass", F.lit(999.999)))
-        .withColumn("predicted_rt", F.col("target_mass") * F.lit(fit["slope"]).cast("double") + F.lit(fit["intercept"]).cast("double"))
-        .withColumn("limit_rt", F.coalesce(F.lead("predicted_rt").over(order), F.col("predicted_rt")))
-        .withColumn("place", F.row_number().over(order))
-        .select("compound", "target_mass", "place", "limit_rt", "names", F.col("mz").alias("target_mz"))
-    )
-    if targets.count() <= MAX_BROADCAST_TARGETS:
-        ordered = F.broadcast(ordered)
-    slim = peaks.select("peak_id", "component_rt", "component_area", "match_factor", "file_name", "compound_name", "mz")
-    exact = slim.join(ordered.select("compound", "target_mass", F.explode("names").alias("compound_name")).distinct(), "compound_name")
-    exact = exact.select("compound", "target_mass", "peak_id", "component_rt", "component_area", "match_factor", "file_name")
-    left = slim.join(exact.select("peak_id").distinct(), "peak_id", "left_anti")
+    slim = stage(peaks.select("peak_id", "component_rt", "component_area", "match_factor", "file_name", "compound_name", "mz", "mass"), "gcms-peaks")
+    wanted = stage(targets.select("compound", F.coalesce("mass", F.lit(LAST_MASS)).alias("target_mass"), "names", F.array_distinct("mz").alias("target_mz")), "gcms-targets")
+    fit = fit_retention(slim).first()
+    order = Window.orderBy("target_mass", "compound")  # one row per target
+    predicted = F.col("target_mass") * F.lit(fit["slope"]).cast("double") + F.lit(fit["intercept"]).cast("double")
+    ordered = stage(wanted.withColumn("predicted_rt", predicted).withColumn("limit_rt", F.coalesce(F.lead("predicted_rt").over(order), F.col("predicted_rt"))).withColumn("place", F.row_number().over(order)), "gcms-ordered")
+    size = ordered.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("target_mz") + F.size("names")), F.lit(0)).alias("v")).first()
+    small = size["n"] <= MAX_BROADCAST_TARGETS and size["v"] <= MAX_BROADCAST_VALUES
+    names = ordered.select("place", F.explode("names").alias("compound_name")).groupBy("compound_name").agg(F.sort_array(F.collect_set("place")).alias("places"))  # the targets of one name
+    known = slim.join(F.broadcast(names) if small else names, "compound_name", "left")
+    fields = ["component_rt", "component_area", "match_factor", "file_name"]
+    exact = known.filter("places is not null").select(F.explode("places").alias("place"), *fields, F.lit(True).alias("exact"))
+    rest = known.filter("places is null").select("peak_id", *fields, "mz")
+    claim = _claims(rest, ordered) if small else _claims_by_join(rest, ordered)
+    both = exact.unionByName(claim.select("place", *fields, F.lit(False).alias("exact")))
+
+    def measures(rows: Column, tag: str) -> list[Column]:
+        in_ = lambda c: F.when(rows, c)
+        rt = F.col("component_rt")
+        return [F.sum(in_(F.col("component_area"))).alias("area_" + tag), F.avg(in_(F.when(rt > 0, rt))).alias("rt_" + tag), F.max(in_(F.col("match_factor"))).alias("match_" + tag), F.count_if(rows).alias("n_" + tag)]
+
+    sums = both.groupBy("place", "file_name").agg(*measures(F.col("exact"), "exact"), *measures(F.lit(True), "all"))
+    pick = lambda c: F.when(F.col("area_exact") > 0, F.col(c + "_exact")).otherwise(F.col(c + "_all"))
+    titles = ordered.select("place", "compound", F.col("target_mass").alias("mass"))
+    out = sums.join(F.broadcast(titles) if small else titles, "place")
+    out = out.select("compound", "mass", "file_name", pick("area").alias("area"), pick("rt").alias("mean_rt"), pick("match").alias("best_match"), pick("n").alias("n_peaks"))
+    return out.filter((F.col("mass") != LAST_MASS) & F.col("mean_rt").isNotNull()) if decontaminate else out
+
+
+def _claims(rest: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Tentative peaks with the place of the target that takes them; a few targets, found inside each row."""
+    spark = rest.sparkSession
+    limits, at_mz = {}, {}
+    for r in ordered.select("place", "limit_rt", "target_mz").collect():  # bounded by MAX_BROADCAST_TARGETS and MAX_BROADCAST_VALUES
+        limits[r["place"]] = r["limit_rt"]
+        for m in r["target_mz"]:
+            at_mz.setdefault(m, []).append(r["place"])
+    if not at_mz:
+        return rest.limit(0).withColumn("place", F.lit(0))
+    mz_type = dict(ordered.dtypes)["target_mz"].removeprefix("array<").removesuffix(">")
+
+    def attach(df: DataFrame, row: tuple, schema: str) -> DataFrame:
+        return df.withColumn("__fl_one", F.lit(0)).join(F.broadcast(spark.createDataFrame([(0, *row)], "__fl_one int, " + schema)), "__fl_one").drop("__fl_one")
+
+    places = F.array_sort(F.flatten(F.transform(F.array_distinct("mz"), lambda m: F.coalesce(F.try_element_at("at_mz", m), F.array().cast("array<int>")))))
+    twice = F.filter(F.col("p"), lambda x, i: (i > 0) & (F.get(F.col("p"), i - 1) == x) & F.coalesce(F.get(F.col("limits"), x - 1) >= F.col("component_rt"), F.lit(False)))
+    tables = (at_mz, [limits[k] for k in range(1, len(limits) + 1)])
+    met = attach(rest, tables, f"at_mz map<{mz_type}, array<int>>, limits array<double>").withColumn("p", places).withColumn("p", F.array_distinct(twice)).filter(F.size("p") > 0).drop("at_mz", "limits")
+    best = {r["place"]: r["rt"] for r in met.select(F.explode("p").alias("place"), "component_rt").groupBy("place").agg(F.max("component_rt").alias("rt")).collect()}  # one row per target
+    near = lambda x: F.abs(F.col("component_rt") - F.get(F.col("best"), x - 1)) <= RT_BAND
+    taken = attach(met, ([best.get(k) for k in range(1, len(limits) + 1)],), "best array<double>")
+    return taken.withColumn("place", F.get(F.filter("p", near), 0)).filter("place is not null").drop("p", "best", "mz")
+
+
+def _claims_by_join(rest: DataFrame, ordered: DataFrame) -> DataFrame:
+    """The same for any number of targets: m/z values meet in a shuffle join."""
+    theirs = ordered.select("place", "limit_rt", F.explode("target_mz").alias("one_mz"))
     shared = (
-        left.select("*", F.explode(F.array_distinct("mz")).alias("one_mz"))
-        .join(ordered.select("compound", "target_mass", "place", "limit_rt", F.explode(F.array_distinct("target_mz")).alias("one_mz")), "one_mz")
+        rest.select("*", F.explode(F.array_distinct("mz")).alias("one_mz"))
+        .join(theirs, "one_mz")
         .filter("component_rt <= limit_rt")
-        .groupBy("compound", "target_mass", "place", "peak_id")
+        .groupBy("place", "peak_id")
         .agg(F.count(F.lit(1)).alias("n_shared"), *[F.any_value(c).alias(c) for c in ("component_rt", "component_area", "match_factor", "file_name")])
         .filter("n_shared >= 2")
     )
-    best = shared.groupBy("compound").agg(F.max("component_rt").alias("best_rt"))
-    near = shared.join(best, "compound").filter(F.abs(F.col("component_rt") - F.col("best_rt")) <= RT_BAND)
-    claimed = near.withColumn("turn", F.row_number().over(Window.partitionBy("peak_id").orderBy("place"))).filter("turn = 1")
-    with_exact = exact.groupBy("compound", "file_name").agg(F.sum("component_area").alias("a")).filter("a > 0").select("compound", "file_name")
-    tentative = claimed.join(with_exact, ["compound", "file_name"], "left_anti").select("compound", "target_mass", "peak_id", "component_rt", "component_area", "match_factor", "file_name")
-    both = exact.unionByName(tentative)
-    out = both.groupBy("compound", F.col("target_mass").alias("mass"), "file_name").agg(
-        F.sum("component_area").alias("area"), F.avg(F.when(F.col("component_rt") > 0, F.col("component_rt"))).alias("mean_rt"), F.max("match_factor").alias("best_match"), F.count(F.lit(1)).alias("n_peaks")
-    )
-    return out.filter((F.col("mass") != 999.999) & F.col("mean_rt").isNotNull()) if decontaminate else out
+    shared = stage(shared, "gcms-shared")
+    best = shared.groupBy("place").agg(F.max("component_rt").alias("best_rt"))
+    near = shared.join(F.broadcast(best) if best.count() <= MAX_BROADCAST_TARGETS else best, "place").filter(F.abs(F.col("component_rt") - F.col("best_rt")) <= RT_BAND)
+    return near.withColumn("turn", F.row_number().over(Window.partitionBy("peak_id").orderBy("place"))).filter("turn = 1").drop("turn", "best_rt", "n_shared")
 
 
 def internal_standard(areas: DataFrame, standard: str, *, is_ng: float = 190.5, is_ul: float = 1.0, collect_time: float = 1.0, sample_amount: float = 1.0) -> DataFrame:

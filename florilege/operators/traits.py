@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.functions.rules import best_confidence, clean_label, confidence_threshold, hold, number, ordered
+from florilege.functions.rules import best_confidence, clean_label, confidence_threshold, hazard_group, hold, number, ordered
 from florilege.functions.text import collapse_sorted, key_value, non_empty, squish
+from florilege.operators.exact import exact_percentiles
+from florilege.operators.skew import hot_threshold, split_join
+from florilege.session import stage
 
 TRAIT_KEY = ["query", "cid", "trait_type", "trait_group", "trait_value_clean"]
 #: Sources that raise a trait's confidence score.
@@ -64,19 +67,33 @@ PROFILES = {
     "kegg": (("pathway", "reaction"), ("chemical_class:pathway_group", "chemical_class:enzyme_class")),
     "sensory": ((), ("use:descriptor", "use:flavor", "use:odor", "use:regulatory_status", "use:use_group")),
     "biomedical": (("bioactivity", "target", "potency"), ("use:active_ingredient", "use:pharmacologic_class", "use:pharmacologic_action", "use:administration_route", "use:dosage_form", "use:use_group", "chemical_class:mesh_tree_category", "property:molecular_size_bin", "property:xlogp_bin", "property:tpsa_bin")),
-    "core": ((), tuple(k for k in ONTOLOGY if k.split(":")[1] not in ("target_name", "pathway_name", "ec_number", "participant_id")) + ("use:regulatory_status", "use:pharmacologic_action", "bioactivity:endpoint_metric", "target:target_group", "target:endpoint_metric", "taxonomy:kingdom", "taxonomy:family", "taxonomy:taxonomy_group", "taxonomy:natural_product_class", "occurrence:occurrence_type", "occurrence:kingdom", "occurrence:family", "occurrence:natural_product_class")),
+    "core": ((), (
+        "property:molecular_size_bin", "property:xlogp_bin", "property:tpsa_bin", "property:rotatable_bond_bin", "property:hbond_donor_bin", "property:hbond_acceptor_bin",
+        "hazard:hazard_code", "hazard:hazard_category", "hazard:hazard_group", "hazard:signal_word", "hazard:exposure_route", "hazard:target_organ", "hazard:toxicity_metric", "hazard:toxicity_species",
+        "use:descriptor", "use:flavor", "use:odor", "use:regulatory_status", "use:pharmacologic_class", "use:pharmacologic_action", "use:administration_route", "use:dosage_form", "use:warning", "use:use_group",
+        "chemical_class:reactive_group", "chemical_class:natural_product_superclass", "chemical_class:natural_product_class", "chemical_class:natural_product_subclass", "chemical_class:pathway_group", "chemical_class:enzyme_class", "chemical_class:mesh_tree_category",
+        "taxonomy:kingdom", "taxonomy:family", "taxonomy:taxonomy_group", "taxonomy:natural_product_class", "occurrence:occurrence_type", "occurrence:kingdom", "occurrence:family", "occurrence:natural_product_class",
+        "pathway:pathway_group", "pathway:enzyme_class", "pathway:role_type", "reaction:participant_role", "reaction:participant_side",
+        "bioactivity:activity_class", "bioactivity:activity_direction", "bioactivity:bioactivity_domain", "bioactivity:endpoint_metric", "target:target_type", "target:target_organism", "target:target_group", "target:endpoint_metric",
+        "potency:potency_metric", "potency:potency_bucket",
+    )),
 }
 
 
+#: Rules that come before the term dictionary.
+SPECIAL_TERMS = (("anti[- ]?inflammatory|non[- ]?steroidal", "anti-inflammatory", "anti-inflammatory"), (r"cyclooxygenase|\bcox\b", "cyclooxygenase inhibitor", "enzyme inhibitor"))
+
+
 def term_lookup(term: Column) -> tuple[Column, Column, Column]:
-    """(term, group, confidence) of a free term: hazard codes, two special rules, the dictionary, else its clean label."""
-    special = (("anti[- ]?inflammatory|non[- ]?steroidal", "anti-inflammatory", "anti-inflammatory"), (r"cyclooxygenase|\bcox\b", "cyclooxygenase inhibitor", "enzyme inhibitor"))
-    rules = (*special, *TERMS)
+    """(term, group, confidence) of a free term: hazard codes with their hazard group, two special rules, the dictionary, else its clean label."""
+    rules = (*SPECIAL_TERMS, *TERMS)
+    term = squish(term)
     label_ = clean_label(term)
     is_code = term.rlike("(?i)^H[0-9]{3}[A-Za-z]?$")
     by_dictionary = ordered(term, [(p, t) for p, t, _ in rules])
     clean = F.when(is_code, F.lower(term)).otherwise(F.coalesce(by_dictionary, label_))
-    group = F.when(is_code, "hazard_code").otherwise(F.coalesce(ordered(term, [(p, g) for p, _, g in rules]), label_))
+    code_group = F.coalesce(hazard_group(F.upper(term), F.upper(term)), F.lit("hazard_code"))
+    group = F.when(is_code, code_group).otherwise(F.coalesce(ordered(term, [(p, g) for p, _, g in rules]), label_))
     confidence = F.when(non_empty(term).isNull(), "low").when(is_code | by_dictionary.isNotNull(), "high").otherwise("medium")
     return F.when(non_empty(term).isNotNull(), clean), F.when(non_empty(term).isNotNull(), group), confidence
 
@@ -110,6 +127,7 @@ def is_descriptive(value: Column) -> Column:
 
 
 def _is_sentence(v: Column, words: Column) -> Column:
+    # The lengths, numbers of words and patterns that mark a sentence.
     return (
         F.coalesce(v == "", F.lit(True))
         | (F.length(v) > 140)
@@ -160,12 +178,15 @@ def build_traits(rows: DataFrame) -> DataFrame:
 
 
 def dedupe_traits(traits: DataFrame) -> DataFrame:
-    """One row per (query, cid, type, group, clean value): sources collapsed, the smallest evidence id, best confidence and score, matrix key.
+    """One row per (query, cid, type, group, clean value): sources, source tables and rules collapsed, the smallest value and evidence id, best confidence and score, matrix key.
 
     A trait may rest on any number of records, so their ids are counted (n_rows), not gathered; evidence_links has them all.
     """
+    few = [c for c in ("source_table", "extraction_rule") if c in traits.columns]
     out = traits.groupBy(*TRAIT_KEY).agg(
         collapse_sorted(F.col("source_database")).alias("source_database"),
+        *[collapse_sorted(F.col(c)).alias(c) for c in few],
+        F.min(non_empty(F.col("trait_value"))).alias("trait_value"),
         F.min(non_empty(F.col("evidence_id"))).alias("evidence_id"),
         best_confidence(F.col("confidence")).alias("confidence"),
         F.max("confidence_score").alias("confidence_score"),
@@ -202,10 +223,10 @@ def matrix_source(traits: DataFrame, profile: str = "core", min_confidence: str
     return traits.filter(F.col("matrix_key").isNotNull() & (F.coalesce("confidence_score", F.lit(0.0)) >= confidence_threshold(min_confidence)) & in_profile(profile))
 
 
-def rank_keys(source: DataFrame, max_traits: int | None = None) -> DataFrame:
+def rank_keys(source: DataFrame, max_traits: int | None = None, key: str = "matrix_key") -> DataFrame:
     """Matrix keys by how many compounds have them, then mean confidence, then name; the first ``max_traits``."""
-    ranked = source.groupBy("matrix_key").agg(F.countDistinct(key_value(F.col("query")), key_value(F.col("cid"))).alias("prevalence"), mean_cents(F.col("confidence_score")).alias("mean_confidence"))
-    ranked = ranked.orderBy(F.desc("prevalence"), F.desc("mean_confidence"), "matrix_key")
+    ranked = source.groupBy(key).agg(F.countDistinct(key_value(F.col("query")), key_value(F.col("cid"))).alias("prevalence"), mean_cents(F.col("confidence_score")).alias("mean_confidence"))
+    ranked = ranked.orderBy(F.desc("prevalence"), F.desc("mean_confidence"), key)
     return ranked if max_traits is None else ranked.limit(max_traits)
 
 
@@ -223,7 +244,7 @@ def trait_matrix(source: DataFrame, compounds: DataFrame, keys: list[str], mode:
 
 
 def trait_ontology(traits: DataFrame, min_confidence: str | float = 0, include_unmapped: bool = False) -> DataFrame:
-    """Traits with ontology domain, group, term and key; one row per compound and term."""
+    """Traits with ontology domain, group, term, key and the identifiers that their evidence names; one row per compound and term."""
     pair = F.concat_ws(":", key_piece(F.col("trait_type")), key_piece(F.col("trait_group")))
     maps = [F.create_map(*[F.lit(x) for k, v in ONTOLOGY.items() for x in (k, v[i])]) for i in (0, 1)]
     ranked = ((F.col("trait_type") == "taxonomy") & F.col("trait_group").isin(*TAXONOMY_RANKS)) | ((F.col("trait_type") == "occurrence") & F.col("trait_group").isin(*OCCURRENCE_RANKS))
@@ -234,32 +255,56 @@ def trait_ontology(traits: DataFrame, min_confidence: str | float = 0, include_u
         mapped = mapped.withColumn("ontology_domain", F.coalesce("ontology_domain", F.lit("unmapped"))).withColumn("ontology_group", F.coalesce("ontology_group", "trait_group"))
     else:
         mapped = mapped.filter("ontology_domain is not null")
+    value = F.col("trait_value") if "trait_value" in traits.columns else F.col("trait_value_clean")
+    ident, source, url = ontology_identifier(F.col("trait_type"), F.col("trait_group"), value, F.col("evidence_id"), F.col("ontology_group"))
+    found = F.min(F.when(ident.isNotNull(), F.struct(ident.alias("i"), source.alias("s"), url.alias("u"))))
     out = mapped.groupBy("query", "cid", "ontology_domain", "ontology_group", F.col("trait_value_clean").alias("ontology_term")).agg(
-        F.max("confidence_score").alias("confidence_score"), best_confidence(F.col("confidence")).alias("confidence"), collapse_sorted(F.col("source_database")).alias("source_database")
+        F.max("confidence_score").alias("confidence_score"), best_confidence(F.col("confidence")).alias("confidence"), collapse_sorted(F.col("source_database")).alias("source_database"), found.alias("f")
     )
-    return out.withColumn("ontology_key", matrix_key(F.col("ontology_domain"), F.col("ontology_group"), F.col("ontology_term")))
+    out = out.withColumn("ontology_key", matrix_key(F.col("ontology_domain"), F.col("ontology_group"), F.col("ontology_term")))
+    return out.select(*[c for c in out.columns if c != "f"], F.col("f.i").alias("ontology_id"), F.col("f.s").alias("ontology_id_source"), F.col("f.u").alias("ontology_id_url"))
+
 
+#: Pages of identifiers, by their source.
+IDENTIFIER_PAGES = {
+    "NCBI Taxonomy": "https://www.ncbi.nlm.nih.gov/Taxonomy/Browser/wwwtax.cgi?id=",
+    "EC": "https://www.kegg.jp/entry/",
+    "KEGG PATHWAY": "https://www.kegg.jp/entry/",
+    "KEGG REACTION": "https://www.kegg.jp/entry/",
+    "KEGG COMPOUND": "https://www.kegg.jp/entry/",
+    "NCBI Gene": "https://www.ncbi.nlm.nih.gov/gene/",
+    "PubChem BioAssay": "https://pubchem.ncbi.nlm.nih.gov/bioassay/",
+}
 
-def ontology_identifier(trait_group: Column, text: Column) -> tuple[Column, Column]:
-    """(identifier, its source) that a trait's evidence names, by the trait's group."""
 
-    def first(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(text, f"({pattern})", 1), F.lit(""))
+def ontology_identifier(trait_type: Column, trait_group: Column, value: Column, evidence_id: Column, ontology_group: Column) -> tuple[Column, Column, Column]:
+    """(identifier, its source, its page) that a trait or its evidence names, by the trait's type and group; the first rule that holds."""
+    text = F.concat_ws("; ", non_empty(evidence_id), non_empty(value))
 
+    def first(where: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(F.coalesce(where, F.lit("")), f"({pattern})", 1), F.lit(""))
+
+    number_ = r"\b[0-9]{1,12}\b"
+    chemical, assayed = trait_type.isin("pathway", "reaction", "chemical_class"), trait_type.isin("bioactivity", "target", "potency")
     rules = (
-        (("hazard_code",), first(r"\bH[0-9]{3}[A-Za-z]?\b"), "GHS"),
-        (("mesh_tree_category",), first(r"\b[A-Z][0-9]{2}(?:\.[0-9]+)+\b"), "MeSH tree number"),
-        (("ec_number", "enzyme_class"), F.concat(F.lit("ec:"), first(r"\b[0-9]+(?:\.[0-9-]+){3}\b")), "EC"),
-        (("pathway_group", "pathway_name"), first(r"\b(?:map|ko)[0-9]{5}\b"), "KEGG PATHWAY"),
-        (("reaction_name", "participant_role", "participant_side"), first(r"\bR[0-9]{5}\b"), "KEGG REACTION"),
-        (("participant_id",), first(r"\bC[0-9]{5}\b"), "KEGG COMPOUND"),
-        (("kingdom", "family", "genus", "species", "organism", "target_taxonomy"), first(r"\b[0-9]{1,12}\b"), "NCBI Taxonomy"),
-    )
+        (ontology_group == "ghs_hazard_code", F.upper(first(text, r"(?i)\bH[0-9]{3}[A-Za-z]?\b")), "GHS"),
+        (trait_group == "mesh_tree_category", first(text, r"\b[A-Z][0-9]{2}(?:\.[0-9]+)+\b"), "MeSH tree number"),
+        (trait_type.isin("taxonomy", "occurrence"), first(evidence_id, number_), "NCBI Taxonomy"),
+        (chemical & trait_group.isin("ec_number", "enzyme_class"), F.concat(F.lit("ec:"), first(text, r"\b[0-9]+(?:\.[0-9-]+){3}\b")), "EC"),
+        (chemical & trait_group.isin("pathway_group", "pathway_name"), first(text, r"\b(?:map|ko)[0-9]{5}\b"), "KEGG PATHWAY"),
+        (chemical & trait_group.isin("reaction_name", "participant_role", "participant_side"), first(text, r"\bR[0-9]{5}\b"), "KEGG REACTION"),
+        (chemical & (trait_group == "participant_id"), first(F.upper(value), r"\bC[0-9]{5}\b"), "KEGG COMPOUND"),
+        (assayed & (trait_group == "target_gene"), first(value, number_), "NCBI Gene"),
+        (assayed & (trait_group == "target_taxonomy"), first(value, number_), "NCBI Taxonomy"),
+        (assayed & (trait_group == "target_accession"), non_empty(value), "PubChem BioAssay target accession"),
+        (trait_type.isin("bioactivity", "potency") & trait_group.isin("activity_class", "activity_direction", "bioactivity_domain", "assay_type", "endpoint_metric", "potency_metric", "potency_bucket"), F.concat(F.lit("AID:"), first(evidence_id, number_)), "PubChem BioAssay"),
+    )
     ident, source = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for groups, value, name in rules:
-        hit = trait_group.isin(*groups) & value.isNotNull()
-        ident, source = F.when(hit, value).otherwise(ident), F.when(hit, name).otherwise(source)
-    return ident, source
+    for holds, found, name in reversed(rules):
+        hit = F.coalesce(holds, F.lit(False)) & found.isNotNull()
+        ident, source = F.when(hit, found).otherwise(ident), F.when(hit, name).otherwise(source)
+    pages = F.create_map(*[F.lit(x) for kv in IDENTIFIER_PAGES.items() for x in kv])
+    return ident, source, F.concat(pages[source], F.regexp_replace(ident, "^AID:", ""))
 
 
 def trait_evidence(traits: DataFrame, keys: list[str] | None = None, min_confidence: str | float = 0, links: DataFrame | None = None) -> DataFrame:
@@ -294,25 +339,10 @@ def trait_summary(traits: DataFrame, by: str = "type", min_confidence: str | flo
     return t.join(u, same, "left").select("t.*", "u.top_values")
 
 
-def trait_similarity(source: DataFrame, key: str = "matrix_key") -> DataFrame:
-    """Pairs of compounds with a shared key: shared and union counts, Jaccard, overlap coefficient.
-
-    Compounds with exactly the same key set form one class and are compared once: a row is a pair of
-    class representatives (smallest query), with ``n_a`` and ``n_b`` members; trait_classes gives the
-    membership. Pairs without any shared key have Jaccard 0 and are left out.
-    """
-    classes = trait_classes(source, key)
-    reps = classes.filter(F.col("query") == F.col("representative")).select("representative", "class_size").distinct()
-    keys = source.select(F.col("query").alias("representative"), key).distinct().join(reps, "representative")
-    sizes = keys.groupBy("representative").agg(F.count(F.lit(1)).alias("n_keys"))
-    a = keys.select(F.col("representative").alias("a"), key)
-    b = keys.select(F.col("representative").alias("b"), key)
-    shared = a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
-    info = sizes.join(reps, "representative")
-    left = info.select(F.col("representative").alias("a"), F.col("n_keys").alias("keys_a"), F.col("class_size").alias("n_a"))
-    right = info.select(F.col("representative").alias("b"), F.col("n_keys").alias("keys_b"), F.col("class_size").alias("n_b"))
-    out = shared.join(left, "a").join(right, "b").withColumn("n_union", F.col("keys_a") + F.col("keys_b") - F.col("n_shared"))
-    return out.select("a", "b", "n_a", "n_b", "n_shared", "n_union", F.round(F.col("n_shared") / F.col("n_union"), 4).alias("jaccard"), F.round(F.col("n_shared") / F.least("keys_a", "keys_b"), 4).alias("overlap"))
+def trait_sets(source: DataFrame, key: str = "matrix_key") -> DataFrame:
+    """(representative, class_size, keys) of every class of compounds with the same keys, written once; the keys are sorted."""
+    sets = source.groupBy("query").agg(F.array_sort(F.collect_set(key)).alias("keys"))  # one compound's keys, bounded by the number of keys
+    return stage(sets.groupBy("keys").agg(F.min("query").alias("representative"), F.count(F.lit(1)).alias("class_size")), "trait-sets")
 
 
 def trait_classes(source: DataFrame, key: str = "matrix_key") -> DataFrame:
@@ -322,29 +352,130 @@ def trait_classes(source: DataFrame, key: str = "matrix_key") -> DataFrame:
     return sets.join(reps, "fingerprint").select("query", "representative", "class_size")
 
 
-def nearest_neighbours(similarity: DataFrame, k: int = 3) -> DataFrame:
-    """The k nearest of every compound, from pairs in one direction: both directions ranked by Jaccard, then shared, then name."""
-    both = similarity.select("a", "b", "jaccard", "n_shared").unionByName(similarity.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard", "n_shared"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("jaccard"), F.desc("n_shared"), "b"))
-    return both.withColumn("place", place).filter(F.col("place") <= k).select(F.col("a").alias("query"), F.col("b").alias("neighbour"), "place", "jaccard")
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """The rarest keys of every set, as many as a partner with at least that Jaccard must share one of: representative, n_keys, key."""
+    keys = sets.select("representative", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("representative").orderBy("often", "key"))
+    most = F.col("n_keys") - F.ceil(F.lit(least) * F.col("n_keys") - 1e-9) + 1
+    return stage(keys.join(often, "key").withColumn("place", place).filter(F.col("place") <= most).select("representative", "n_keys", "key"), "trait-prefixes")
+
+
+def _similar(sets: DataFrame, least: float, asked: DataFrame | None = None) -> DataFrame:
+    """Pairs of sets with at least that Jaccard (0: with any key in common): a, b and measures; with ``asked`` (representative) all partners of those, else a < b."""
+    sent = _prefixes(sets, least)
+    left = sent if asked is None else sent.join(asked, "representative", "left_semi")
+    a, b = left.alias("a"), sent.alias("b")
+    other = F.col("a.representative") < F.col("b.representative") if asked is None else F.col("a.representative") != F.col("b.representative")
+    sizes = (F.col("a.n_keys") >= F.col("b.n_keys") * least - 1e-9) & (F.col("b.n_keys") >= F.col("a.n_keys") * least - 1e-9)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & other & sizes).select(F.col("a.representative").alias("a"), F.col("b.representative").alias("b")).distinct()
+    side = lambda s: sets.select(F.col("representative").alias(s), F.col("class_size").alias("n_" + s), F.col("keys").alias("keys_" + s))
+    both = met.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.array_intersect("keys_a", "keys_b")).withColumn("n_shared", F.size("shared"))
+    union = F.size("keys_a") + F.size("keys_b") - F.col("n_shared")
+    return both.withColumn("n_union", union).filter(F.col("n_shared") >= F.lit(least) * F.col("n_union") - 1e-9)
+
 
+def trait_similarity(source: DataFrame, key: str = "matrix_key", least: float = 0.5, top_n: int = 12) -> DataFrame:
+    """Pairs of compounds with at least that Jaccard: counts of shared, united and one-sided keys, Jaccard, overlap coefficient, and the first ``top_n`` keys of each kind.
 
-def trait_report(traits: DataFrame, ontology: DataFrame, top_n: int = 8) -> DataFrame:
-    """One row per compound: traits, terms, mean score, and terms per domain."""
-    counts = traits.groupBy("query").agg(F.count(F.lit(1)).alias("n_traits"), mean_cents(F.col("confidence_score")).alias("mean_score"))
-    domains = ("physicochemical", "ecology", "bioactivity", "metabolism", "safety", "sensory", "biomedical")
-    terms = ontology.groupBy("query").agg(F.countDistinct("ontology_key").alias("n_terms"), *[F.count_if(F.col("ontology_domain") == d).alias("n_" + d) for d in domains])
+    Compounds with exactly the same key set form one class and are compared once: a row is a pair of
+    class representatives (smallest query), with ``n_a`` and ``n_b`` members; trait_classes gives the
+    membership. Only the rarest keys of each set are joined, so what is written grows with the pairs that
+    are similar. With ``least`` 0 all pairs with a key in common come out; pairs without any have Jaccard 0.
+    """
+    both = _similar(trait_sets(source, key), least)
+    only_a, only_b = F.array_except("keys_a", "keys_b"), F.array_except("keys_b", "keys_a")
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(F.slice(c, 1, top_n), "; "))
+    return both.select(
+        "a", "b", "n_a", "n_b", "n_shared", "n_union", F.size(only_a).alias("n_only_a"), F.size(only_b).alias("n_only_b"), F.round(F.col("n_shared") / F.col("n_union"), 4).alias("jaccard"),
+        F.round(F.col("n_shared") / F.least(F.size("keys_a"), F.size("keys_b")), 4).alias("overlap"), listed(F.col("shared")).alias("shared_keys"), listed(only_a).alias("only_a_keys"), listed(only_b).alias("only_b_keys"),
+    )
+
+
+#: Jaccards at which neighbours are looked for one after the other; who has enough of them is not looked for again.
+NEIGHBOUR_STEPS = (0.8, 0.5, 0.0)
+
+
+def nearest_neighbours(source: DataFrame, key: str = "matrix_key", k: int = 3) -> DataFrame:
+    """(query, neighbour, place, jaccard): the k nearest of every compound by Jaccard, then shared keys, then name.
+
+    Compounds of the same key set are each other's nearest. Classes are searched, then members: a class is
+    done as soon as it has k neighbours of at least the Jaccard of a step, so common keys are joined only
+    for the few that have none nearer. A compound that shares no key with others has only its class.
+    """
+    sets = trait_sets(source, key)
+    members = stage(trait_classes(source, key).drop("class_size"), "trait-members")
+    first = Window.partitionBy("representative").orderBy("query")
+    named = stage(members.withColumn("no", F.row_number().over(first)).filter(F.col("no") <= k + 1), "trait-first-members")
+    asked = stage(sets.filter(F.col("class_size") <= k).select("representative", (F.col("class_size") - 1).alias("have")), "trait-asked")
+    found = None
+    for least in NEIGHBOUR_STEPS:
+        near = _similar(sets, least, asked.select("representative"))
+        best = Window.partitionBy("a").orderBy((F.col("n_shared") / F.col("n_union")).desc(), F.desc("n_shared"), "b")
+        near = stage(near.select("a", "b", "n_b", "n_shared", "n_union").withColumn("no", F.row_number().over(best)).filter(F.col("no") <= k), "trait-near")
+        got = near.groupBy("a").agg(F.sum("n_b").alias("got"))
+        state = stage(asked.join(got, F.col("a") == F.col("representative"), "left").select("representative", "have", (F.col("have") + F.coalesce("got", F.lit(0)) >= k).alias("done")), "trait-state")
+        done = state.filter("done") if least > 0 else state
+        mine = near.join(done.select(F.col("representative").alias("a")), "a", "left_semi")
+        found = mine if found is None else found.unionByName(mine)
+        asked = state.filter("not done").select("representative", "have")
+    entry = lambda jaccard, shared: F.struct((-jaccard).alias("j"), (-shared).alias("s"), F.col("query").alias("n"))
+    own = named.join(sets, "representative").select("representative", entry(F.lit(1.0), F.size("keys")).alias("e"))
+    others = found.join(named.withColumnRenamed("representative", "b").filter(F.col("no") <= k).drop("no"), "b").select(F.col("a").alias("representative"), entry(F.col("n_shared") / F.col("n_union"), F.col("n_shared")).alias("e"))
+    lists = stage(own.unionByName(others).groupBy("representative").agg(F.array_sort(F.collect_list("e")).alias("list")), "trait-lists")  # at most k + 1 + k * k entries
+    rows = members.count()
+    hot = sets.filter(F.col("class_size") >= hot_threshold(rows)).select("representative")
+    joined = split_join(members, lists, ["representative"], hot)
+    mine = F.slice(F.filter("list", lambda x: x["n"] != F.col("query")), 1, k)
+    return joined.select("query", F.posexplode(mine).alias("at", "x")).select("query", F.col("x.n").alias("neighbour"), (F.col("at") + 1).alias("place"), F.round(-F.col("x.j"), 4).alias("jaccard"))
+
+
+#: Domains whose terms a report lists.
+REPORT_DOMAINS = ("safety", "physicochemical", "exposure", "metabolism", "ecology", "bioactivity", "sensory", "biomedical", "regulatory", "reactivity")
+
+
+def top_values(value: Column, n: int) -> Column:
+    """Aggregate: the first n of the distinct values in order, joined; null without any."""
+    found = F.array_sort(F.collect_set(value))
+    return F.when(F.size(found) > 0, F.array_join(F.slice(found, 1, n), "; "))
+
+
+def trait_report(traits: DataFrame, ontology: DataFrame, top_n: int = 8, neighbours: DataFrame | None = None) -> DataFrame:
+    """One row per compound: traits, terms, domains, sources, mean score, the first ``top_n`` terms per domain as "group=term", identifiers, pages and nearest compounds.
+
+    ``ontology`` is that of trait_ontology. ``neighbours`` is that of nearest_neighbours; without it the two columns are null.
+    """
+    counts = traits.groupBy("query").agg(F.count(F.lit(1)).alias("n_traits"))
+    term = F.concat_ws("=", "ontology_group", "ontology_term")
+    terms = ontology.groupBy("query").agg(
+        F.countDistinct("ontology_key").alias("n_terms"), F.countDistinct("ontology_domain").alias("n_domains"), F.count(F.lit(1)).alias("n_evidence"), F.count_if(F.col("confidence_score") >= 0.9).alias("n_high"),
+        mean_cents(F.col("confidence_score")).alias("mean_score"), top_values(F.col("ontology_domain"), 100).alias("domains"), *[top_values(F.when(F.col("ontology_domain") == d, term), top_n).alias(d + "_terms") for d in REPORT_DOMAINS],
+        top_values(F.when(F.col("ontology_id").isNotNull(), F.concat_ws(":", "ontology_id_source", "ontology_id")), top_n).alias("identifiers"), top_values(F.col("ontology_id_url"), top_n).alias("pages"),
+    )
     out = counts.join(terms, "query", "left")
-    return out.select("query", "n_traits", "mean_score", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_terms", *["n_" + d for d in domains])])
+    none = F.lit(None)
+    if neighbours is None:
+        return out.withColumns({"nearest": none.cast("string"), "nearest_jaccard": none.cast("double")})
+    text = F.concat(F.col("neighbour"), F.lit(" ("), F.format_string("%.4f", "jaccard"), F.lit(")"))
+    near = neighbours.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]), "; ").alias("nearest"), F.max("jaccard").alias("nearest_jaccard"))
+    return out.join(near, "query", "left")
 
 
 def measurement_summary(measurements: DataFrame) -> DataFrame:
-    """Per query and property: number, minimum, exact median and maximum of the standard values, and the best row's value.
+    """Per query and property: number, minimum, exact median and maximum of the standard values, the best row's value, and the bins and sources collapsed.
 
     The best row has a value, then the best confidence, then the smallest source. Percentiles are exact.
+    ``bin`` may be absent.
     """
+    keys = ["query", "property"]
     v = number(F.col("standard_value"))
-    rank = F.struct(v.isNull(), -F.when(F.lower("confidence") == "high", 3).when(F.lower("confidence") == "medium", 2).when(F.lower("confidence") == "low", 1).otherwise(0), F.col("source"), v)
-    return measurements.groupBy("query", "property").agg(
-        F.count(F.lit(1)).alias("n"), F.min(v).alias("min_value"), F.percentile(v, F.lit(0.5)).alias("median_value"), F.max(v).alias("max_value"), F.min_by(v, rank).alias("best_value"), best_confidence(F.col("confidence")).alias("confidence")
-    )
+    rows = measurements.withColumn("__fl_v", v)
+    rank = F.struct(F.col("__fl_v").isNull(), -F.when(F.lower("confidence") == "high", 3).when(F.lower("confidence") == "medium", 2).when(F.lower("confidence") == "low", 1).otherwise(0), F.col("source"), F.col("__fl_v"))
+    bins = F.col("bin") if "bin" in measurements.columns else F.lit(None).cast("string")
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__fl_v").alias("min_value"), F.max("__fl_v").alias("max_value"), F.min_by("__fl_v", rank).alias("best_value"), best_confidence(F.col("confidence")).alias("confidence"),
+        collapse_sorted(bins).alias("bins"), F.countDistinct(non_empty(F.col("source"))).alias("n_sources"),
+    )
+    medians = exact_percentiles(rows, keys, "__fl_v", {"median_value": 0.5})
+    t, u = out.alias("t"), medians.alias("u")
+    return t.join(u, F.col("t.query").eqNullSafe(F.col("u.query")) & F.col("t.property").eqNullSafe(F.col("u.property")), "left").select("t.*", "u.median_value")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from florilege.functions.rules import formula_mass
 from florilege.operators import gcms
-from florilege.session import table
+from florilege.session import stage, table
 
 KINDS = ["Blank", "Cal", "Extract", "Mix", "Std"]
 STANDARD = "pircevanal"
@@ -17,26 +17,22 @@ def _info(spark, d):
     return table(spark, d, "plant_compounds").select("compound_name", formula_mass(F.col("molecular_formula")).alias("mass")).filter("compound_name is not null and mass is not null").groupBy("compound_name").agg(F.min("mass").alias("mass"))
 
 
-def _peaks(spark, d):
+def _peaks(spark, d, info):
     """Peaks with masses; a file is a sample, m/z stands for the two nearest whole numbers."""
     mz = F.floor("base_peak_mz").cast("int")
     peaks = table(spark, d, "standard_data").filter("compound_name is not null").withColumn("mz", F.array(mz, mz + 1)).withColumn("file_name", F.trim("file_name"))
-    return gcms.spread_peaks(peaks, _info(spark, d))
+    return gcms.spread_peaks(peaks, info)
 
 
-def _kind_peaks(spark, d):
-    """Peaks whose file stands for its kind of sample: all files of a kind are one sample."""
-    return _peaks(spark, d).withColumn("file_name", F.split_part("file_name", F.lit("_"), F.lit(1)))
-
-
-def _targets(spark, d, peaks):
+def _targets(spark, d, peaks, info):
     library = table(spark, d, "chemical_library")
     names = F.filter(F.transform(F.concat(F.array("compound"), F.split(F.coalesce("also_called", F.lit("")), ";")), lambda x: F.trim(x)), lambda x: x != "")
-    spectra = peaks.select("compound_name", F.explode("mz").alias("m")).groupBy("compound_name").agg(F.collect_set("m").alias("mz"))  # one array per library name of whole m/z
+    mine = library.select(F.col("compound").alias("compound_name")).distinct()
+    spectra = peaks.select("compound_name", F.explode("mz").alias("m")).join(mine, "compound_name", "left_semi").distinct().groupBy("compound_name").agg(F.collect_set("m").alias("mz"))  # one array per library name of whole m/z
     return (
         library.filter("compound is not null")
         .select("compound", names.alias("names"))
-        .join(_info(spark, d).withColumnRenamed("compound_name", "compound"), "compound", "left")
+        .join(info.withColumnRenamed("compound_name", "compound"), "compound", "left")
         .join(spectra.withColumnRenamed("compound_name", "compound"), "compound", "left")
         .withColumn("mz", F.coalesce("mz", F.array().cast("array<int>")))
     )
@@ -61,37 +57,21 @@ def gcms_retention_fit(spark, d):
     return fit.select("n_peaks", F.round("slope", 8).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-def _extract(areas):
-    return areas.select("compound", "mass", "file_name", F.round("area", 4).alias("area"), F.round("mean_rt", 6).alias("mean_rt"), "best_match", "n_peaks")
-
-
-def _standardised(areas):
-    out = gcms.internal_standard(areas, STANDARD)
-    return out.select("compound", "file_name", F.round("area", 4).alias("area"), F.round("amount", 4).alias("amount"))
-
-
-def _areas(spark, d, peaks):
-    return gcms.extract_targets(peaks, _targets(spark, d, peaks))
-
-
-def gcms_extract_files(spark, d):
-    """Targets in every file."""
-    return _extract(_areas(spark, d, _peaks(spark, d)))
-
-
-def gcms_internal_standard_files(spark, d):
-    """Amounts in every file, against the standard in the same file."""
-    return _standardised(_areas(spark, d, _peaks(spark, d)))
+def _areas(spark, d):
+    info = stage(_info(spark, d), "gcms-masses")
+    peaks = _peaks(spark, d, info)
+    return gcms.extract_targets(peaks, _targets(spark, d, peaks, info))
 
 
 def gcms_extract(spark, d):
-    """Targets by kind of sample; gcms_extract_files has them by file."""
-    return _extract(_areas(spark, d, _kind_peaks(spark, d)))
+    """Targets in every file."""
+    return _areas(spark, d).select("compound", "mass", "file_name", F.round("area", 4).alias("area"), F.round("mean_rt", 6).alias("mean_rt"), "best_match", "n_peaks")
 
 
 def gcms_internal_standard(spark, d):
-    """Amounts by kind of sample; gcms_internal_standard_files has them by file."""
-    return _standardised(_areas(spark, d, _kind_peaks(spark, d)))
+    """Amounts in every file, against the standard in the same file."""
+    out = gcms.internal_standard(stage(_areas(spark, d), "gcms-areas"), STANDARD)
+    return out.select("compound", "file_name", F.round("area", 4).alias("area"), F.round("amount", 4).alias("amount"))
 
 
 def gcms_standard_problems(spark, d):
@@ -109,19 +89,11 @@ def gcms_calibration(spark, d):
     return models.select("model", "n", *[F.round(c, 4).alias(c) for c in ("slope", "intercept")], F.round("adjusted_r2", 8).alias("adjusted_r2"))
 
 
-def _external(spark, d):
-    areas = table(spark, d, "standard_data").filter("compound_name is not null").groupBy(F.col("compound_name").alias("compound"), "file_name").agg(F.max("component_area").alias("area"))
-    return gcms.external_standard(areas, _calibration(spark, d))
-
-
 def gcms_external_standard(spark, d):
-    """Amounts below 1e6; gcms_external_standard_full has all."""
-    return _external(spark, d).select("compound", "file_name", "area", "model", F.when(F.abs("amount") < 1e6, F.round("amount", 3)).alias("amount"))
-
-
-def gcms_external_standard_full(spark, d):
     """Amounts of any size, to ten significant digits."""
-    return _external(spark, d).withColumn("amount", F.when(F.col("amount").isNotNull(), F.format_string("%.9e", "amount").cast("double")))
+    areas = table(spark, d, "standard_data").filter("compound_name is not null").groupBy(F.col("compound_name").alias("compound"), "file_name").agg(F.max("component_area").alias("area"))
+    out = gcms.external_standard(areas, _calibration(spark, d))
+    return out.withColumn("amount", F.when(F.col("amount").isNotNull(), F.format_string("%.9e", "amount").cast("double")))
 
 
 def library_lists(spark, d):
@@ -167,7 +139,7 @@ def compound_masses(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        gcms_duplicate_keys, gcms_spread, gcms_peak_matrix, gcms_retention_fit, gcms_extract_files, gcms_internal_standard_files, gcms_extract, gcms_internal_standard, gcms_standard_problems, gcms_calibration, gcms_external_standard, gcms_external_standard_full,
+        gcms_duplicate_keys, gcms_spread, gcms_peak_matrix, gcms_retention_fit, gcms_extract, gcms_internal_standard, gcms_standard_problems, gcms_calibration, gcms_external_standard,
         library_lists, library_long, database_sets, subset_union, subset_intersection, subset_numeric, subset_flag, compound_masses,
     )
 }
@@ -180,7 +152,7 @@ _SPREAD = "peaks AS (SELECT s.*, coalesce(i.mass, 999.99) AS mass FROM standard_
 _FIT = """fit AS (SELECT count(*) AS n_peaks, regr_slope(component_rt, mass) AS slope, regr_intercept(component_rt, mass) AS intercept FROM peaks
   WHERE match_factor > (SELECT max(match_factor) FROM peaks) - 25 AND mass NOT IN (58.041864811, 999.99))"""
 _EXTRACT = f"""WITH {_INFO}, {_SPREAD}, {_FIT},
-slim AS (SELECT peak_id, component_rt, component_area, match_factor, split_part(file_name, '_', 1) AS file_name, compound_name, [floor(base_peak_mz)::INT, floor(base_peak_mz)::INT + 1] AS mz FROM peaks),
+slim AS (SELECT peak_id, component_rt, component_area, match_factor, trim(file_name) AS file_name, compound_name, [floor(base_peak_mz)::INT, floor(base_peak_mz)::INT + 1] AS mz FROM peaks),
 spectra AS (SELECT compound_name, list(DISTINCT m) AS mz FROM (SELECT compound_name, unnest(mz) AS m FROM slim) GROUP BY compound_name),
 tg AS (SELECT l.compound, coalesce(i.mass, 999.999) AS target_mass, coalesce(s.mz, []) AS mz,
   list_filter(list_transform(list_concat([l.compound], string_split(coalesce(also_called, ''), ';')), lambda x: trim(x)), lambda x: x <> '') AS names
@@ -221,8 +193,8 @@ ORACLES = {
     + """, best AS (SELECT * FROM models ORDER BY adjusted_r2 DESC NULLS LAST, model LIMIT 1),
 ar AS (SELECT compound_name AS compound, file_name, max(component_area) AS area FROM standard_data WHERE compound_name IS NOT NULL GROUP BY ALL),
 z AS (SELECT ar.*, model, (area - intercept) / slope AS z FROM ar, best),
-v AS (SELECT *, CASE WHEN area <> 0 THEN CASE model WHEN 'log' THEN CASE WHEN z < 700 THEN exp(z) ELSE 1e300 END WHEN 'exponent' THEN CASE WHEN z > 0 THEN ln(z) END ELSE z END END AS amount FROM z)
-SELECT compound, file_name, area, model, CASE WHEN abs(amount) < 1e6 THEN round(amount, 3) END AS amount FROM v""",
+v AS (SELECT *, CASE WHEN area <> 0 THEN CASE model WHEN 'log' THEN exp(z) WHEN 'exponent' THEN CASE WHEN z > 0 THEN ln(z) END ELSE z END END AS amount FROM z)
+SELECT compound, file_name, area, model, printf('%.9e', amount)::DOUBLE AS amount FROM v""",
     "library_lists": "SELECT compound_type, string_agg(compound, '; ' ORDER BY compound) AS compounds, count(*) AS n_compounds FROM (SELECT DISTINCT trim(compound_type) AS compound_type, trim(compound) AS compound FROM chemical_library WHERE trim(compound_type) <> '' AND trim(compound) <> '') GROUP BY compound_type",
     "library_long": "SELECT compound_type, compound FROM chemical_library WHERE compound_type IN ('class A', 'class B', 'class C', 'class D', 'class E') AND trim(compound) <> ''",
     "database_sets": f"SELECT DISTINCT source_database AS database, compound_name_clean AS compound FROM plant_compounds WHERE {_USABLE}",
@@ -232,5 +204,3 @@ SELECT compound, file_name, area, model, CASE WHEN abs(amount) < 1e6 THEN round(
     "subset_flag": "SELECT occurrence_id, comparable_for_matrix FROM plant_compounds WHERE comparable_for_matrix <> 'No'",
     "compound_masses": f"WITH {_INFO} SELECT * FROM info",
 }
-#: The same SQL with the file in place of its kind.
-ORACLES |= {f"{name}_files": ORACLES[name].replace("split_part(file_name, '_', 1)", "trim(file_name)") for name in ("gcms_extract", "gcms_internal_standard")}
