@@ -98,13 +98,6 @@ def collapse_sorted(c: Column, sep: str = "; ") -> Column:
     return F.when(joined != "", joined)
 
 
-def collapse_first_seen(c: Column, order: Column, sep: str = "; ") -> Column:
-    """Aggregate: distinct non-empty values in the order of their first appearance, joined."""
-    pairs = F.array_sort(F.collect_list(F.when(non_empty(c).isNotNull(), F.struct(order.alias("o"), non_empty(c).alias("v")))))
-    joined = F.array_join(F.array_distinct(F.transform(pairs, lambda p: p["v"])), sep)
-    return F.when(joined != "", joined)
-
-
 def count_distinct_non_empty(c: Column) -> Column:
     return F.countDistinct(non_empty(c))
 

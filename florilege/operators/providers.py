@@ -51,22 +51,30 @@ def build_index(records: DataFrame, compounds: DataFrame, taxa: DataFrame) -> Da
     return rows.select("k.key_type", "k.key", "record_id", "species_key", "compound_id", "name", "inchikey", "source").dropDuplicates(["key_type", "key", "record_id", "compound_id", "source"])
 
 
-def write_index(index: DataFrame, path: str, prefix_length: int = 2) -> None:
-    """Parquet by key type and key prefix, so that a lookup of some keys reads only their folders."""
-    index.withColumn("prefix", F.substring("key", 1, prefix_length)).repartition("key_type", "prefix").sortWithinPartitions("key").write.mode("overwrite").partitionBy("key_type", "prefix").parquet(path)
+#: Files that the rows of one key prefix are spread over; a lookup of a key reads one of them in each folder that it asks for.
+INDEX_PARTS = 16
+
+
+def write_index(index: DataFrame, path: str, prefix_length: int = 2, parts: int = INDEX_PARTS) -> None:
+    """Parquet by key type and key prefix, so that a lookup of some keys reads only their folders; a prefix is spread over ``parts`` tasks by record."""
+    keyed = index.withColumn("prefix", F.substring("key", 1, prefix_length)).withColumn("__fl_part", F.pmod(F.xxhash64("record_id", "compound_id"), F.lit(parts)))
+    keyed.repartition("key_type", "prefix", "__fl_part").drop("__fl_part").sortWithinPartitions("key").write.mode("overwrite").partitionBy("key_type", "prefix").parquet(path)
 
 
 def query_index(plants: DataFrame, index: DataFrame, fallback: tuple[str, ...] = ("species", "genus"), max_records: int | None = None) -> DataFrame:
     """Index rows of each plant by its species, then its fallback ranks: plant_id, matched_rank, record...
 
     Fallback rows of the plant's own species are left out; a record found by several ranks counts by
-    the best; at most ``max_records`` per plant, best rank, then name, then record. Spark keeps the
-    best rows of a plant within each task before the shuffle.
+    the best; at most ``max_records`` per plant, best rank, then name, then record. With a limit, each
+    key of the index is first cut to the records that can be among the first of any plant, so a hot genus
+    does not meet its plants whole.
     ``plants``: plant_id, species, genus, family.
     """
     wanted = {"species": words_key(F.col("species")), "genus": F.coalesce(F.lower(non_empty(F.col("genus"))), F.split_part(words_key(F.col("species")), F.lit(" "), F.lit(1))), "family": F.lower(non_empty(F.col("family")))}
     keys = F.explode(F.array(*[F.struct(F.lit(r).alias("key_type"), wanted[r].alias("key"), F.lit(RANKS.index(r)).alias("rank_order")) for r in fallback]))
     asked = plants.select("plant_id", words_key(F.col("species")).alias("own"), keys.alias("k")).select("plant_id", "own", "k.*").filter("key <> ''")
+    if max_records is not None:
+        index = _first_records(index, max_records)
     met = asked.join(index, ["key_type", "key"]).filter((F.col("key_type") == "species") | (F.col("species_key") != F.col("own")))
     best = met.groupBy("plant_id", "record_id", "compound_id", "species_key", "source").agg(F.min("rank_order").alias("rank_order"), F.min("name").alias("name"))
     if max_records is not None:
@@ -76,6 +84,22 @@ def query_index(plants: DataFrame, index: DataFrame, fallback: tuple[str, ...] =
     return best.select("plant_id", matched.alias("matched_rank"), "record_id", "compound_id", "species_key", "name", "source")
 
 
+def _first_records(index: DataFrame, most: int) -> DataFrame:
+    """Of each key the rows that some plant may be given: the first 2 * ``most`` of each species, and of those the first 4 * ``most``.
+
+    Of a key a plant looks at no more than its first 2 * ``most`` rows of other species: ``most`` that it
+    takes, and fewer than that which a better rank has given already. No species has more of those than is
+    kept, and where a key is cut, its own species has taken at most half of what is left.
+    """
+    same = ["key_type", "key", "record_id", "compound_id", "species_key", "source"]
+    rows = index.groupBy(*same).agg(F.min("name").alias("name"))
+    order = ["name", "record_id", "compound_id", "species_key", "source"]
+    within = F.row_number().over(Window.partitionBy("key_type", "key", "species_key").orderBy(*order))
+    few = rows.withColumn("w", within).filter(F.col("w") <= 2 * most)  # no species gives more than that
+    firsts = F.row_number().over(Window.partitionBy("key_type", "key").orderBy(*order))
+    return few.withColumn("f", firsts).filter(F.col("f") <= 4 * most).drop("w", "f")
+
+
 def occurrence_rows(matches: DataFrame) -> DataFrame:
     """Matches as occurrences: species matches are direct and of high confidence, others fallbacks of medium."""
     direct = F.col("matched_rank") == "species"

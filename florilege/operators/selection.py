@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.functions.text import label, non_empty
+from florilege.session import stage
 
 
 def compound_priorities(rows: DataFrame) -> DataFrame:
@@ -31,12 +32,24 @@ def coverage_first(rows: DataFrame, group: str, limit: int) -> DataFrame:
 
 
 def spaced_pick(df: DataFrame, stratum: str, order: str, per_stratum: int) -> DataFrame:
-    """Evenly spaced rows of every stratum in order, at most ``per_stratum`` of each; no chance involved."""
+    """Evenly spaced rows of every stratum in order, at most ``per_stratum`` of each; no chance involved.
+
+    Rows of the same stratum and order are taken or left out together, and count once. Places are counted
+    over slices of the ordered table, so no task numbers a whole stratum: a slice's first place is the sum of
+    the slices before it. A null stratum is one of its own.
+    """
+    points = df.groupBy(stratum, order).agg(F.count(F.lit(1)).alias("__fl_rows")).repartitionByRange(F.col(stratum), F.col(order)).withColumn("__fl_slice", F.spark_partition_id())
+    points = stage(points, "spaced-points")
+    sums = points.groupBy(stratum, "__fl_slice").agg(F.count(F.lit(1)).alias("__fl_s"))
     w = Window.partitionBy(stratum)
-    numbered = df.withColumn("__fl_n", F.count(F.lit(1)).over(w)).withColumn("__fl_place", F.row_number().over(w.orderBy(order)) - 1)
+    starts = sums.withColumn("__fl_n", F.sum("__fl_s").over(w)).withColumn("__fl_start", F.coalesce(F.sum("__fl_s").over(w.orderBy("__fl_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    a, b = points.alias("a"), starts.alias("b")
+    joined = a.join(b, F.col(f"a.{stratum}").eqNullSafe(F.col(f"b.{stratum}")) & (F.col("a.__fl_slice") == F.col("b.__fl_slice"))).select("a.*", "b.__fl_n", "b.__fl_start")
+    place = F.col("__fl_start") + F.row_number().over(Window.partitionBy(stratum, "__fl_slice").orderBy(order)) - 1
+    numbered = joined.withColumn("__fl_place", place)
     step = lambda c: F.floor(c * F.lit(per_stratum) / F.col("__fl_n"))
-    first = (F.col("__fl_place") == 0) | (step(F.col("__fl_place")) != step(F.col("__fl_place") - 1))
-    return numbered.filter(first).drop("__fl_n", "__fl_place")
+    taken = numbered.filter((F.col("__fl_place") == 0) | (step(F.col("__fl_place")) != step(F.col("__fl_place") - 1))).select(F.col(stratum).alias("__fl_stratum"), F.col(order).alias("__fl_order"))
+    return df.join(taken, F.col(stratum).eqNullSafe(F.col("__fl_stratum")) & F.col(order).eqNullSafe(F.col("__fl_order"))).drop("__fl_stratum", "__fl_order")
 
 
 def selector(cid: Column, inchikey: Column, name: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from florilege.functions.text import collapse_sorted, is_yes, key_value, known, non_empty
+from florilege.operators.exact import exact_percentiles
+from florilege.operators.skew import hot_threshold, salt
+from florilege.session import stage
 
 #: Queries of one broadcast block of a search.
 QUERY_BLOCK = 2_000
@@ -50,23 +53,37 @@ def fingerprint_classes(fps: DataFrame, row_id: str, words: str) -> DataFrame:
     return fps.join(reps, words).select(row_id, "representative", "class_size")
 
 
+#: Bits are joined within bands of popcount: a band holds the counts that differ by at most this factor.
+BAND_FACTOR = 1.1
+#: Parts into which the fingerprints that sent the same bit in the same band are cut.
+BIT_SALTS = 16
+
+
 def similar_pairs(fps: DataFrame, row_id: str, words: str, threshold: float) -> DataFrame:
     """Pairs of class representatives with Tanimoto of at least the threshold: a, b, n_a, n_b (class sizes), tanimoto.
 
     Exact and without comparing all pairs: each fingerprint sends only its rarest bits, as many as a
-    partner above the threshold must share one of, to the join; popcounts too far apart are cut in
-    the join condition. Identical fingerprints are one class, see fingerprint_classes.
+    partner above the threshold must share one of, to the join, in the band of its popcount; a band meets
+    itself and the bands above it that the threshold allows. Fingerprints of a hot bit are salted on one
+    side and sent to all salts on the other. Identical fingerprints are one class, see fingerprint_classes.
     """
-    reps = fps.groupBy(words).agg(F.min(row_id).alias("id"), F.count(F.lit(1)).alias("n")).withColumn("pop", popcount(F.col(words))).filter("pop > 0")
+    reps = stage(fps.groupBy(words).agg(F.min(row_id).alias("id"), F.count(F.lit(1)).alias("n")).withColumn("pop", popcount(F.col(words))).filter("pop > 0"), "similar-classes")
     places = F.expr(f"flatten(transform(`{words}`, (w, i) -> filter(transform(sequence(0, {_WORD_BITS - 1}), k -> CASE WHEN (shiftright(w, k) & 1) = 1 THEN i * {_WORD_BITS} + k END), x -> x IS NOT NULL)))")
     bits = reps.select("id", "pop", F.explode(places).alias("bit"))
     often = bits.groupBy("bit").agg(F.count(F.lit(1)).alias("often"))
     order = Window.partitionBy("id").orderBy("often", "bit")
-    prefix = F.col("pop") - F.ceil(F.lit(threshold) * F.col("pop")) + 1
-    sent = bits.join(often, "bit").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= prefix)
-    a, b = sent.alias("a"), sent.alias("b")
-    near = (F.col("a.bit") == F.col("b.bit")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.pop") >= F.col("b.pop") * threshold) & (F.col("b.pop") >= F.col("a.pop") * threshold)
-    met = a.join(b, near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    prefix = F.col("pop") - F.ceil(F.lit(threshold) * F.col("pop") - 1e-9) + 1
+    band = lambda pop: F.floor(F.log(pop) / math.log(BAND_FACTOR)).cast("int")
+    sent = stage(bits.join(often, "bit").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= prefix).select("id", "pop", "bit", band(F.col("pop")).alias("band")), "similar-bits")
+    above = math.ceil(math.log(1 / max(threshold, 1e-3)) / math.log(BAND_FACTOR)) + 1
+    hot = F.broadcast(sent.groupBy("bit", "band").count().filter(F.col("count") >= hot_threshold(sent.count())).select("bit", "band", F.lit(True).alias("is_hot")))
+    small = sent.withColumn("band", F.explode(F.sequence("band", F.col("band") + above))).join(hot, ["bit", "band"], "left")
+    small = small.withColumn("salt", F.explode(F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(BIT_SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    large = sent.join(hot, ["bit", "band"], "left").withColumn("salt", F.when(F.col("is_hot"), salt(F.col("id"), BIT_SALTS)).otherwise(0))
+    a, b = small.alias("a"), large.alias("b")
+    order_ = (F.col("a.pop") < F.col("b.pop")) | ((F.col("a.pop") == F.col("b.pop")) & (F.col("a.id") < F.col("b.id")))
+    near = (F.col("a.bit") == F.col("b.bit")) & (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & order_ & (F.col("a.pop") >= F.col("b.pop") * threshold - 1e-9)
+    met = a.join(b, near).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias("n_" + s), F.col("pop").alias("p" + s), F.col(words).alias("w" + s))
     scored = met.join(side("a"), "a").join(side("b"), "b").withColumn("tanimoto", tanimoto(F.col("wa"), F.col("wb"), F.col("pa"), F.col("pb")))
     return scored.filter(F.col("tanimoto") >= threshold).select("a", "b", "n_a", "n_b", "tanimoto")
@@ -123,12 +140,18 @@ def species_pair_summary(pairs: DataFrame, thresholds: tuple[float, ...] = (0.5,
 
 def _pair_statistics(pairs: DataFrame, keys: list[str], thresholds: tuple[float, ...]) -> DataFrame:
     t = F.col("tanimoto")
-    out = pairs.groupBy(F.least("species_a", "species_b").alias("species_1"), F.greatest("species_a", "species_b").alias("species_2"), *keys).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(t), 6).alias("mean_tanimoto"), F.round(F.percentile(t, F.lit(0.5)), 6).alias("median_tanimoto"),
-        F.round(F.percentile(t, F.lit(0.95)), 6).alias("p95_tanimoto"), F.max(t).alias("max_tanimoto"),
-        *[F.count_if(t >= x).alias("n_ge_" + str(x).replace(".", "_")) for x in thresholds],
-    )
-    return out.withColumn("support_tier", support_tier(F.col("n_pairs")))
+    keyed = pairs.select(F.least("species_a", "species_b").alias("species_1"), F.greatest("species_a", "species_b").alias("species_2"), *keys, "tanimoto")
+    group = ["species_1", "species_2", *keys]
+    out = keyed.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.round(F.avg(t), 6).alias("mean_tanimoto"), F.max(t).alias("max_tanimoto"), *[F.count_if(t >= x).alias("n_ge_" + str(x).replace(".", "_")) for x in thresholds]
+    )
+    ranked = exact_percentiles(keyed, group, "tanimoto", {"median_tanimoto": 0.5, "p95_tanimoto": 0.95})
+    a, b = out.alias("a"), ranked.alias("b")
+    same = F.lit(True)
+    for k in group:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    both = a.join(b, same).select("a.*", *[F.round(f"b.{c}", 6).alias(c) for c in ("median_tanimoto", "p95_tanimoto")])
+    return both.withColumn("support_tier", support_tier(F.col("n_pairs")))
 
 
 def unique_pairs(pairs: DataFrame) -> DataFrame:
@@ -181,8 +204,12 @@ def group_pair_count(membership: DataFrame, group: str) -> DataFrame:
 
 
 def balanced_sample(membership: DataFrame, group: str, compound: str, n: int) -> DataFrame:
-    """n compounds by turns over the groups: each group's compounds in order, one per turn, repeats skipped."""
-    ranked = membership.select(group, compound).distinct().withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(compound)))
+    """n compounds by turns over the groups: each group's compounds in order, one per turn, repeats skipped.
+
+    No turn above n can be among the first n compounds, so Spark keeps the first n of a group within each task.
+    """
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(compound))
+    ranked = membership.select(group, compound).distinct().withColumn("turn", turn).filter(F.col("turn") <= n)
     first = ranked.groupBy(compound).agg(F.min(F.struct("turn", group)).alias("at"))
     return first.orderBy("at", compound).limit(n).select(compound, F.col("at.turn").alias("turn"), F.col(f"at.{group}").alias(group))
 

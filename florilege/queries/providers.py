@@ -81,17 +81,10 @@ def deduped_profile(spark, d):
 
 
 def name_matches(spark, d):
-    lib = table(spark, d, "chemical_library").select("library_id", F.concat_ws("; ", "compound", "also_called").alias("names"))
+    """Every typed name with the library entries that it is related to; entries of a class come before the others."""
+    lib = table(spark, d, "chemical_library").withColumn("names", F.concat_ws(";", "compound", "also_called"))
     typed = table(spark, d, "standard_data").filter("compound_name is not null").select(F.lower("compound_name").alias("query")).distinct()
-    met = typed.join(F.broadcast(lib), F.split_part("names", F.lit(" "), F.lit(1)) == F.split_part("query", F.lit(" "), F.lit(1)))  # fixed list of about 420 rows
-    return N.best_matches(met.withColumn("score", N.match_score(F.col("query"), F.col("names"))), "query", ["library_id"], 3).select("query", "library_id", "score", "match_rank")
-
-
-def name_matches_all(spark, d):
-    """Every typed name against the whole library; name_matches meets only entries of the same first word."""
-    lib = table(spark, d, "chemical_library").select("library_id", F.concat_ws(";", "compound", "also_called").alias("names"))
-    typed = table(spark, d, "standard_data").filter("compound_name is not null").select(F.lower("compound_name").alias("query")).distinct()
-    return N.match_all(typed, "query", lib, "library_id", "names", 3)
+    return N.match_all(typed, "query", lib, "library_id", "names", 3, F.when(F.col("compound_type").startswith("class"), 0).otherwise(1))
 
 
 def _assays(spark, d):
@@ -241,7 +234,7 @@ def json_values(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        provider_index, index_lookup, index_occurrences, query_accounting, taxon_names, taxon_core_names, species_aliases, species_aliases_all, bind_unique, coalesced_queries, deduped_profile, name_matches, name_matches_all, assay_selection, bioactivity_summary,
+        provider_index, index_lookup, index_occurrences, query_accounting, taxon_names, taxon_core_names, species_aliases, species_aliases_all, bind_unique, coalesced_queries, deduped_profile, name_matches, assay_selection, bioactivity_summary,
         target_summary, potency_buckets, occurrence_summary, class_levels, derived_groups, library_flags, text_identifiers, toxicity_figures, measurements_standard, hazard_classes, activity_texts,
         name_resolution, table_issues, table_quality, duplicate_rows, source_diagnostics, identity_audit, data_dictionary, combined_batches, batch_status, table_signature, table_content_signature, relative_abundance, olfaction_long,
         flat_records, json_values,
@@ -310,7 +303,14 @@ ORACLES = {
     "bind_unique": f"WITH a AS (SELECT {_W} AS k, min(lower(genus)) AS genus FROM plant_metadata WHERE genus IS NOT NULL GROUP BY 1), b AS (SELECT {_W} AS k, min(list_id) AS list_id FROM plant_list GROUP BY 1) SELECT k, genus, NULL::BIGINT AS list_id FROM a UNION ALL SELECT k, NULL, list_id FROM b WHERE k NOT IN (SELECT k FROM a)",
     "coalesced_queries": f"SELECT {_W} AS k, min(metadata_id) AS query_id, arg_min({non('genus')}, metadata_id) AS genus, arg_min({non('family')}, metadata_id) AS family, count(*) AS n_queries FROM plant_metadata GROUP BY 1",
     "deduped_profile": f"SELECT b.k1 AS compound_id, b.k2 AS inchikey, n_rows, plant_part_group, method_group, is_comparable, smiles, curation_flag FROM (SELECT {_K1} AS k1, {_K2} AS k2, count(*) AS n_rows, bool_or(coalesce(comparable_for_matrix = 'Yes', false)) AS is_comparable, arg_min({non('smiles')}, occurrence_id) AS smiles, arg_min({non('curation_flag')}, occurrence_id) AS curation_flag FROM plant_compounds GROUP BY 1, 2) b LEFT JOIN {_first_seen('plant_part_group')} USING (k1, k2) LEFT JOIN {_first_seen('method_group')} USING (k1, k2)",
-    "name_matches": f"WITH l AS (SELECT library_id, concat_ws('; ', compound, also_called) AS names FROM chemical_library), q AS (SELECT DISTINCT lower(compound_name) AS query FROM standard_data WHERE compound_name IS NOT NULL), m AS (SELECT trim(regexp_replace(query, '[\\s\\pZ]+', ' ', 'g')) AS query, query AS raw, library_id, list_filter(list_transform(string_split(names, ';'), lambda x: lower(trim(x))), lambda x: x <> '') AS p FROM q JOIN l ON split_part(names, ' ', 1) = split_part(query, ' ', 1)), s AS (SELECT raw, library_id, {_MATCH} AS score FROM m) SELECT raw AS query, library_id, score, row_number() OVER (PARTITION BY raw ORDER BY score, library_id) AS match_rank FROM s QUALIFY match_rank <= 3",
+    "name_matches": f"""WITH l AS (SELECT library_id, CASE WHEN starts_with(compound_type, 'class') THEN 0 ELSE 1 END AS r, list_filter(list_transform(string_split(concat_ws(';', compound, also_called), ';'), lambda x: lower(trim(x))), lambda x: x <> '') AS p FROM chemical_library),
+q AS (SELECT DISTINCT lower(compound_name) AS raw, trim(regexp_replace(lower(compound_name), '[\\s\\pZ]+', ' ', 'g')) AS query FROM standard_data WHERE compound_name IS NOT NULL),
+qw AS (SELECT raw, query, list_distinct(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{Nd}}]+'), lambda w: len(w) >= 3)) AS w FROM q WHERE query <> ''),
+lw AS (SELECT library_id, r, p, list_distinct(regexp_extract_all(array_to_string(p, ' '), '[\\p{{L}}\\p{{Nd}}]+')) AS w FROM l),
+o AS (SELECT x, count(DISTINCT library_id) AS n FROM (SELECT library_id, unnest(w) AS x FROM lw) GROUP BY x),
+rw AS (SELECT raw, arg_min(x, ROW(n, x)) AS x FROM (SELECT raw, unnest(w) AS x FROM qw) JOIN o USING (x) GROUP BY raw),
+s AS (SELECT raw, library_id, r, {_MATCH} AS score FROM qw LEFT JOIN rw USING (raw) CROSS JOIN lw WHERE len(list_filter(p, lambda x: contains(x, query))) > 0 OR list_contains(lw.w, rw.x))
+SELECT raw AS query, library_id, score, row_number() OVER (PARTITION BY raw ORDER BY score, r, library_id) AS match_rank FROM s QUALIFY match_rank <= 3""",
     "assay_selection": f"WITH {_EV}, o AS (SELECT query, assay, min(CASE WHEN ac = 'active' THEN 1 WHEN value IS NOT NULL THEN 2 WHEN target IS NOT NULL THEN 3 ELSE 5 END) AS priority FROM ev GROUP BY 1, 2) SELECT query, assay, priority, row_number() OVER (PARTITION BY query ORDER BY priority, assay) AS place FROM o QUALIFY place <= 5",
     "bioactivity_summary": f"WITH {_EV}, v AS (SELECT *, CASE WHEN NOT nm THEN value END AS um FROM ev) SELECT query, count(*) AS n_assays, {_OUT}, count(DISTINCT target) AS n_targets, count(DISTINCT CASE WHEN ac = 'active' THEN target END) AS n_active_targets, min(um) AS min_potency_um, round(quantile_cont(um, 0.5), 6) AS median_potency_um, count(*) FILTER (um <= 10) AS n_potent FROM v GROUP BY query",
     "target_summary": f"WITH {_EV} SELECT query, target, count(DISTINCT assay) AS n_assays, {_OUT} FROM ev GROUP BY query, target",
