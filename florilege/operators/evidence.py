@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from florilege.functions.rules import confidence_rank
@@ -18,6 +18,20 @@ _TO_DATABASE = ("promote_direct_species_database", "direct_species_database", "c
 _TO_LITERATURE = ("promote_direct_species_literature", "direct_species_literature", "confirmed_literature")
 
 
+#: What each grade means.
+GRADE_LABELS = {
+    "direct_species_database_record": "Direct species database record", "direct_species_literature_supported_record": "Direct species literature-supported record",
+    "source_backed_genus_family_fallback": "Source-backed genus or family fallback", "pubtator_pubmed_candidate_only": "PubTator or PubMed candidate only",
+    "unresolved_or_review_required": "Unresolved or review-required", "excluded_by_review": "Excluded by review",
+}
+
+
+def grade_dictionary(spark: SparkSession) -> DataFrame:
+    """The grades with rank, label, and whether a grade is direct evidence and backed by a source."""
+    rows = [(g, r, GRADE_LABELS[g], "Yes" if r <= 2 else "No", "Yes" if r <= 3 else "No") for g, r in GRADES.items()]
+    return spark.createDataFrame(rows, "evidence_grade string, evidence_grade_rank int, label string, is_direct string, source_backed string")
+
+
 def with_decisions(occurrences: DataFrame, review: DataFrame | None) -> DataFrame:
     """Add ``decision``: a review of the row's id, else of (species, clean name, source, record), else not_reviewed.
 
@@ -33,12 +47,14 @@ def with_decisions(occurrences: DataFrame, review: DataFrame | None) -> DataFram
     return joined.withColumn("decision", F.coalesce(non_empty(F.col("d_key")), non_empty(F.col("d_id")), F.lit("not_reviewed"))).drop("d_id", "d_key")
 
 
-def grade() -> Column:
-    """The evidence grade of a row by the first rule that holds; columns as in plant_compounds plus ``decision``."""
+def grade(columns: list[str]) -> Column:
+    """The evidence grade of a row by the first rule that holds; ``columns`` are those of the rows, of which evidence_url, pmid and doi may be absent."""
+    there = lambda c: known(F.col(c)) if c in columns else F.lit(False)
     low = lambda c: F.lower(F.coalesce(squish(F.col(c)), F.lit("")))
     decision, tier, source, rank, status = low("decision"), low("evidence_tier"), low("source_database"), low("matched_rank"), low("occurrence_status")
     has_compound = known(F.col("compound_name")) | known(F.col("compound_name_clean")) | known(F.col("compound_id"))
-    has_record = known(F.col("source_record_id"))
+    has_record = known(F.col("source_record_id")) | there("evidence_url") | there("pmid") | there("doi")
+    cited = source.rlike("pubmed|literature") | there("pmid") | there("doi")
     species = rank == "species"
     return (
         F.when(decision.isin(*_EXCLUDE), "excluded_by_review")
@@ -46,7 +62,7 @@ def grade() -> Column:
         .when(decision.isin(*_TO_LITERATURE), "direct_species_literature_supported_record")
         .when(~has_compound | tier.contains("unresolved") | status.contains("unresolved"), "unresolved_or_review_required")
         .when(tier.contains("direct_species_database") | (species & ~source.rlike("pubmed|pubtator|literature|candidate") & has_record), "direct_species_database_record")
-        .when(tier.contains("direct_species_literature") | (species & source.rlike("pubmed|literature") & ~tier.rlike("candidate|pubtator")), "direct_species_literature_supported_record")
+        .when(tier.contains("direct_species_literature") | (species & cited & ~tier.rlike("candidate|pubtator")), "direct_species_literature_supported_record")
         .when(tier.rlike("genus|family|fallback") | rank.isin("genus", "family"), "source_backed_genus_family_fallback")
         .when(tier.rlike("pubtator|candidate|co.?mention") | source.contains("pubtator") | (source.contains("pubmed") & ~tier.contains("direct")), "pubtator_pubmed_candidate_only")
         .otherwise("unresolved_or_review_required")
@@ -55,7 +71,8 @@ def grade() -> Column:
 
 def grade_evidence(occurrences: DataFrame, review: DataFrame | None = None) -> DataFrame:
     """One row per occurrence: grade, rank, flags and the filter key."""
-    graded = with_decisions(occurrences, review).withColumn("evidence_grade", grade())
+    decided = with_decisions(occurrences, review)
+    graded = decided.withColumn("evidence_grade", grade(decided.columns))
     structure = known(F.col("smiles")) | known(F.col("inchikey")) | known(F.col("cid"))
     backed = ~F.col("evidence_grade").isin("pubtator_pubmed_candidate_only", "unresolved_or_review_required", "excluded_by_review")
     weak = F.col("evidence_grade").isin("pubtator_pubmed_candidate_only", "unresolved_or_review_required", "source_backed_genus_family_fallback")
@@ -152,14 +169,19 @@ def feature_matrix(long: DataFrame, universe: DataFrame, features: list[str]) ->
 
 
 def species_metadata(graded: DataFrame, occurrences: DataFrame, universe: DataFrame) -> DataFrame:
-    """Counts per species of a universe, also for species without records."""
+    """Sixteen counts per species of a universe, also for species without records."""
+    id_ = non_empty(F.col("compound_id"))
+    distinct = lambda c: F.countDistinct(non_empty(F.col(c)))
+    part, tissue = known(F.col("plant_part_group")), known(F.col("tissue_group"))
     counts = occurrences.groupBy("species").agg(
-        F.count(F.lit(1)).alias("n_occurrences"), F.countDistinct(non_empty(F.col("compound_id"))).alias("n_compounds"),
-        F.countDistinct(F.when(truthy(F.col("comparable_for_matrix")), non_empty(F.col("compound_id")))).alias("n_comparable"), F.countDistinct(non_empty(F.col("source_database"))).alias("n_sources"),
+        F.count(F.lit(1)).alias("n_occurrences"), F.countDistinct(id_).alias("n_compounds"), F.countDistinct(F.when(truthy(F.col("comparable_for_matrix")), id_)).alias("n_comparable"),
+        F.countDistinct(F.when(known(F.col("smiles")) | known(F.col("inchikey")), id_)).alias("n_with_structure"), distinct("source_database").alias("n_sources"), F.countDistinct(F.when(known(F.col("comparison_scope")), F.col("comparison_scope"))).alias("n_scopes"),
+        F.countDistinct(F.when(known(F.col("comparison_group")), F.col("comparison_group"))).alias("n_groups"), F.count_if(part).alias("n_with_part"), F.count_if(tissue).alias("n_with_tissue"), F.count_if(known(F.col("method_group"))).alias("n_with_method"),
+        F.count_if(part | tissue).alias("n_with_context"),
     )
     grades = graded.groupBy("species").agg(*[F.count_if(F.col("evidence_grade_rank") == r).alias(f"n_grade_{r}") for r in (1, 2, 3, 4, 5)])
     out = universe.select("species").distinct().join(counts, "species", "left").join(grades, "species", "left")
-    numbers = ["n_occurrences", "n_compounds", "n_comparable", "n_sources", *[f"n_grade_{r}" for r in (1, 2, 3, 4, 5)]]
+    numbers = [c for c in out.columns if c.startswith("n_")]
     return out.na.fill(0, numbers).withColumn("record_status", F.when(F.col("n_occurrences") > 0, "records_present").otherwise("no_records_in_membership"))
 
 
@@ -187,21 +209,42 @@ def quality_tier(compounds: Column, fingerprinted: Column, records: Column) -> C
     )
 
 
+#: Methods that say only where a record comes from.
+RECORD_METHODS = ("database_record", "literature_curation")
+
+
 def species_summary(rows: DataFrame) -> DataFrame:
-    """Per species: compounds, records, shares of known context, dominant classes, sources, quality tier."""
+    """Thirty measures per species: compounds and structures, records, evidence, classes, sources, shares of known context, dominant values, quality tier."""
     share = lambda c: F.round(F.avg(c.cast("double")), 4)
-    method_known = known(F.col("method_group")) & ~F.lower("method_group").isin("database_record", "literature_curation")
+    id_ = non_empty(F.col("compound_id"))
+    many = lambda c: F.countDistinct(F.when(known(F.col(c)), F.col(c)))
+    direct = F.coalesce(F.lower(squish(F.col("evidence_tier"))).contains("direct_species"), F.lit(False)) & ~F.coalesce(F.lower("evidence_tier").contains("candidate"), F.lit(False))
+    method_known = known(F.col("method_group")) & ~F.lower("method_group").isin(*RECORD_METHODS)
+    part, tissue = known(F.col("plant_part_group")), known(F.col("tissue_group"))
+    structure = known(F.col("smiles")) | known(F.col("inchikey"))
+    weight = F.when(confidence_rank(F.col("confidence")) == 3, 90).when(confidence_rank(F.col("confidence")) == 2, 65).when(confidence_rank(F.col("confidence")) == 1, 35)
     stats = rows.filter(non_empty(F.col("species")).isNotNull()).groupBy("species").agg(
-        F.countDistinct(non_empty(F.col("compound_id"))).alias("n_compounds"),
-        F.countDistinct(F.when(known(F.col("smiles")), non_empty(F.col("compound_id")))).alias("n_with_structure"),
+        F.countDistinct(id_).alias("n_compounds"),
+        F.countDistinct(F.when(known(F.col("smiles")), id_)).alias("n_with_structure"),
+        F.countDistinct(F.when(known(F.col("inchikey")), F.col("inchikey"))).alias("n_inchikeys"),
+        F.countDistinct("cid").alias("n_cids"),
+        F.countDistinct(non_empty(F.col("compound_name_clean"))).alias("n_names"),
         F.count(F.lit(1)).alias("n_records"),
-        share(known(F.col("plant_part_group"))).alias("part_known"),
-        share(known(F.col("tissue_group"))).alias("tissue_known"),
-        share(F.coalesce(method_known, F.lit(False))).alias("method_known"),
-        share(known(F.col("plant_part_group")) | known(F.col("tissue_group"))).alias("context_known"),
+        F.countDistinct(non_empty(F.col("source_record_id"))).alias("n_source_records"),
+        F.countDistinct(non_empty(F.col("citation_or_url"))).alias("n_citations"),
         F.countDistinct(non_empty(F.col("source_database"))).alias("n_sources"),
+        F.countDistinct(F.when(truthy(F.col("comparable_for_matrix")), id_)).alias("n_comparable"),
+        F.count_if(direct).alias("n_direct_records"),
+        F.countDistinct(F.when(direct, id_)).alias("n_direct_compounds"),
+        F.count_if(F.lower(squish(F.col("matched_rank"))) == "genus").alias("n_genus_records"),
+        F.count_if(F.coalesce(F.lower("curation_flag").contains("review"), F.lit(False))).alias("n_review_records"),
+        many("comparison_scope").alias("n_scopes"), many("comparison_group").alias("n_groups"), many("comparison_subgroup").alias("n_subgroups"), many("plant_part_group").alias("n_parts"), many("method_group").alias("n_methods"),
+        F.round(F.sum(weight) / F.count(weight) / 100, 4).alias("mean_confidence"),
+        share(structure).alias("structure_known"), share(part).alias("part_known"), share(tissue).alias("tissue_known"), share(F.coalesce(method_known, F.lit(False))).alias("method_known"), share(part | tissue).alias("context_known"),
     )
-    out = stats.join(dominant(rows, "species", "comparison_scope"), "species", "left").join(dominant(rows, "species", "comparison_group"), "species", "left")
+    out = stats
+    for field in ("comparison_scope", "comparison_group", "plant_part_group", "source_database"):
+        out = out.join(dominant(rows, "species", field), "species", "left")
     return out.withColumn("quality_tier", quality_tier(F.col("n_compounds"), F.col("n_with_structure"), F.col("n_records")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.functions.text import non_empty, squish
+from florilege.functions.text import non_empty
 
 
 def long_profile(identity: DataFrame, quantity: DataFrame, row: str, treatments: list[str]) -> DataFrame:
@@ -35,5 +35,19 @@ def relative_abundance(rows: DataFrame, least: float = 0.0) -> DataFrame:
     return shares.withColumn("relative_abundance", F.col("abundance") / F.sum("abundance").over(total)).select("treatment", "compound", "abundance", "relative_abundance")
 
 
-def treatment_key(df: DataFrame, column: str) -> DataFrame:
-    return df.withColumn(column, F.lower(squish(F.col(column))))
+def align_treatments(identity: list[str], quantity: list[str], aliases: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
+    """(treatment, identity column, quantity column) of two wide tables, by squished name, case ignored, after aliases of quantity columns.
+
+    Treatments that only one of the tables has, or that a table has twice, raise with their names.
+    """
+    renamed = {squish_name(k).lower(): squish_name(v) for k, v in (aliases or {}).items()}
+    name = lambda c: renamed.get(squish_name(c).lower(), squish_name(c))
+    mine, theirs = [(squish_name(c), c) for c in identity], [(name(c), c) for c in quantity]
+    for side in (mine, theirs):
+        names = [n.lower() for n, _ in side]
+        if len(set(names)) < len(names):
+            raise ValueError(f"treatments come twice: {sorted({n for n in names if names.count(n) > 1})}")
+    left, right = {n.lower(): (n, c) for n, c in mine}, {n.lower(): c for n, c in theirs}
+    if set(left) != set(right):
+        raise ValueError(f"treatments without a counterpart: {sorted(set(left) ^ set(right))}")
+    return [(n, c, right[k]) for k, (n, c) in left.items()]

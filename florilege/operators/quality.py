@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from florilege.functions.rules import ordered
-from florilege.functions.text import non_empty
+from florilege.functions.text import known, non_empty, squish
 
 #: Kinds of columns by the first name pattern found.
 TYPE_RULES = (("Count$|CID$|AID$|_id$|^n_", "integer"), ("Score$|Similarity$|Mass$|Value$|_rt$|_area$", "numeric"), ("^is_|^has_|Present$|Eligible$", "logical"))
@@ -93,21 +93,116 @@ def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.agg(F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
-def source_diagnostics(df: DataFrame, source: str) -> DataFrame:
-    """Per source (case and outer spaces ignored): its group by name, rows, and rows with an identifier."""
+def source_diagnostics(df: DataFrame, source: str, query: str | None = None) -> DataFrame:
+    """Per source, or per query and source (case and outer spaces ignored): its group by name, rows, and rows with an identifier."""
     name = F.upper(F.trim(F.col(source)))
-    return df.groupBy(name.alias("source")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(non_empty(F.col("compound_id")).isNotNull()).alias("n_identified")).withColumn("source_group", ordered(F.col("source"), SOURCE_GROUPS, F.lit("other")))
-
-
-#: Risks of a compound identity by pattern of its name.
-RISK_PATTERNS = {"mixture": r"(?i)\bmixture\b|\bextract\b", "unknown": r"(?i)^unknown|not identified|n/a|\?\?", "isomer_prefix": r"(?i)^(cis|trans|alpha|beta|gamma|delta)[- ]", "locants": r"^\d+(,\d+)*-", "trailing_number": r"\s\d+\s*$"}
+    by = [F.col(query).alias("query")] if query else []
+    counts = df.groupBy(*by, name.alias("source")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(non_empty(F.col("compound_id")).isNotNull()).alias("n_identified"))
+    return counts.withColumn("source_group", ordered(F.col("source"), SOURCE_GROUPS, F.lit("other")))
+
+
+def identity_risks(name: Column, notes: Column, smiles: Column, issue: Column) -> dict[str, Column]:
+    """The nine risks of a compound's identity by its name and notes, its structure and the kind of issue on file (``resolved``: none)."""
+    text = F.lower(F.concat_ws(" ", F.coalesce(non_empty(name), F.lit("")), F.coalesce(non_empty(notes), F.lit(""))))
+    kind = F.lower(F.coalesce(non_empty(issue), F.lit("")))
+    found = lambda c, pattern: F.coalesce(c.rlike(pattern), F.lit(False))
+    # The patterns of the risks.
+    return {
+        "ambiguity": (kind != "resolved") | found(text, "ambiguous|multiple|mixture|isomer"),
+        "salt_hydrate": found(text, "salt|hydrate|hydrochloride|sodium|potassium"),
+        "stereochemistry_unspecified": known(smiles) & ~found(smiles, r"@|/|\\") & found(text, "stereo|isomer|alpha|beta|gamma|delta"),
+        "mixture_common_name": found(text, "mixture|extract|fraction|isomers|derivatives") | found(kind, "mixture|isomer"),
+        "class_like_name": found(kind, "class|family|broad_class"),
+        "plant_source_name": found(kind, "source|product|material"),
+        "synonym_only_match": found(text, "synonym"),
+        "alias_derived_match": found(text, "alias|transliter"),
+        "multiple_candidate": found(text, "multiple|ambiguous") | found(kind, "ambiguous"),
+    }
+
+
+def identity_issue(inchikey: Column, cid: Column, smiles: Column, compound_id: Column) -> Column:
+    """resolved, structure_only, identifier_only or unresolved."""
+    return F.when(known(inchikey) | known(cid.cast("string")), "resolved").when(known(smiles), "structure_only").when(known(compound_id), "identifier_only").otherwise("unresolved")
 
 
 def identity_audit(df: DataFrame) -> DataFrame:
-    """Per record: how its compound is identified and which risks its name carries."""
+    """Per record: how its compound is identified, the issue, and which of nine risks its name carries."""
     method = F.when(non_empty(F.col("inchikey")).isNotNull(), "inchikey").when(F.col("cid").isNotNull(), "cid").when(non_empty(F.col("smiles")).isNotNull(), "smiles").otherwise("name_only")
-    risks = F.concat_ws("; ", *[F.when(F.col("compound_name").rlike(p), F.lit(n)) for n, p in RISK_PATTERNS.items()], F.when(non_empty(F.col("compound_id")).isNull(), F.lit("no_id")))
-    return df.select("occurrence_id", method.alias("method"), risks.alias("risks"), F.when(method.isin("inchikey", "cid") & (risks == ""), "high").when(method != "name_only", "medium").otherwise("low").alias("identity_confidence"))
+    issue = identity_issue(F.col("inchikey"), F.col("cid"), F.col("smiles"), F.col("compound_id"))
+    notes = F.col("curation_flag") if "curation_flag" in df.columns else F.lit(None).cast("string")
+    risks = F.concat_ws("; ", *[F.when(c, F.lit(n)) for n, c in identity_risks(F.col("compound_name"), notes, F.col("smiles"), issue).items()])
+    return df.select("occurrence_id", method.alias("method"), issue.alias("issue"), risks.alias("risks"), F.when(method.isin("inchikey", "cid") & (risks == ""), "high").when(method != "name_only", "medium").otherwise("low").alias("identity_confidence"))
+
+
+def identity_review_table(df: DataFrame, include_resolved: bool = False, least: int = 1) -> DataFrame:
+    """Per clean name: its issue (the best of its records), structures, ids, records and species, and the decision to be filled in; names of fewer than ``least`` species are left out."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("resolved", "structure_only", "identifier_only", "unresolved")]), identity_issue(F.col("inchikey"), F.col("cid"), F.col("smiles"), F.col("compound_id")))
+    out = df.filter(known(F.col("compound_name_clean"))).groupBy("compound_name_clean").agg(
+        F.min(rank).alias("r"), F.countDistinct(non_empty(F.col("inchikey"))).alias("n_structures"), F.countDistinct(non_empty(F.col("compound_id"))).alias("n_ids"), F.count(F.lit(1)).alias("n_records"), F.countDistinct(non_empty(F.col("species"))).alias("n_species")
+    )
+    issue = F.when(F.col("n_structures") > 1, "ambiguous").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("resolved", "structure_only", "identifier_only", "unresolved")]), F.col("r").cast("int")))
+    out = out.withColumn("issue", issue).filter(F.col("n_species") >= least).drop("r")
+    none = F.lit(None).cast("string")
+    return (out if include_resolved else out.filter("issue <> 'resolved'")).withColumns({"decision": none, "reviewed_inchikey": none, "reviewer": none})
+
+
+def apply_identity_review(df: DataFrame, review: DataFrame) -> DataFrame:
+    """Rows with the reviewed identity of their clean name: identity_decision, and the InChIKey that an accepted decision gives.
+
+    ``review``: compound_name_clean, decision, reviewed_inchikey. Accepted are accept, accepted and resolved with
+    an identity; names that are decided in several ways, or with several identities, count as conflicting and change nothing.
+    """
+    word = F.lower(squish(F.col("decision")))
+    accepted = F.coalesce(word.isin("accept", "accepted", "resolved"), F.lit(False)) & non_empty(F.col("reviewed_inchikey")).isNotNull()
+    kinds = review.filter(known(F.col("compound_name_clean")) & known(F.col("decision"))).select("compound_name_clean", F.when(accepted, "accepted").otherwise("rejected").alias("d"), F.when(accepted, F.upper(non_empty(F.col("reviewed_inchikey")))).alias("k"))
+    by_name = kinds.groupBy("compound_name_clean").agg(F.countDistinct("d").alias("n"), F.countDistinct("k").alias("m"), F.min("d").alias("d"), F.min("k").alias("k"))
+    by_name = by_name.select("compound_name_clean", F.when((F.col("n") > 1) | (F.col("m") > 1), "conflicting").otherwise(F.col("d")).alias("__fl_d"), F.when((F.col("n") == 1) & (F.col("m") == 1), F.col("k")).alias("__fl_k"))
+    out = df.join(by_name, "compound_name_clean", "left")
+    return out.withColumn("inchikey", F.coalesce("__fl_k", "inchikey")).withColumn("identity_decision", F.coalesce("__fl_d", F.lit("not_reviewed"))).drop("__fl_d", "__fl_k")
+
+
+def identity_audit_summary(audit: DataFrame) -> DataFrame:
+    """(check, value, status) of an identity audit: records, duplicates of identifiers, unresolved and risky records; warn where there are any."""
+    n = F.count(F.lit(1))
+    row = audit.agg(
+        n.alias("records"), (n - F.countDistinct("occurrence_id")).alias("repeated_identifiers"), F.count_if(F.col("issue") == "unresolved").alias("unresolved"), F.count_if(F.col("risks") != "").alias("with_risks"),
+        F.count_if(~F.col("identity_confidence").isin("high", "medium", "low") | F.col("identity_confidence").isNull()).alias("invalid_confidence"),
+    )
+    return checks(row, {"records": "info", "repeated_identifiers": "fail", "unresolved": "warn", "with_risks": "warn", "invalid_confidence": "fail"})
+
+
+def checks(row: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(check, value, status): the counts of one row as checks; a count above 0 has the status of its kind, else pass."""
+    parts = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("value"), F.lit(k).alias("kind")) for c, k in kinds.items()])
+    out = row.select(F.explode(parts).alias("x")).select("x.*")
+    return out.select("check", "value", F.when((F.col("value") > 0) | (F.col("kind") == "info"), F.col("kind")).otherwise("pass").alias("status"))
+
+
+#: Statuses of runs and of provider calls.
+RUN_STATUSES = ("planned", "running", "complete", "partial", "failed", "skipped")
+
+
+def manifest_checks(manifest: DataFrame) -> DataFrame:
+    """(check, value, status) of a run manifest (stage, status, path, n_rows): repeated and blank stages, unknown statuses, complete stages without a path, negative counts."""
+    status = F.lower(squish(F.col("status")))
+    row = manifest.agg(
+        F.count(F.lit(1)).alias("stages"), (F.count("stage") - F.countDistinct("stage")).alias("repeated_stages"), F.count_if(non_empty(F.col("stage")).isNull()).alias("blank_stages"),
+        F.count_if(~F.coalesce(status.isin(*RUN_STATUSES), F.lit(False))).alias("unknown_statuses"), F.count_if((status == "complete") & non_empty(F.col("path")).isNull()).alias("complete_without_path"), F.count_if(F.col("n_rows") < 0).alias("negative_rows"),
+    )
+    return checks(row, {"stages": "info", "repeated_stages": "fail", "blank_stages": "fail", "unknown_statuses": "fail", "complete_without_path": "fail", "negative_rows": "fail"})
+
+
+#: Columns of provider diagnostics and the names that they go by.
+DIAGNOSTICS = {"provider": ["provider", "source", "source_database"], "query": ["query", "species", "plant"], "status": ["status", "state"], "n_records": ["n_records", "records", "rows"], "message": ["message", "error", "note"]}
+
+
+def standard_diagnostics(df: DataFrame) -> DataFrame:
+    """Diagnostics of any layout as provider, query, status, n_records, message; a missing status follows from the records and the message."""
+    have = {c.lower(): c for c in df.columns}
+    pick = {n: next((F.col(f"`{have[x]}`").cast("string") for x in names if x in have), F.lit(None).cast("string")) for n, names in DIAGNOSTICS.items()}
+    out = df.select(F.lower(non_empty(pick["provider"])).alias("provider"), non_empty(pick["query"]).alias("query"), F.lower(non_empty(pick["status"])).alias("given"), F.coalesce(pick["n_records"].try_cast("bigint"), F.lit(0)).alias("n_records"), non_empty(pick["message"]).alias("message"))
+    status = F.coalesce("given", F.when(F.col("n_records") > 0, "complete").when(F.col("message").isNotNull(), "failed").otherwise("no_records"))
+    return out.select("provider", "query", status.alias("status"), "n_records", "message")
 
 
 def combine_batches(batches: list[tuple[str, DataFrame]]) -> DataFrame:

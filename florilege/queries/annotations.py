@@ -69,8 +69,43 @@ def _oracle(k: int, columns: str, more: str = "") -> str:
     return f"WITH a AS (SELECT compound_id AS query, cid, source_database AS source, {columns} FROM plant_compounds WHERE compound_id IS NOT NULL AND (occurrence_id % 6 = {k}{more})) SELECT * EXCLUDE (source), count(*) AS n_rows, nullif(string_agg(DISTINCT {non('source')}, '; ' ORDER BY {non('source')}), '') AS sources FROM a GROUP BY ALL"
 
 
-_IS = "occurrence_id % 6 = {0}"
+_TEXT = "CASE occurrence_id % 6 " + " ".join(f"WHEN {k} THEN '{h} {t}'" for k, (h, t) in enumerate(TEXTS)) + " END"
+_ALL = f"""WITH an AS (SELECT compound_id AS query, cid, source_database AS source, replace(replace({_TEXT}, '{{n}}', {_N}), '{{t}}', coalesce(comparison_subgroup, 'none')) AS x FROM plant_compounds WHERE compound_id IS NOT NULL)"""
+
+
+def _sorted(pattern: str) -> str:
+    return f"nullif(array_to_string(list_sort(list_distinct(regexp_extract_all(x, '{pattern}'))), '; '), '')"
+
+
+def _terms(words: str) -> str:
+    return "nullif(concat_ws('; ', " + ", ".join(f"CASE WHEN regexp_matches(x, '(?i)\\b{w}\\b') THEN '{w}' END" for w in words.split(",")) + "), '')"
+
+
+def _full(belongs: str, columns: str) -> str:
+    """Profile rows of all texts that belong to a profile."""
+    return _ALL + f", a AS (SELECT query, cid, source, {columns} FROM an WHERE regexp_matches(x, '(?i){belongs}')) SELECT * EXCLUDE (source), count(*) AS n_rows, nullif(string_agg(DISTINCT {non('source')}, '; ' ORDER BY {non('source')}), '') AS sources FROM a GROUP BY ALL"
+
+
+_ODOURS = _terms("citrus,lemon,orange,lime,floral,rose,green,herbal,mint,pine,woody,earthy,fruity,berry,apple,banana,sweet,bitter,sour,fatty,waxy,spicy,pepper,smoky,nutty,almond,vanilla,phenolic,sulfurous,alliaceous,camphor,terpene,fresh")
+_H = "regexp_extract(x, '\\b(H[0-9]{3}[A-Za-z]?)\\b', 1)"
 ORACLES = {
+    "safety_profile": _full(
+        "Safety|Hazard|GHS|Toxicity|Toxicological|Fire|Exposure|Handling|Warning|Danger|H[0-9]{3}|P[0-9]{3}",
+        _sorted("\\bH[0-9]{3}[A-Za-z]?\\b") + " AS hazard_codes, " + _sorted("\\bP[0-9]{3}[A-Za-z]?\\b") + " AS precaution_codes, CASE WHEN regexp_matches(x, '(?i)\\bdanger\\b') THEN 'Danger' WHEN regexp_matches(x, '(?i)\\bwarning\\b') THEN 'Warning' END AS signal_word, "
+        + f"CASE WHEN {_H} LIKE 'H2%' THEN 'physical_hazard' WHEN {_H} LIKE 'H3%' THEN 'health_hazard' WHEN {_H} LIKE 'H4%' THEN 'environmental_hazard' WHEN regexp_matches(x, '(?i)flammable|explosive|oxidiz') THEN 'physical_hazard' WHEN regexp_matches(x, '(?i)aquatic|environment') THEN 'environmental_hazard' WHEN regexp_matches(x, '(?i)toxic|harmful|irritat|corros|carcin') THEN 'health_hazard' END AS hazard_category, "
+        + f"CASE WHEN {_H} IN ('H318', 'H319') THEN 'eye_damage_irritation' WHEN {_H} IN ('H315', 'H317') THEN 'skin_irritation_sensitization' WHEN regexp_matches({_H}, '^H3[013]') THEN 'acute_toxicity' WHEN regexp_matches({_H}, '^H2[2-7]') THEN 'flammability_reactivity' WHEN {_H} LIKE 'H4%' THEN 'aquatic_environmental_toxicity' WHEN regexp_matches(x, '(?i)eye') THEN 'eye_damage_irritation' WHEN regexp_matches(x, '(?i)skin|dermal') THEN 'skin_irritation_sensitization' WHEN regexp_matches(x, '(?i)flammable') THEN 'flammability_reactivity' WHEN regexp_matches(x, '(?i)toxic|harmful|fatal') THEN 'acute_toxicity' WHEN regexp_matches(x, '(?i)aquatic') THEN 'aquatic_environmental_toxicity' END AS hazard_group, "
+        + _terms("eye,skin,respiratory tract,liver,kidney,central nervous system,blood,heart,lung,reproductive system") + " AS target_organs",
+    ),
+    "flavour_profile": _full(
+        "FEMA|Flavor and Extract|Flavor|Odor|Taste|GRAS|JECFA",
+        "nullif(regexp_extract(x, '(?i)FEMA\\D{0,20}?([0-9]{4})\\b', 1), '') AS fema_number, nullif(regexp_extract(x, '(?i)JECFA\\D{0,20}?([0-9]{1,4})\\b', 1), '') AS jecfa_number, CASE WHEN regexp_matches(x, '(?i)\\bGRAS\\b|Generally Recognized as Safe') THEN 'GRAS' END AS gras, "
+        + f"{_ODOURS} AS descriptors, CASE WHEN regexp_matches(x, '(?i)flavou?r|taste|aroma') THEN {_ODOURS} END AS flavours, CASE WHEN regexp_matches(x, '(?i)odou?r|aroma|scent|smell') THEN {_ODOURS} END AS odours",
+    ),
+    "label_profile": _full(
+        "FDA/SPL|SPL Indexing|Drug and Medication|Therapeutic Uses|Drug|Medication|Clinical|Pharmacologic|Indication|Contraindication|Adverse|Route|Dosage|Ingredient|Boxed Warning",
+        _terms("oral,intravenous,topical,inhalation,subcutaneous,intramuscular,ophthalmic,nasal,transdermal,rectal,sublingual,buccal,intradermal,epidural") + " AS routes, " + _terms("tablet,capsule,solution,suspension,injection,cream,ointment,gel,patch,spray,powder,suppository,syrup") + " AS dosage_forms, "
+        + _terms("contraindication,adverse reaction,boxed warning,warning,precaution,interaction,overdosage,pregnancy,carcinogenesis,hypersensitivity") + " AS warnings, regexp_matches(x, '(?i)boxed warning|black box') AS boxed_warning",
+    ),
     "literature_profile": _oracle(4, f"'PMID: ' || {_N} AS pubmed, '10.1234/ab.' || {_N} AS doi, 'US' || {_N} || '567' AS patents, 'pubmed' AS kind"),
     "natural_profile": _oracle(5, f"'LTS000' || {_N} AS record, {_N} AS taxonomy_id, 'Rosaceae' AS family, NULL AS taxon_order, 'Plantae' AS kingdom, 'terpenoid' AS product_classes"),
     "subject_profile": _oracle(3, f"'D02.455.' || {_N} AS tree_numbers, 'Chemicals and Drugs' AS tree_group, true AS is_action"),

@@ -143,7 +143,15 @@ def _level(value: str) -> str:
 _QA = f"WITH p AS (SELECT {words_sql('species')} AS k, bool_or(coalesce({known('compound_id')} AND lower(matched_rank) = 'species', false)) AS ready, bool_or({known('plant_part_group')}) AS ctx FROM plant_compounds GROUP BY 1), m AS (SELECT * FROM (SELECT DISTINCT {words_sql('species')} AS k FROM plant_list) LEFT JOIN p USING (k)), c AS (SELECT 'species_with_records' AS \"check\", round(avg((ready IS NOT NULL)::INT), 4) AS value, 0.5::DOUBLE AS least FROM m UNION ALL SELECT 'analysis_ready', round(avg(coalesce(ready, false)::INT), 4), 0.25 FROM m UNION ALL SELECT 'context', round(avg(coalesce(ctx, false)::INT), 4), 0.25 FROM m UNION ALL SELECT 'resolved', round(avg(({known('inchikey')} OR {known('cid')})::INT), 4), 0.5 FROM plant_compounds)"
 _DICT = [f"('primary_metabolites', '{f}', '{f}', 'primary_metabolism', 'nonvolatile_or_unspecified', 'Yes')" for f in C.PRIMARY]
 
+_DICT += [f"('specialized_metabolites', '{f}', '{f}', 'specialized_metabolism', 'nonvolatile_or_unspecified', 'Yes'), ('volatile_specialized_metabolites', 'volatile_{f}', '{f}', 'specialized_metabolism', 'volatile_semivolatile', 'Yes')" for f in C.SPECIALIZED]
+_DICT += ["('lipids_fatty_acids', 'fatty_acid_lipid', 'fatty_acid_lipid', 'lipid_metabolism', 'nonvolatile_or_unspecified', 'Yes')", "('plant_hormone_signaling', 'plant_hormone_signal', 'plant_hormone_signal', 'plant_hormone_signaling', 'nonvolatile_or_unspecified', 'Yes')", "('broad_or_uncertain', 'broad_or_uncertain', 'broad_or_uncertain', 'broad_or_uncertain', 'nonvolatile_or_unspecified', 'No')", "('xenobiotic_or_contaminant', 'unknown', 'unknown', 'xenobiotic_or_contaminant', 'unknown', 'No')", "('unknown', 'unknown', 'unknown', 'unknown', 'unknown', 'No')"]
+
 ORACLES = {
+    "comparison_dictionary": "SELECT * FROM (VALUES " + ", ".join(_DICT) + ") v(comparison_scope, comparison_group, biosynthetic_family, metabolism_domain, chemical_behavior, comparable_for_matrix)",
+    "text_context": f"""WITH s AS (SELECT doc_id, lower(trim(regexp_replace(species, '[\\s\\pZ]+', ' ', 'g'))) AS sp, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM documents WHERE text IS NOT NULL AND {non("species")} IS NOT NULL),
+e AS (SELECT doc_id, sp, unnest(ss) AS t, (generate_subscripts(ss, 1) - 1)::INT AS sentence_no FROM s), n AS (SELECT * FROM e WHERE contains(lower(t), sp))
+SELECT * FROM (SELECT doc_id, sentence_no, 'plant_part' AS kind, {_first("t", C.PART_RULES)} AS value FROM n UNION ALL SELECT doc_id, sentence_no, 'method', {_first("t", C.METHOD_RULES)} FROM n) WHERE value IS NOT NULL""",
+    "candidate_scores": "SELECT species, round(round(0.25::DOUBLE * avg(coalesce(matched_rank = 'species', false)::INT) + 0.2::DOUBLE * avg((inchikey IS NOT NULL)::INT) + 0.2::DOUBLE * (count(DISTINCT source_database) / 30.0::DOUBLE) + 0.15::DOUBLE * avg(coalesce(contains(citation_or_url, '/doc/'), false)::INT) + 0.2::DOUBLE * avg((tissue_group IS NOT NULL)::INT), 4), 3) AS score FROM plant_compounds WHERE species IS NOT NULL GROUP BY species",
     "context_groups": f"SELECT occurrence_id, {_PART.format('x')} AS part, {_METHOD.format('method_group')} AS method FROM (SELECT *, concat_ws(' ', plant_part_group, tissue_group) AS x FROM plant_compounds)",
     "clean_names": f"SELECT peak_id, {_clean('compound_name')} AS name_key FROM standard_data",
     "comparability": f"WITH f AS (SELECT occurrence_id, coalesce({_first('comparison_subgroup', C.FAMILY_RULES)}, {_first('comparison_group', C.FAMILY_RULES)}, {_first('compound_name_clean', C.FAMILY_RULES)}) AS fam, coalesce(method_group = 'GC-MS', false) AS vol FROM plant_compounds) SELECT occurrence_id, {_SCOPE} AS scope, CASE WHEN {_SCOPE} = 'unknown' THEN 'unknown' WHEN {_SPECIAL} AND vol THEN 'volatile_' || fam ELSE fam END AS comparison, CASE WHEN {_SCOPE} = 'unknown' THEN 'No' ELSE 'Yes' END AS comparable FROM f",

@@ -46,6 +46,10 @@ def evidence_review_required(spark, d):
     return E.filter_review_required(E.grade_evidence(_rows(spark, d))).select("occurrence_id", "evidence_grade")
 
 
+def evidence_dictionary(spark, d):
+    return E.grade_dictionary(spark)
+
+
 def evidence_summary(spark, d):
     return E.grade_summary(E.grade_evidence(_rows(spark, d)))
 
@@ -130,7 +134,7 @@ def direct_sources(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_grades, evidence_grades_reviewed, evidence_direct, evidence_comparable, evidence_review_required, evidence_summary, review_reasons, metadata_standardized, overrides_applied,
+        evidence_grades, evidence_grades_reviewed, evidence_direct, evidence_comparable, evidence_review_required, evidence_dictionary, evidence_summary, review_reasons, metadata_standardized, overrides_applied,
         overrides_invalid, feature_matrix, species_metadata, species_summary, mode_or_mixed, source_coverage, coverage_summary, missing_species, membership_enriched, direct_sources,
     )
 } | {f"features_{m}": _features(m) for m in ("count", "binary", "fraction", "confidence")}
@@ -188,6 +192,34 @@ _REASONS = (
     ("weak_tier", "coalesce(regexp_matches(lower(evidence_tier), 'candidate|fallback|unresolved'), true)"), ("flagged", "coalesce(contains(lower(curation_flag), 'review'), false)"),
 )
 
+_TRUE = "lower(trim(comparable_for_matrix)) IN ('true', 't', 'yes', 'y', '1', 'present', 'high', 'medium')"
+
+
+def _many(value: str, where: str) -> str:
+    return f"count(DISTINCT CASE WHEN {where} THEN {value} END)"
+
+
+def _mean(c: str) -> str:
+    return f"round(avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0 END), 4)"
+
+
+_ID = non("compound_id")
+_META_COUNTS = {
+    "n_occurrences": "count(*)", "n_compounds": f"count(DISTINCT {_ID})", "n_comparable": _many(_ID, _TRUE), "n_with_structure": _many(_ID, f"({known('smiles')} OR {known('inchikey')})"), "n_sources": f"count(DISTINCT {non('source_database')})",
+    "n_scopes": _many("comparison_scope", known("comparison_scope")), "n_groups": _many("comparison_group", known("comparison_group")), "n_with_part": f"count(*) FILTER ({known('plant_part_group')})", "n_with_tissue": f"count(*) FILTER ({known('tissue_group')})",
+    "n_with_method": f"count(*) FILTER ({known('method_group')})", "n_with_context": f"count(*) FILTER ({known('plant_part_group')} OR {known('tissue_group')})", **{f"n_grade_{r}": f"count(*) FILTER (rank = {r})" for r in range(1, 6)},
+}
+_IS_DIRECT = "coalesce(contains(lower(evidence_tier), 'direct_species') AND NOT contains(lower(evidence_tier), 'candidate'), false)"
+_SUMMARY = {
+    "n_compounds": f"count(DISTINCT {_ID})", "n_with_structure": _many(_ID, known("smiles")), "n_inchikeys": _many("inchikey", known("inchikey")), "n_cids": "count(DISTINCT cid)", "n_names": f"count(DISTINCT {non('compound_name_clean')})", "n_records": "count(*)",
+    "n_source_records": f"count(DISTINCT {non('source_record_id')})", "n_citations": f"count(DISTINCT {non('citation_or_url')})", "n_sources": f"count(DISTINCT {non('source_database')})", "n_comparable": _many(_ID, _TRUE),
+    "n_direct_records": f"count(*) FILTER ({_IS_DIRECT})", "n_direct_compounds": _many(_ID, _IS_DIRECT), "n_genus_records": "count(*) FILTER (lower(trim(matched_rank)) = 'genus')", "n_review_records": "count(*) FILTER (contains(lower(curation_flag), 'review'))",
+    **{n: _many(c, known(c)) for n, c in (("n_scopes", "comparison_scope"), ("n_groups", "comparison_group"), ("n_subgroups", "comparison_subgroup"), ("n_parts", "plant_part_group"), ("n_methods", "method_group"))},
+    "mean_confidence": "round(sum(CASE lower(trim(confidence)) WHEN 'high' THEN 90 WHEN 'medium' THEN 65 WHEN 'low' THEN 35 END) / count(*) FILTER (lower(trim(confidence)) IN ('high', 'medium', 'low')) / 100, 4)",
+    "structure_known": _mean(f"({known('smiles')} OR {known('inchikey')})"), "part_known": _mean(known("plant_part_group")), "tissue_known": _mean(known("tissue_group")), "method_known": _mean(known("method_group") + " AND lower(method_group) NOT IN ('database_record', 'literature_curation')"),
+    "context_known": _mean(f"({known('plant_part_group')} OR {known('tissue_group')})"),
+}
+
 ORACLES = {
     "evidence_grades": _GRADED + f"SELECT occurrence_id, species, compound_id, evidence_grade, rank AS evidence_grade_rank, {_YN.format('rank <= 3')} AS source_backed, {_YN.format('sr')} AS structure_resolved, {_YN.format('cm')} AS comparable_for_analysis, {_YN.format('rr')} AS review_required, decision, evidence_grade || '__' || CASE WHEN sr THEN 'structure_resolved' ELSE 'structure_unresolved' END || '__' || CASE WHEN cm THEN 'comparable' ELSE 'not_comparable' END AS analysis_filter_key FROM k",
     "evidence_grades_reviewed": f"""WITH ki AS (SELECT occurrence_id, CASE WHEN curation_flag = 'needs_review' THEN 'exclude' ELSE 'confirmed_literature' END AS di FROM plant_compounds WHERE curation_flag IN ('needs_review', 'checked')),
@@ -203,11 +235,11 @@ SELECT occurrence_id, {_GRADE} AS evidence_grade, decision FROM j""",
     "overrides_applied": f"WITH {_OV}, i AS (SELECT compound_id, max({non('comparison_scope')}) AS s, max({non('comparison_group')}) AS g FROM ov WHERE compound_id IS NOT NULL GROUP BY 1), n AS (SELECT compound_name_clean, max({non('comparison_scope')}) AS s, max({non('comparison_group')}) AS g FROM ov WHERE compound_id IS NULL GROUP BY 1) SELECT occurrence_id, coalesce(i.s, n.s, comparison_scope) AS comparison_scope, coalesce(i.g, n.g, comparison_group) AS comparison_group FROM plant_compounds LEFT JOIN i USING (compound_id) LEFT JOIN n USING (compound_name_clean)",
     "overrides_invalid": f"WITH {_OV} SELECT * FROM ov WHERE comparison_group IS NOT NULL AND (comparison_scope, comparison_group) NOT IN (SELECT (comparison_scope, comparison_group) FROM plant_compounds WHERE comparison_scope IS NOT NULL AND comparison_group IS NOT NULL)",
     "feature_matrix": f"WITH f AS ({_FEAT}), v AS (SELECT species, feature, count(DISTINCT compound_id) / greatest(any_value(t), 1) AS value FROM f JOIN (SELECT species, count(DISTINCT compound_id) AS t FROM f GROUP BY 1) USING (species) GROUP BY 1, 2) SELECT species, " + ", ".join(f"coalesce(max(round(value, 6)) FILTER (feature = '{x}'), 0)::DOUBLE AS {x}" for x in FEATURES) + f", 'species__' || {_SLUG.format('species')} AS species_id FROM (SELECT DISTINCT species FROM plant_list) LEFT JOIN v USING (species) GROUP BY species",
-    "species_metadata": _GRADED + f", c AS (SELECT species, count(*) AS n_occurrences, count(DISTINCT {non('compound_id')}) AS n_compounds, count(DISTINCT CASE WHEN lower(trim(comparable_for_matrix)) IN ('true', 't', 'yes', 'y', '1', 'present', 'high', 'medium') THEN {non('compound_id')} END) AS n_comparable, count(DISTINCT {non('source_database')}) AS n_sources, " + ", ".join(f"count(*) FILTER (rank = {r}) AS n_grade_{r}" for r in range(1, 6)) + " FROM k GROUP BY species) SELECT species, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_occurrences", "n_compounds", "n_comparable", "n_sources", *[f"n_grade_{r}" for r in range(1, 6)])) + ", CASE WHEN n_occurrences > 0 THEN 'records_present' ELSE 'no_records_in_membership' END AS record_status FROM (SELECT DISTINCT species FROM plant_list) LEFT JOIN c USING (species)",
-    "species_summary": f"""WITH s AS (SELECT species, count(DISTINCT {non("compound_id")}) AS n_compounds, count(DISTINCT CASE WHEN {known("smiles")} THEN {non("compound_id")} END) AS n_with_structure, count(*) AS n_records, {_share(known("plant_part_group"), "part_known")}, {_share(known("tissue_group"), "tissue_known")},
-  {_share(known("method_group") + " AND lower(method_group) NOT IN ('database_record', 'literature_curation')", "method_known")}, {_share("(" + known("plant_part_group") + " OR " + known("tissue_group") + ")", "context_known")}, count(DISTINCT {non("source_database")}) AS n_sources FROM plant_compounds WHERE {non("species")} IS NOT NULL GROUP BY species)
-SELECT s.*, dominant_comparison_scope, dominant_comparison_group, CASE WHEN n_compounds < 1 THEN 'no_species_level_public_profile' WHEN n_compounds >= 50 AND n_with_structure / n_compounds >= 0.8 AND n_records >= 50 THEN 'robust_public_species_profile' WHEN n_compounds >= 10 AND n_with_structure / n_compounds >= 0.5 THEN 'moderate_public_species_profile' ELSE 'limited_public_species_profile' END AS quality_tier
-FROM s LEFT JOIN {_dom("comparison_scope")} USING (species) LEFT JOIN {_dom("comparison_group")} USING (species)""",
+    "evidence_dictionary": "SELECT * FROM (VALUES ('direct_species_database_record', 1, 'Direct species database record', 'Yes', 'Yes'), ('direct_species_literature_supported_record', 2, 'Direct species literature-supported record', 'Yes', 'Yes'), ('source_backed_genus_family_fallback', 3, 'Source-backed genus or family fallback', 'No', 'Yes'), ('pubtator_pubmed_candidate_only', 4, 'PubTator or PubMed candidate only', 'No', 'No'), ('unresolved_or_review_required', 5, 'Unresolved or review-required', 'No', 'No'), ('excluded_by_review', 99, 'Excluded by review', 'No', 'No')) v(evidence_grade, evidence_grade_rank, label, is_direct, source_backed)",
+    "species_metadata": _GRADED + f", c AS (SELECT species, {', '.join(f'{v} AS {n}' for n, v in _META_COUNTS.items())} FROM k GROUP BY species) SELECT species, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in _META_COUNTS) + ", CASE WHEN n_occurrences > 0 THEN 'records_present' ELSE 'no_records_in_membership' END AS record_status FROM (SELECT DISTINCT species FROM plant_list) LEFT JOIN c USING (species)",
+    "species_summary": f"""WITH s AS (SELECT species, {", ".join(f"{v} AS {n}" for n, v in _SUMMARY.items())} FROM plant_compounds WHERE {non("species")} IS NOT NULL GROUP BY species)
+SELECT s.*, dominant_comparison_scope, dominant_comparison_group, dominant_plant_part_group, dominant_source_database, CASE WHEN n_compounds < 1 THEN 'no_species_level_public_profile' WHEN n_compounds >= 50 AND n_with_structure / n_compounds >= 0.8 AND n_records >= 50 THEN 'robust_public_species_profile' WHEN n_compounds >= 10 AND n_with_structure / n_compounds >= 0.5 THEN 'moderate_public_species_profile' ELSE 'limited_public_species_profile' END AS quality_tier
+FROM s LEFT JOIN {_dom("comparison_scope")} USING (species) LEFT JOIN {_dom("comparison_group")} USING (species) LEFT JOIN {_dom("plant_part_group")} USING (species) LEFT JOIN {_dom("source_database")} USING (species)""",
     "mode_or_mixed": f"SELECT species, CASE WHEN count(*) > 1 THEN 'mixed' ELSE max(v) END AS mode_plant_part_group FROM (SELECT species, {non('plant_part_group')} AS v, count(*) AS n FROM plant_compounds WHERE {non('plant_part_group')} IS NOT NULL GROUP BY 1, 2 QUALIFY n = max(n) OVER (PARTITION BY species)) GROUP BY species",
     "source_coverage": _COV + " SELECT query, source, n_records, CASE WHEN n_records > 0 THEN 'Yes' ELSE 'No' END AS present FROM c",
     "coverage_summary": _COV + " SELECT source, count(*) FILTER (n_records > 0) AS n_covered, count(*) AS n_queries, sum(n_records)::BIGINT AS n_records, round(count(*) FILTER (n_records > 0) / count(*), 4) AS coverage FROM c GROUP BY source",

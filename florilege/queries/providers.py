@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from florilege.functions import extract, rules
 from florilege.functions.rules import formula_mass
-from florilege.functions.text import label, words_key
+from florilege.functions.text import GREEK, label, words_key
 from florilege.operators import enrichment as N
 from florilege.operators import olfaction as O
 from florilege.operators import providers as P
@@ -47,20 +47,10 @@ def query_accounting(spark, d):
 
 
 def taxon_names(spark, d):
-    return table(spark, d, "plant_list").select("list_id", P.name_status(F.col("species")).alias("status"))
-
-
-def species_aliases(spark, d):
-    return P.species_aliases(table(spark, d, "plant_metadata")).filter("alias_type <> 'core_name'")
-
-
-def taxon_core_names(spark, d):
-    """The core name beside the status of taxon_names."""
     return table(spark, d, "plant_list").select("list_id", P.taxon_core_name(F.col("species")).alias("core_name"), P.name_status(F.col("species")).alias("status"))
 
 
-def species_aliases_all(spark, d):
-    """All aliases, those that only the core name gives as well."""
+def species_aliases(spark, d):
     return P.species_aliases(table(spark, d, "plant_metadata"))
 
 
@@ -131,10 +121,22 @@ def library_flags(spark, d):
 
 
 def text_identifiers(spark, d):
-    text = F.concat_ws(" ", "citation_or_url", F.concat(F.lit("CHEBI: "), F.col("cid").cast("string")), F.concat(F.lit("PMID "), F.col("occurrence_id").cast("string")), F.lit("H319 P280"))
+    """Identifiers in what stands in the columns of the records."""
+    text = F.concat_ws(" ", "compound_name", "inchikey", "citation_or_url", "source_record_id", F.concat(F.lit("CHEBI: "), F.col("cid").cast("string")), F.concat(F.lit("PMID "), F.col("occurrence_id").cast("string")))
     return extract.extract_identifiers(table(spark, d, "plant_compounds").select("occurrence_id", text.alias("t")), "occurrence_id", "t")
 
 
+def text_measurements(spark, d):
+    """The first figure of every sentence of the documents with its unit."""
+    sentences = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", r"[.!?][ \t\n\x0B\f\r]+")).alias("sentence_no", "t"))
+    return sentences.select("doc_id", "sentence_no", rules.measurement_value(F.col("t")).alias("value"), rules.measurement_unit(F.col("t")).alias("unit"), rules.value_relation(F.col("t")).alias("relation")).filter("value is not null")
+
+
+def document_fields(spark, d):
+    """The named fields of provider records among the documents."""
+    return R.key_values(table(spark, d, "documents"), "doc_id", "text")
+
+
 def toxicity_figures(spark, d):
     text = F.concat(F.lit("LD50 oral rat "), F.col("base_peak_mz").cast("string"), F.lit(" mg/kg; EC50 = "), F.col("component_area").cast("int").cast("string"), F.lit(" mg/L"))
     return extract.toxicity_figures(table(spark, d, "standard_data").select("peak_id", text.alias("t")), "peak_id", "t")
@@ -177,7 +179,7 @@ def duplicate_rows(spark, d):
 
 
 def source_diagnostics(spark, d):
-    return Q.source_diagnostics(table(spark, d, "plant_compounds"), "source_database")
+    return Q.source_diagnostics(table(spark, d, "plant_compounds"), "source_database", "species")
 
 
 def identity_audit(spark, d):
@@ -199,11 +201,6 @@ def batch_status(spark, d):
 
 
 def table_signature(spark, d):
-    return Q.table_signature(table(spark, d, "plant_compounds")).select("n_rows")
-
-
-def table_content_signature(spark, d):
-    """The signature over all columns; table_signature gives only the number of rows."""
     return Q.table_signature(table(spark, d, "plant_compounds"))
 
 
@@ -234,9 +231,9 @@ def json_values(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        provider_index, index_lookup, index_occurrences, query_accounting, taxon_names, taxon_core_names, species_aliases, species_aliases_all, bind_unique, coalesced_queries, deduped_profile, name_matches, assay_selection, bioactivity_summary,
-        target_summary, potency_buckets, occurrence_summary, class_levels, derived_groups, library_flags, text_identifiers, toxicity_figures, measurements_standard, hazard_classes, activity_texts,
-        name_resolution, table_issues, table_quality, duplicate_rows, source_diagnostics, identity_audit, data_dictionary, combined_batches, batch_status, table_signature, table_content_signature, relative_abundance, olfaction_long,
+        provider_index, index_lookup, index_occurrences, query_accounting, taxon_names, species_aliases, bind_unique, coalesced_queries, deduped_profile, name_matches, assay_selection, bioactivity_summary,
+        target_summary, potency_buckets, occurrence_summary, class_levels, derived_groups, library_flags, text_identifiers, text_measurements, document_fields, toxicity_figures, measurements_standard, hazard_classes, activity_texts,
+        name_resolution, table_issues, table_quality, duplicate_rows, source_diagnostics, identity_audit, data_dictionary, combined_batches, batch_status, table_signature, relative_abundance, olfaction_long,
         flat_records, json_values,
     )
 }
@@ -292,9 +289,28 @@ _REQUIRED = ("occurrence_id", "species", "compound_name", "compound_id", "source
 _ISSUES = [f"SELECT '{c}' AS column_name, 'blank_required' AS issue, count(*) FILTER ({non(c + '::VARCHAR')} IS NULL) AS n_rows FROM plant_compounds" for c in _REQUIRED] + [
     f"SELECT '{c}', 'bad_value', count(*) FILTER ({non(c)} NOT IN {v}) FROM plant_compounds" for c, v in _ALLOWED.items()
 ]
-_RISKS = "concat_ws('; ', " + ", ".join(f"CASE WHEN regexp_matches(compound_name, '{p}') THEN '{n}' END" for n, p in Q.RISK_PATTERNS.items()) + f", CASE WHEN {non('compound_id')} IS NULL THEN 'no_id' END)"
+_KNOWN = "coalesce(lower(trim(regexp_replace({0}::VARCHAR, '[\\s\\pZ]+', ' ', 'g'))) NOT IN ('', 'unknown', 'unspecified', 'not_reported', 'not reported', 'na', 'none'), false)"
+_ISSUE = f"CASE WHEN {_KNOWN.format('inchikey')} OR {_KNOWN.format('cid')} THEN 'resolved' WHEN {_KNOWN.format('smiles')} THEN 'structure_only' WHEN {_KNOWN.format('compound_id')} THEN 'identifier_only' ELSE 'unresolved' END"
+_RISK = (
+    ("ambiguity", "issue <> 'resolved' OR regexp_matches(t, 'ambiguous|multiple|mixture|isomer')"), ("salt_hydrate", "regexp_matches(t, 'salt|hydrate|hydrochloride|sodium|potassium')"),
+    ("stereochemistry_unspecified", _KNOWN.format("smiles") + " AND NOT coalesce(regexp_matches(smiles, '@|/|\\\\'), false) AND regexp_matches(t, 'stereo|isomer|alpha|beta|gamma|delta')"),
+    ("mixture_common_name", "regexp_matches(t, 'mixture|extract|fraction|isomers|derivatives')"), ("synonym_only_match", "contains(t, 'synonym')"), ("alias_derived_match", "regexp_matches(t, 'alias|transliter')"), ("multiple_candidate", "regexp_matches(t, 'multiple|ambiguous')"),
+)
+_RISKS = "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RISK) + ")"
 _METHOD = f"CASE WHEN {non('inchikey')} IS NOT NULL THEN 'inchikey' WHEN cid IS NOT NULL THEN 'cid' WHEN {non('smiles')} IS NOT NULL THEN 'smiles' ELSE 'name_only' END"
 
+_CLEANED = "SELECT *, regexp_replace(replace(trim(regexp_replace(regexp_replace(species, '[_''\"“”\\[\\]()<>*!?;,]+', ' ', 'g'), '[\\s\\pZ]+', ' ', 'g')), '×', ' x '), '\\s+', ' ', 'g') AS s FROM {0}"
+_GENUS = "regexp_extract(s, '^([A-Za-z]+(?:-[a-z]+)?)', 1)"
+_REST, _INFRA = "regexp_extract(s, '(?i)^[A-Za-z-]+ (?:x )?([a-z][a-z-]+)', 1)", "lower(regexp_extract(s, '(?i)\\b((?:subsp|ssp|var|f)\\.? [a-z-]+)', 1))"
+_CORE = f"CASE WHEN {_GENUS} <> '' THEN upper({_GENUS}[1]) || lower({_GENUS}[2:]) || CASE WHEN regexp_matches(s, '(?i)^[A-Za-z-]+ x ') THEN ' x' ELSE '' END || CASE WHEN {_REST} <> '' THEN ' ' || lower({_REST}) ELSE '' END || CASE WHEN {_INFRA} <> '' THEN ' ' || {_INFRA} ELSE '' END END"
+
+
+def _greek(c: str) -> str:
+    for letter, name in GREEK.items():
+        c = f"replace({c}, '{letter}', '{name}')"
+    return c
+
+
 ORACLES = {
     "index_lookup": _IX + _lookup(("species", "genus", "family"), 10) + " SELECT * FROM lk",
     "provider_index": _IX + " SELECT * FROM ix",
@@ -325,15 +341,32 @@ SELECT raw AS query, library_id, score, row_number() OVER (PARTITION BY raw ORDE
     "table_issues": "SELECT * FROM (" + " UNION ALL ".join(_ISSUES) + ") WHERE n_rows > 0",
     "table_quality": "SELECT n AS n_rows, 27 AS n_columns, round(f / (n * 5), 3) AS completeness, CASE WHEN n = 0 THEN 'empty' WHEN f / (n * 5) < 0.9 THEN 'incomplete' ELSE 'ok' END AS status FROM (SELECT count(*) AS n, " + " + ".join(f"count({non(c + '::VARCHAR')})" for c in _REQUIRED) + " AS f FROM plant_compounds)",
     "duplicate_rows": f"SELECT count(*) AS n_keys, coalesce(sum(n - 1), 0)::BIGINT AS n_duplicates FROM (SELECT species, compound_id, source_record_id, count(*) AS n FROM plant_compounds WHERE {non('species')} IS NOT NULL AND {non('compound_id')} IS NOT NULL AND {non('source_record_id')} IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1)",
-    "source_diagnostics": f"SELECT *, coalesce({_case('source', Q.SOURCE_GROUPS)}, 'other') AS source_group FROM (SELECT upper(trim(source_database)) AS source, count(*) AS n_rows, count({non('compound_id')}) AS n_identified FROM plant_compounds GROUP BY 1)",
-    "identity_audit": f"SELECT occurrence_id, {_METHOD} AS method, {_RISKS} AS risks, CASE WHEN {_METHOD} IN ('inchikey', 'cid') AND {_RISKS} = '' THEN 'high' WHEN {_METHOD} <> 'name_only' THEN 'medium' ELSE 'low' END AS identity_confidence FROM plant_compounds",
+    "source_diagnostics": f"SELECT *, coalesce({_case('source', Q.SOURCE_GROUPS)}, 'other') AS source_group FROM (SELECT species AS query, upper(trim(source_database)) AS source, count(*) AS n_rows, count({non('compound_id')}) AS n_identified FROM plant_compounds GROUP BY 1, 2)",
+    "identity_audit": f"WITH i AS (SELECT *, {_ISSUE} AS issue, lower(coalesce({non('compound_name')}, '') || ' ' || coalesce({non('curation_flag')}, '')) AS t FROM plant_compounds) SELECT occurrence_id, {_METHOD} AS method, issue, {_RISKS} AS risks, CASE WHEN {_METHOD} IN ('inchikey', 'cid') AND {_RISKS} = '' THEN 'high' WHEN {_METHOD} <> 'name_only' THEN 'medium' ELSE 'low' END AS identity_confidence FROM i",
+    "taxon_names": f"WITH c AS (SELECT list_id, species, {_CORE} AS core_name FROM ({_CLEANED.format('plant_list')})) SELECT list_id, core_name, CASE WHEN {non('species')} IS NULL OR core_name IS NULL THEN 'blank' WHEN NOT contains(core_name, ' ') OR regexp_matches(lower({non('species')}), '\\bspp?\\.?$') THEN 'name_needs_review' ELSE 'parsed_species' END AS status FROM c",
+    "species_aliases": f"WITH k AS (SELECT {_W} AS species_key, unnest(['accepted_name', 'typed_name', 'core_name']) AS alias_type, unnest([1, 2, 3]) AS o, unnest([{non('accepted_species_name')}, {non('species')}, {_CORE}]) AS alias FROM ({_CLEANED.format('plant_metadata')})) SELECT species_key, alias, arg_min(alias_type, o) AS alias_type FROM k WHERE species_key <> '' AND alias IS NOT NULL GROUP BY 1, 2",
+    "data_dictionary": "SELECT 'plant_compounds' AS table_name, * FROM (VALUES ('occurrence_id', 'integer', true, ''), ('species', 'character', true, ''), ('compound_name', 'character', true, ''), ('compound_id', 'character', true, ''), ('source_database', 'character', true, ''), ('cid', 'integer', false, ''), ('confidence', 'character', false, 'high; medium; low'), ('comparable_for_matrix', 'character', false, 'Yes; No'), ('matched_rank', 'character', false, 'species; genus; family')) v(column_name, kind, required, allowed)",
+    "name_resolution": f"""WITH kn AS (SELECT lower(compound_name) AS alias, min(nullif(lower(trim(compound_id)), '')) AS id FROM plant_compounds WHERE compound_name IS NOT NULL AND trim(compound_id) <> '' GROUP BY 1),
+q AS (SELECT DISTINCT compound_name, {non("compound_name")} AS s FROM standard_data WHERE compound_name IS NOT NULL),
+f AS (SELECT compound_name, list_filter([s, trim(regexp_replace(regexp_replace(compound_name, '[^A-Za-z0-9]+', ' ', 'g'), ' +', ' ', 'g')), {_greek("replace(s, '±', '+-')")}, trim(regexp_replace(regexp_replace(compound_name, '[<>]', '', 'g'), '[\\s\\pZ]+', ' ', 'g'))], lambda x: x IS NOT NULL AND x <> '') AS l FROM q),
+g AS (SELECT compound_name, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM f),
+p AS (SELECT compound_name, lower(unnest(l)) AS alias, generate_subscripts(l, 1) - 1 AS place FROM g),
+b AS (SELECT compound_name, min(ROW(place, id)) AS b FROM p JOIN kn USING (alias) GROUP BY 1)
+SELECT compound_name, b[2] AS compound_id, CASE WHEN b IS NULL THEN 'not_found' WHEN b[1] = 0 THEN 'name' ELSE 'alias_' || b[1] END AS match_status FROM q LEFT JOIN b USING (compound_name)""",
     "combined_batches": " UNION ALL ".join(f"SELECT occurrence_id, {'NULL AS inchikey, smiles' if i % 2 else 'inchikey, NULL AS smiles'}, '{s}' AS batch_name, {i + 1} AS batch_index FROM plant_compounds WHERE upper(trim(source_database)) = '{s}'" for i, s in enumerate(RANK_SOURCES)),
     "batch_status": f"SELECT *, CASE WHEN ratio < 0.97 THEN 'incomplete' ELSE 'ok' END AS status FROM (SELECT plant_part_group, count(DISTINCT compound_id) AS n_queries, count(DISTINCT CASE WHEN {non('smiles')} IS NOT NULL THEN compound_id END) AS n_with_property, round(count(DISTINCT CASE WHEN {non('smiles')} IS NOT NULL THEN compound_id END) / count(DISTINCT compound_id), 4) AS ratio FROM plant_compounds WHERE compound_id IS NOT NULL GROUP BY 1)",
-    "table_signature": "SELECT count(*) AS n_rows FROM plant_compounds",
     "relative_abundance": "WITH s AS (SELECT split_part(file_name, '_', 1) AS treatment, compound_name AS compound, sum(component_area) AS abundance FROM standard_data WHERE compound_name IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, abundance / sum(abundance) OVER (PARTITION BY treatment) AS share FROM s), l AS (SELECT * FROM k WHERE share >= 0.002) SELECT treatment, compound, round(abundance, 4) AS abundance, round(abundance / sum(abundance) OVER (PARTITION BY treatment), 8) AS relative_abundance FROM l",
     "olfaction_long": f"SELECT split_part(file_name, '_', 1) AS treatment, peak_id, {non('compound_name')} AS compound, component_area AS abundance FROM standard_data WHERE split_part(file_name, '_', 1) IN ('Mix', 'Extract') AND {non('compound_name')} IS NOT NULL AND component_area IS NOT NULL",
     "flat_records": "WITH n AS (SELECT library_id AS record_id, unnest(list_concat([compound], string_split(coalesce(also_called, ''), ';'))) AS v, generate_subscripts(list_concat([compound], string_split(coalesce(also_called, ''), ';')), 1) AS p FROM chemical_library) SELECT library_id AS record_id, 'ENTRY' AS field, 1 AS place, 'C' || lpad(library_id::VARCHAR, 5, '0') AS value FROM chemical_library UNION ALL SELECT record_id, 'NAME', p, trim(v) FROM n WHERE trim(v) <> '' UNION ALL SELECT library_id, 'CLASS', 1, coalesce(compound_type, 'none') FROM chemical_library",
-    "text_identifiers": "SELECT occurrence_id, 'ChEBI' AS identifier_type, 'CHEBI:' || cid AS identifier FROM plant_compounds WHERE cid IS NOT NULL UNION ALL SELECT occurrence_id, 'PubMed', 'PMID:' || occurrence_id FROM plant_compounds UNION ALL SELECT occurrence_id, 'GHS', unnest(['H319', 'P280']) FROM plant_compounds",
+    "text_identifiers": """WITH t AS (SELECT occurrence_id, concat_ws(' ', compound_name, inchikey, citation_or_url, source_record_id, 'CHEBI: ' || cid, 'PMID ' || occurrence_id) AS x FROM plant_compounds),
+i AS (SELECT occurrence_id, 'CAS' AS identifier_type, unnest(regexp_extract_all(x, '\\b[0-9]{2,7}-[0-9]{2}-[0-9]\\b')) AS identifier FROM t UNION ALL SELECT occurrence_id, 'KEGG', unnest(regexp_extract_all(x, '\\b[CDGMR]\\d{5}\\b')) FROM t
+UNION ALL SELECT occurrence_id, 'EC', unnest(regexp_extract_all(x, '\\b[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9A-Za-z-]+\\b')) FROM t UNION ALL SELECT occurrence_id, 'ChEBI', 'CHEBI:' || unnest(regexp_extract_all(x, '\\b(?:CHEBI|ChEBI):\\s*(\\d+)\\b', 1)) FROM t
+UNION ALL SELECT occurrence_id, 'PubMed', 'PMID:' || unnest(regexp_extract_all(x, '\\b(?:PMID|PubMed):?\\s*(\\d+)\\b', 1)) FROM t UNION ALL SELECT occurrence_id, 'DOI', unnest(regexp_extract_all(x, '\\b10\\.\\d{4,9}/[-._;()/:A-Za-z0-9]+\\b')) FROM t
+UNION ALL SELECT occurrence_id, 'UNII', unnest(regexp_extract_all(x, '\\b[A-Z0-9]{10}\\b')) FROM t UNION ALL SELECT occurrence_id, 'GHS', unnest(regexp_extract_all(x, '\\bH[0-9]{3}[A-Za-z]?\\b|\\bP[0-9]{3}[A-Za-z]?\\b')) FROM t)
+SELECT DISTINCT * FROM i""",
+    "text_measurements": """WITH s AS (SELECT doc_id, string_split(regexp_replace(text, '[.!?][ \\t\\n\\x0B\\f\\r]+', chr(1), 'g'), chr(1)) AS ss FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, (generate_subscripts(ss, 1) - 1)::INT AS sentence_no, unnest(ss) AS t FROM s),
+m AS (SELECT *, trim(regexp_replace(t, '[\\s\\pZ]+', ' ', 'g')) AS q FROM e), v AS (SELECT *, TRY_CAST(nullif(regexp_extract(q, '[-+]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?'), '') AS DOUBLE) AS value, nullif(trim(regexp_extract(q, '[-+]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?\\s*([^,;|()]*)', 1)), '') AS unit FROM m)
+SELECT doc_id, sentence_no, value, unit, CASE WHEN regexp_matches(t, '(?i)[-+]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?\\s*(?:-|to)\\s*[-+]?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?') THEN 'range' WHEN regexp_matches(t, '<=|≤') THEN 'less_or_equal' WHEN regexp_matches(t, '>=|≥') THEN 'greater_or_equal' WHEN contains(t, '<') THEN 'less_than' WHEN contains(t, '>') THEN 'greater_than' WHEN regexp_matches(lower(t), '~|approx|about|ca\\.') THEN 'approximate' ELSE 'equal' END AS relation FROM v WHERE value IS NOT NULL""",
     "measurements_standard": """WITH c(k, property, unit, f, o, standard_unit, kind) AS (VALUES (0, 'boiling_point', 'F', 0.0::DOUBLE, 0.0::DOUBLE, 'C', 'temperature'), (1, 'melting_point', 'K', 1, -273.15, 'C', 'temperature'), (2, 'flash_point', 'C', 1, 0, 'C', 'temperature'), (3, 'density', 'g/mL', 1, 0, 'g/mL', 'density'),
   (4, 'density', 'kg/m3', 0.001, 0, 'g/mL', 'density'), (5, 'solubility', 'g/L', 1000, 0, 'mg/L', 'solubility'), (6, 'vapor_pressure', 'mmHg', 133.322, 0, 'Pa', 'vapor_pressure'), (7, 'vapor_pressure', 'kPa', 1000, 0, 'Pa', 'vapor_pressure'), (8, 'ld50', 'ug/kg', 0.001, 0, 'mg/kg', 'toxicity')),
 v AS (SELECT peak_id, c.*, base_peak_mz AS m, CASE WHEN k = 0 THEN round((base_peak_mz - 32) * 5 / 9, 4) WHEN k = 1 THEN round(base_peak_mz - 273.15, 4) ELSE base_peak_mz * f END AS x FROM standard_data JOIN c ON k = peak_id % 9)
