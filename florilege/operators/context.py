@@ -113,6 +113,40 @@ def text_context(documents: DataFrame, row_id: str, text: str, species: str) ->
     return named.select(row_id, "sentence_no", kinds.alias("k")).select(row_id, "sentence_no", "k.*").filter("value is not null")
 
 
+CONTEXT_FIELDS = ("plant_part", "tissue", "method")
+
+
+def merge_context(evidence: DataFrame) -> DataFrame:
+    """Context evidence of one key and value as one row: best confidence, review only if all say so, texts and rules collapsed.
+
+    ``evidence``: species, compound, record, kind (plant_part, tissue or method), value, confidence, review (Yes or No), text, rule. Few texts state
+    one value of one record.
+    """
+    key = ["species_key", "compound_key", "record", "kind", "value"]
+    rows = evidence.withColumn("species_key", words_key(F.col("species"))).withColumn("compound_key", clean_compound(F.col("compound"))).withColumn("record", non_empty(F.col("record"))).filter(known(F.col("value")))
+    return rows.groupBy(*key).agg(
+        best_confidence(F.col("confidence")).alias("confidence"), F.when(F.bool_and(F.lower("review") == "yes"), "Yes").otherwise("No").alias("review"), collapse_sorted(F.col("text")).alias("texts"), collapse_sorted(F.col("rule")).alias("rules"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
+def apply_context(rows: DataFrame, context: DataFrame) -> DataFrame:
+    """Occurrence rows with unknown plant_part, tissue and method filled from merged context.
+
+    Evidence of the row's own record beats evidence of its species and compound; among those the best
+    confidence wins, then the smallest value. Known values are never overwritten. ``rows``: occurrence_id, species, compound,
+    record and the three fields.
+    """
+    rank = F.struct(-confidence_rank(F.coalesce("confidence", F.lit(""))), F.col("value"))
+    pick = lambda kind: F.min_by(F.when(F.col("kind") == kind, F.col("value")), F.when(F.col("kind") == kind, rank))
+    usable = context.filter("review = 'No'")
+    exact = usable.filter("record is not null").groupBy("species_key", "compound_key", F.col("record").alias("__fl_record")).agg(*[pick(k).alias("e_" + k) for k in CONTEXT_FIELDS])
+    loose = usable.groupBy("species_key", "compound_key").agg(*[pick(k).alias("l_" + k) for k in CONTEXT_FIELDS])
+    keyed = rows.withColumns({"species_key": words_key(F.col("species")), "compound_key": clean_compound(F.col("compound")), "__fl_record": non_empty(F.col("record"))})
+    out = keyed.join(exact, ["species_key", "compound_key", "__fl_record"], "left").join(loose, ["species_key", "compound_key"], "left")
+    filled = [F.when(known(F.col(k)), F.col(k)).otherwise(F.coalesce("e_" + k, "l_" + k, F.col(k))).alias(k) for k in CONTEXT_FIELDS]
+    return out.select("occurrence_id", *filled)
+
+
 def context_audit(rows: DataFrame, provider: str) -> DataFrame:
     """Per provider: rows and how many have plant part, tissue and method."""
     return rows.groupBy(F.upper(F.trim(provider)).alias("provider")).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(known(F.col(c))).alias("n_" + c) for c in ("plant_part_group", "tissue_group", "method_group")])

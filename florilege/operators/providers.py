@@ -135,3 +135,29 @@ def bind_unique(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 def coalesce_queries(queries: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Duplicate queries of one key merged: the first value present of each field, by query_id."""
     return queries.groupBy(key).agg(F.min("query_id").alias("query_id"), *[F.min_by(non_empty(F.col(f)), F.when(non_empty(F.col(f)).isNotNull(), F.col("query_id"))).alias(f) for f in fields], F.count(F.lit(1)).alias("n_queries"))
+
+
+def provider_availability(index: DataFrame, sources: list[str]) -> DataFrame:
+    """(source, n_records, n_species, status) of each asked source in an index: ready or empty."""
+    counts = index.filter("key_type = 'species'").groupBy(F.lower("source").alias("source")).agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("species_key").alias("n_species"))
+    asked = index.sparkSession.createDataFrame([(s.lower(),) for s in sources], "source string")
+    out = asked.join(counts, "source", "left").na.fill(0, ["n_records", "n_species"])
+    return out.withColumn("status", F.when(F.col("n_records") > 0, "ready").otherwise("empty"))
+
+
+def provider_gate(accounts: DataFrame, n_species: int, least: float = 0.9) -> DataFrame:
+    """(source, n_plants, share, gate) of an accounting: a source passes if enough of the plants have an account that is not failed."""
+    done = F.countDistinct(F.when(F.col("status") != "failed", F.col("plant_id")))
+    share = F.round(F.col("n_plants") / F.lit(max(1, n_species)), 4)
+    return accounts.groupBy("source").agg(done.alias("n_plants")).withColumn("share", share).withColumn("gate", F.when(share >= least, "pass").otherwise("fail"))
+
+
+def remap_queries(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows (species, plant_name, ...) with the query id of their species, else of their plant name; null where neither is asked.
+
+    ``queries``: query_id, species, plant_name; of several queries of one name the smallest id counts.
+    """
+    by = lambda c, name: queries.filter(words_key(F.col(c)) != "").groupBy(words_key(F.col(c)).alias("__fl_" + name)).agg(F.min("query_id").alias("__fl_id_" + name))
+    keyed = rows.withColumns({"__fl_s": words_key(F.col("species")), "__fl_p": words_key(F.col("plant_name"))})
+    out = keyed.join(by("species", "s"), "__fl_s", "left").join(by("plant_name", "p"), "__fl_p", "left")
+    return out.withColumn("query_id", F.coalesce("__fl_id_s", "__fl_id_p")).drop("__fl_s", "__fl_p", "__fl_id_s", "__fl_id_p")

@@ -226,3 +226,17 @@ def table_signature(df: DataFrame) -> DataFrame:
     """One row: number of rows and an order-free signature of the content, for checkpoints: a sum, in which repeated rows do not cancel out."""
     h = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias("signature"))
+
+
+def grouped_counts(df: DataFrame, keys: list[str], mode: str = "rollup") -> DataFrame:
+    """Rows and distinct compounds for grouping sets of the keys (rollup or cube); ``level`` says how many keys a row is summed over."""
+    grouped = {"rollup": df.rollup, "cube": df.cube}[mode](*keys)
+    out = grouped.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(non_empty(F.col("compound_id"))).alias("n_compounds"), F.grouping_id().alias("__fl_g"))
+    return out.withColumn("level", F.bit_count("__fl_g")).drop("__fl_g")
+
+
+def monthly_counts(df: DataFrame, at: str, until: str) -> DataFrame:
+    """Per month of a time: rows, the days from the time to a second one (mean, rounded to 3 places), and rows on weekends."""
+    days = F.datediff(F.col(until).cast("date"), F.col(at).cast("date"))
+    weekend = F.dayofweek(F.col(at).cast("date")).isin(1, 7)
+    return df.groupBy(F.date_format(at, "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg(days), 3).alias("mean_days"), F.count_if(weekend).alias("n_weekend"), F.quarter(F.max(at)).alias("quarter"))

@@ -219,3 +219,36 @@ def pair_output_estimate(membership: DataFrame, compound: str) -> DataFrame:
     n = F.countDistinct(compound)
     pairs = (n * (n - 1) / 2).cast("bigint")
     return membership.agg(n.alias("n_compounds"), pairs.alias("n_pairs"), F.round(pairs * 220 / 1e9, 6).alias("compound_gb"), F.round(pairs * 260 / 1e9, 6).alias("plant_gb"), F.when(pairs <= 1_000_000, "in_memory").otherwise("stream").alias("advice"))
+
+
+def collapse_membership(membership: DataFrame, group: str, names: str = "compound_name_clean") -> DataFrame:
+    """One row per (group, compound): rows and how many names, the names of fewest letters first, at most ten of them as text."""
+    named = membership.filter(non_empty(F.col(group)).isNotNull() & non_empty(F.col("compound_id")).isNotNull()).groupBy(group, "compound_id", non_empty(F.col(names)).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy(group, "compound_id").orderBy(F.col("name").isNull(), F.length("name"), "name"))
+    totals = named.groupBy(group, "compound_id").agg(F.sum("n").alias("n_rows"), F.count("name").alias("n_names"))
+    listed = named.withColumn("place", place).filter("place <= 10 and name is not null").groupBy(group, "compound_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "; ").alias("names"))
+    return totals.join(listed, [group, "compound_id"], "left")
+
+
+def group_compound_pairs(pairs: DataFrame, membership: DataFrame, group: str) -> DataFrame:
+    """Similar compounds across groups: (group_1, compound_1, group_2, compound_2, tanimoto) of given compound pairs (a, b, tanimoto).
+
+    A row for every two different groups that hold the two compounds, the smaller group first; a compound that two groups share
+    is no pair of itself.
+    """
+    side = lambda s: membership.select(F.col("compound_id").alias(s), F.col(group).alias("g" + s)).filter(f"g{s} is not null").distinct()
+    met = pairs.select("a", "b", "tanimoto").join(side("a"), "a").join(side("b"), "b").filter("ga <> gb")
+    first = F.col("ga") < F.col("gb")
+    return met.select(F.least("ga", "gb").alias("group_1"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("compound_1"), F.greatest("ga", "gb").alias("group_2"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("compound_2"), "tanimoto")
+
+
+def preparation_checks(prepared: DataFrame, level: str) -> DataFrame:
+    """(check, value, status) of prepared similarity input (see context.prepare_similarity_input)."""
+    from florilege.operators.quality import checks
+
+    eligible = F.col("eligible")
+    row = prepared.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(eligible).alias("eligible_rows"), F.count_if(eligible & F.col("structure_id").isNull()).alias("eligible_without_structure"), F.count_if(eligible & non_empty(F.col(level)).isNull()).alias("eligible_without_group"),
+        F.count_if(~eligible & F.col("exclusion_reason").isNull()).alias("excluded_without_reason"), F.count_if(eligible & F.col("exclusion_reason").isNotNull()).alias("eligible_with_reason"), F.count_if(~eligible).alias("excluded_rows"),
+    )
+    return checks(row, {"rows": "info", "eligible_rows": "info", "eligible_without_structure": "fail", "eligible_without_group": "fail", "excluded_without_reason": "fail", "eligible_with_reason": "fail", "excluded_rows": "warn"})

@@ -173,7 +173,8 @@ def build_traits(rows: DataFrame) -> DataFrame:
     step = hold(step, __fl_clean=clean_label(F.col("__fl_value")), source_database=ordered(F.col("__fl_source"), SOURCE_RULES, F.coalesce("__fl_source", F.lit("unknown"))))
     step = step.filter("__fl_clean <> ''")
     step = hold(step, confidence_score=confidence_score(F.col("confidence"), F.col("source_database"), F.col("evidence_id"), F.col("extraction_rule")))
-    step = hold(step, matrix_eligible=~is_descriptive(F.col("__fl_value")))
+    never = F.coalesce(F.col("never_eligible"), F.lit(False)) if "never_eligible" in rows.columns else F.lit(False)
+    step = hold(step, matrix_eligible=~is_descriptive(F.col("__fl_value")) & ~never)
     return step.withColumnRenamed("__fl_clean", "trait_value_clean").drop("__fl_value", "__fl_source")
 
 

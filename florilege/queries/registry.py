@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("problems", "gcms", "traits", "similarity", "evidence", "providers", "context", "annotations", "selection")
+_MODULES = ("problems", "gcms", "traits", "similarity", "evidence", "providers", "context", "annotations", "selection", "normalized")
 
 
 def queries() -> dict:

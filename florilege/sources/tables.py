@@ -92,3 +92,47 @@ def validate_bundle(spark: SparkSession, path: str, required: dict[str, list[str
         lacking = [c for c in (required or {}).get(m["table_name"], []) if c not in df.columns]
         rows.append((m["table_name"], "required_columns", "fail" if lacking else "pass"))
     return spark.createDataFrame(rows, "table_name string, check string, status string")
+
+
+def read_many(spark: SparkSession, paths: list[str], wanted: dict[str, list[str]]) -> DataFrame:
+    """Tables of several formats under standard column names (see with_columns), one under the other, repeated rows once, with the file they come from."""
+    out = None
+    for path in paths:
+        part = with_columns(read_table(spark, path), wanted).withColumn("source_file", F.lit(path.rsplit("/", 1)[-1]))
+        out = part if out is None else out.unionByName(part)
+    return out.dropDuplicates(list(wanted))
+
+
+def write_counted(df: DataFrame, path: str, expected: int | None = None, max_records: int = 5_000_000, formats: str = "parquet") -> int:
+    """Write a table in files of at most ``max_records`` rows and return how many rows are there.
+
+    Spark's commit protocol shows the files only when all are complete. If another number is expected, the
+    written table is removed again and ValueError says so.
+    """
+    from florilege.session import hadoop_path
+
+    writer = df.write.mode("error").option("maxRecordsPerFile", max_records)
+    if formats == "csv":
+        writer.option("header", True).option("escape", '"').option("compression", "gzip").csv(path)
+        written = df.sparkSession.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).count()
+    else:
+        writer.parquet(path)
+        written = df.sparkSession.read.parquet(path).count()
+    if expected is not None and written != expected:
+        fs, target = hadoop_path(df.sparkSession, path)
+        fs.delete(target, True)
+        raise ValueError(f"{written} rows written, {expected} expected")
+    return written
+
+
+def cached_files(spark: SparkSession, path: str) -> DataFrame:
+    """(provider, file, n_bytes, modified_at) of the files under a cache folder; the provider is the first folder below it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    inside = F.element_at(F.split("path", re.escape("/" + path.rstrip("/").rsplit("/", 1)[-1] + "/")), -1)
+    parts = F.split(inside, "/")
+    return files.select(F.when(F.size(parts) > 1, F.get(parts, 0)).otherwise("(none)").alias("provider"), inside.alias("file"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"))
+
+
+def cache_summary(files: DataFrame) -> DataFrame:
+    """Per provider: files, bytes, and the times of the oldest and the newest."""
+    return files.groupBy("provider").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes"), F.min("modified_at").alias("oldest_at"), F.max("modified_at").alias("newest_at"))
