@@ -62,9 +62,12 @@ def chemical_occurrences(spark, d):
 
 
 def chemical_hazards(spark, d):
-    """Hazards that the documents' texts name."""
-    docs = table(spark, d, "documents").filter("text is not null")
-    return Z.chemical_hazards(docs.select(F.col("doc_id").alias("query"), F.lit(None).cast("bigint").alias("cid"), "text"))
+    """Hazards that the annotations of compounds and the documents' texts name."""
+    from florilege.queries.annotations import _annotations
+
+    docs = table(spark, d, "documents").filter("text is not null").select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("query"), F.lit(None).cast("bigint").alias("cid"), "text")
+    notes = _annotations(spark, d).select("query", "cid", F.concat_ws(" ", "heading", "value").alias("text"))
+    return Z.chemical_hazards(notes.unionByName(docs))
 
 
 def normalized_traits(spark, d):
@@ -74,7 +77,7 @@ def normalized_traits(spark, d):
     tables = {
         "classes": chemical_classes(spark, d), "uses": chemical_uses(spark, d), "taxonomy": taxonomy, "occurrences": Z.chemical_occurrences(taxonomy),
         "measurements": rows.select("query", "cid", F.lit("exact_mass").alias("property"), formula_mass(F.col("molecular_formula")).alias("value"), F.lit("high").alias("confidence"), F.lit("formula").alias("extraction_rule")),
-        "terms": A.terms([(rows.select("query", "comparison_subgroup"), "classification", ["comparison_subgroup"])]), "hazards": chemical_hazards(spark, d).withColumn("query", F.col("query").cast("string")),
+        "terms": A.terms([(rows.select("query", "comparison_subgroup"), "classification", ["comparison_subgroup"])]), "hazards": chemical_hazards(spark, d),
     }
     return T.dedupe_traits(T.build_traits(Z.all_traits(tables)))
 
@@ -140,7 +143,7 @@ def entry_queries(spark, d):
 
 
 def identity_review(spark, d):
-    return Q.identity_review_table(table(spark, d, "plant_compounds"), False, 2).drop("decision", "reviewed_inchikey", "reviewer")
+    return Q.identity_review_table(table(spark, d, "plant_compounds"), True, 2).drop("decision", "reviewed_inchikey", "reviewer")
 
 
 def identity_review_applied(spark, d):
@@ -241,4 +244,105 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+from florilege.functions import rules  # noqa: E402
+from florilege.queries.annotations import _ALL, _terms  # noqa: E402
+from florilege.queries.context import ORACLES as _CONTEXT  # noqa: E402
+from florilege.queries.context import _clean as _name_key  # noqa: E402
+from florilege.queries.evidence import known, non  # noqa: E402
+from florilege.queries.problems import words_sql  # noqa: E402
+from florilege.queries.providers import ORACLES as _PROVIDERS  # noqa: E402
+from florilege.queries.providers import _IX, _case  # noqa: E402
+from florilege.queries.traits import _RULES, _clean, _ordered_sql  # noqa: E402
+
+_BEST = "CASE max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS confidence"
+
+
+def _joined(c: str) -> str:
+    return f"nullif(string_agg(DISTINCT nullif({c}, ''), '; ' ORDER BY nullif({c}, '')), '') AS {c}"
+
+
+def _hit(c: str) -> str:
+    return "CASE WHEN " + " OR ".join(f"regexp_matches({c}, '(?i){r[0]}')" for r in _RULES) + " THEN 'high' ELSE 'medium' END"
+
+
+_OF = "FROM plant_compounds WHERE compound_id IS NOT NULL"
+_CLASSES = f"""WITH a AS (SELECT compound_id AS query, cid, 'PubChem/reactives' AS class_system, 'reactive_group' AS class_type, NULL AS class_id, {non("comparison_group")} AS class_name, {_clean("comparison_group")} AS class_group, 'reactives' AS source_table, 'legacy_reactive_group' AS extraction_rule, 'medium' AS confidence, {non("comparison_group")} AS evidence_text {_OF} AND {non("comparison_group")} IS NOT NULL AND comparison_group NOT IN ('None', 'NA')
+UNION ALL SELECT compound_id, cid, 'LOTUS', 'natural_product_class', {non("source_record_id")}, t, {_ordered_sql("t", _RULES, 2)}, 'LOTUSProfile', 'natural_product_class_terms', {_hit("t")}, t FROM (SELECT *, unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(comparison_subgroup, '\\s*[;|]\\s*'), lambda x: trim(x)), lambda x: x <> ''))) AS t {_OF})
+UNION ALL SELECT compound_id, cid, 'LOTUS', CASE WHEN k = 1 THEN 'natural_product_superclass' WHEN k = len(l) THEN 'natural_product_subclass' ELSE 'natural_product_class' END, CASE WHEN k = len(l) THEN occurrence_id::VARCHAR END, l[k], {_clean("l[1]")}, 'PubChemClassificationProfile', 'lotus_chemical_tree', 'high', array_to_string(l, ' > ')
+  FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM (SELECT *, list_filter([comparison_scope, comparison_group, comparison_subgroup], lambda x: x IS NOT NULL) AS l {_OF})))
+"""
+_USES = f"""WITH a AS (SELECT compound_id AS query, cid, 'sensory' AS use_domain, 'descriptor' AS use_type, trim(comparison_subgroup) AS t, 'FEMAProfile' AS source_table, 'fema_discrete_terms' AS extraction_rule {_OF} AND trim(comparison_subgroup) <> ''
+UNION ALL SELECT compound_id, cid, 'biomedical', 'pharmacologic_action', t, 'MeSHProfile', 'mesh_action_terms' FROM (SELECT *, unnest(list_distinct(list_filter([trim(comparison_group), trim(method_group)], lambda x: x <> ''))) AS t {_OF})),
+b AS (SELECT query, cid, use_domain, use_type, t AS use_term, {_ordered_sql("t", _RULES, 2)} AS use_group, source_table, extraction_rule, {_hit("t")} AS confidence FROM a)
+"""
+_NO = "(?i)\\b(natural products?|compound|record|unknown|metabolite|synthetic)\\b"
+_TAXA = f"""WITH a AS (SELECT compound_id AS query, cid, CASE WHEN NOT regexp_matches({non("species")}, '{_NO}') THEN {non("species")} END AS organism, {non("comparison_group")} AS natural_product_class, nullif(upper(trim(source_database)), '') AS source {_OF}),
+b AS (SELECT *, nullif(regexp_extract(organism, '^([A-Z][a-z-]+) [a-z]', 1), '') AS genus, nullif(regexp_extract(organism, '^([A-Z][a-z-]+ [a-z][a-z-]+)', 1), '') AS species FROM a WHERE organism IS NOT NULL),
+c AS (SELECT *, {_case("concat_ws('; ', genus, species, organism)", rules.KINGDOM_RULES)} AS kingdom FROM b),
+t AS (SELECT query, cid, NULL::VARCHAR AS taxonomy_id, NULL::VARCHAR AS "domain", kingdom, NULL::VARCHAR AS phylum, NULL::VARCHAR AS "class", NULL::VARCHAR AS "order", NULL::VARCHAR AS family, genus, species, organism, coalesce(lower(kingdom), 'unclassified') AS taxonomy_group,
+  CASE WHEN genus IS NOT NULL OR species IS NOT NULL OR kingdom IS NOT NULL OR natural_product_class IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence, natural_product_class, source FROM c),
+tx AS (SELECT query, cid, taxonomy_id, "domain", kingdom, phylum, "class", "order", family, genus, species, organism, taxonomy_group, confidence, {_joined("natural_product_class")}, {_joined("source")}, 'lotus_taxonomy_regex' AS extraction_rule, NULL::VARCHAR AS common_name, count(*) AS n_rows FROM t GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)
+"""
+_TOXIC = "(?i)\\b(LD50|LC50|NOAEL|LOAEL|EC50|IC50)\\b[^0-9]{{0,50}}?([-+]?\\d*\\.?\\d+)\\s*([A-Za-z/%.]+)".replace("{{", "{").replace("}}", "}")
+_HAZARDS = _ALL + f""", z AS (SELECT query, cid, x FROM an UNION ALL SELECT 'doc ' || doc_id, NULL, text FROM documents WHERE text IS NOT NULL),
+h AS (SELECT query, cid, x, unnest(CASE WHEN len(regexp_extract_all(upper(x), '\\bH[0-9]{{3}}[A-Z]?\\b')) > 0 THEN list_distinct(regexp_extract_all(upper(x), '\\bH[0-9]{{3}}[A-Z]?\\b')) ELSE [NULL] END) AS hazard_code, NULL AS toxicity_metric, NULL::DOUBLE AS toxicity_value, NULL AS toxicity_unit FROM z
+UNION ALL SELECT query, cid, x, NULL, upper(f[1]), TRY_CAST(f[2] AS DOUBLE), f[3] FROM (SELECT query, cid, x, unnest(list_zip(regexp_extract_all(x, '{_TOXIC}', 1), regexp_extract_all(x, '{_TOXIC}', 2), regexp_extract_all(x, '{_TOXIC}', 3))) AS f FROM z)),
+g AS (SELECT query, cid, hazard_code, CASE WHEN hazard_code LIKE 'H2%' THEN 'physical_hazard' WHEN hazard_code LIKE 'H3%' THEN 'health_hazard' WHEN hazard_code LIKE 'H4%' THEN 'environmental_hazard' WHEN regexp_matches(x, '(?i)flammable|explosive|oxidiz') THEN 'physical_hazard' WHEN regexp_matches(x, '(?i)aquatic|environment') THEN 'environmental_hazard' WHEN regexp_matches(x, '(?i)toxic|harmful|irritat|corros|carcin') THEN 'health_hazard' END AS hazard_category,
+  CASE WHEN hazard_code IN ('H318', 'H319') THEN 'eye_damage_irritation' WHEN hazard_code IN ('H315', 'H317') THEN 'skin_irritation_sensitization' WHEN regexp_matches(hazard_code, '^H3[013]') THEN 'acute_toxicity' WHEN regexp_matches(hazard_code, '^H2[2-7]') THEN 'flammability_reactivity' WHEN hazard_code LIKE 'H4%' THEN 'aquatic_environmental_toxicity' WHEN regexp_matches(x, '(?i)eye') THEN 'eye_damage_irritation' WHEN regexp_matches(x, '(?i)skin|dermal') THEN 'skin_irritation_sensitization' WHEN regexp_matches(x, '(?i)flammable') THEN 'flammability_reactivity' WHEN regexp_matches(x, '(?i)toxic|harmful|fatal') THEN 'acute_toxicity' WHEN regexp_matches(x, '(?i)aquatic') THEN 'aquatic_environmental_toxicity' END AS hazard_group,
+  CASE WHEN regexp_matches(x, '(?i)\\bdanger\\b') THEN 'Danger' WHEN regexp_matches(x, '(?i)\\bwarning\\b') THEN 'Warning' END AS signal_word, CASE WHEN regexp_matches(x, '(?i)oral|swallow|ingest') THEN 'oral' WHEN regexp_matches(x, '(?i)skin|dermal') THEN 'dermal' WHEN regexp_matches(x, '(?i)inhal') THEN 'inhalation' WHEN regexp_matches(x, '(?i)eye|ocular') THEN 'ocular' END AS exposure_route,
+  {_terms("eye,skin,respiratory tract,liver,kidney,central nervous system,blood,heart,lung,reproductive system")} AS target_organ, toxicity_metric, toxicity_value, toxicity_unit, {_terms("rat,mouse,rabbit,human,fish,daphnia,dog")} AS toxicity_species, CASE WHEN hazard_code IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence, trim(regexp_replace(x, '[\\s\\pZ]+', ' ', 'g')) AS e FROM h)
+SELECT * EXCLUDE (e), 'ghs_and_toxicity_regex' AS extraction_rule, min(e) AS evidence_text, count(*) AS n_rows FROM g WHERE hazard_code IS NOT NULL OR toxicity_metric IS NOT NULL OR hazard_category IS NOT NULL GROUP BY ALL"""
+_LIB = "WITH l AS (SELECT *, lpad(library_id::VARCHAR, 5, '0') AS n, library_id::VARCHAR AS i FROM chemical_library WHERE compound IS NOT NULL)"
+_SQUISHED = "trim(regexp_replace({0}, '[\\s\\pZ]+', ' ', 'g'))"
+_FOUND = f"""WITH nm AS ({_PROVIDERS["name_matches"]}), m AS (SELECT query, nm.library_id AS entry_id, CASE compound_type WHEN 'class A' THEN 'compound' WHEN 'class B' THEN 'drug' ELSE 'other' END AS "database", score FROM nm JOIN chemical_library USING (library_id)),
+ac AS (SELECT query, entry_id, "database", row_number() OVER (PARTITION BY query ORDER BY CASE "database" WHEN 'compound' THEN 0 WHEN 'drug' THEN 1 ELSE 2 END, entry_id) AS match_rank FROM m WHERE score = 0 QUALIFY match_rank <= 2)
+"""
+_CTX = f"""WITH e AS (SELECT {words_sql("species")} AS species_key, {_name_key("compound_name")} AS compound_key, {non("source_record_id")} AS record, kind, value, confidence, curation_flag, matched_rank FROM (SELECT *, unnest(['plant_part', 'tissue', 'method']) AS kind, unnest([plant_part_group, tissue_group, method_group]) AS value FROM plant_compounds) WHERE {known("value")}),
+mc AS (SELECT species_key, compound_key, record, kind, value, CASE max(CASE lower(trim(confidence)) WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' END AS confidence, CASE WHEN bool_and(coalesce(curation_flag = 'needs_review', false)) THEN 'Yes' ELSE 'No' END AS review,
+  nullif(string_agg(DISTINCT {non("curation_flag")}, '; ' ORDER BY {non("curation_flag")}), '') AS texts, nullif(string_agg(DISTINCT {non("matched_rank")}, '; ' ORDER BY {non("matched_rank")}), '') AS rules, count(*) AS n_rows FROM e GROUP BY 1, 2, 3, 4, 5)
+"""
+_RANK = "ROW(CASE confidence WHEN 'high' THEN -3 WHEN 'medium' THEN -2 WHEN 'low' THEN -1 ELSE 0 END, value)"
+_PICKS = ", ".join(f"arg_min(value, {_RANK}) FILTER (kind = '{k}') AS {k}" for k in ("plant_part", "tissue", "method"))
+_FILL = ", ".join(f"CASE WHEN {known('p.' + c)} THEN p.{c} ELSE coalesce(x.{k}, y.{k}, p.{c}) END AS {k}" for k, c in (("plant_part", "plant_part_group"), ("tissue", "tissue_group"))) + ", coalesce(x.method, y.method) AS method"
+
+
+def _checks(*rows: tuple[str, str, str]) -> str:
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS \"check\", ({v})::BIGINT AS value, '{k}' AS kind FROM q" for n, v, k in rows)
+    return f"SELECT \"check\", value, CASE WHEN value > 0 OR kind = 'info' THEN kind ELSE 'pass' END AS status FROM ({parts})"
+
+
+ORACLES = {
+    "chemical_classes": _CLASSES + f"SELECT query, cid, class_system, class_type, class_id, class_name, class_group, {_joined('source_table')}, {_joined('extraction_rule')}, min(evidence_text) AS evidence_text, {_BEST}, count(*) AS n_rows FROM a GROUP BY 1, 2, 3, 4, 5, 6, 7",
+    "chemical_uses": _USES + f"SELECT query, cid, use_domain, use_type, use_term, use_group, {_joined('source_table')}, {_joined('extraction_rule')}, {_BEST}, count(*) AS n_rows FROM b GROUP BY 1, 2, 3, 4, 5, 6",
+    "chemical_bioassays": "WITH e AS (SELECT user_id AS query, NULL AS cid, event_id % 40 AS aid, event_type AS assay_name, CASE event_type WHEN 'click' THEN 'Active' WHEN 'view' THEN 'Inconclusive' END AS outcome, 'Potency' AS activity_name, value, 'uM' AS unit, CASE WHEN event_type = 'signup' THEN 'P12345' END AS accession FROM events) SELECT DISTINCT query, cid, aid, assay_name, outcome, CASE outcome WHEN 'Active' THEN 'active' WHEN 'Inconclusive' THEN 'inconclusive' ELSE 'unspecified' END AS activity_class, activity_name, value, unit, coalesce(accession, CASE WHEN n_nationkey IS NOT NULL THEN 'Q1' END) AS accession, NULL AS gene, coalesce(n_name, accession) AS target_name, CASE WHEN n_nationkey IS NOT NULL THEN 'human' END AS target_organism, NULL AS target_common_name, CASE WHEN n_nationkey IS NOT NULL THEN 'IC50; Ki' END AS endpoint_names, CASE WHEN n_nationkey IS NOT NULL THEN 2 ELSE 0 END AS n_endpoints, CASE WHEN n_nationkey IS NOT NULL THEN 'pubchem_assay_summary; pubchem_assay_detail' ELSE 'pubchem_assay_summary' END AS extraction_rule, CASE WHEN outcome IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence FROM e LEFT JOIN nation ON n_nationkey = aid",
+    "chemical_taxonomy": _TAXA + "SELECT * FROM tx",
+    "chemical_occurrences": _TAXA + f"SELECT query, cid, taxonomy_id, organism, kingdom, family, genus, species, 'species_occurrence' AS occurrence_type, {_joined('natural_product_class')}, {_joined('source')}, 'lotus_taxonomy_regex' AS extraction_rule, NULL::VARCHAR AS common_name, {_BEST}, count(*) AS n_rows FROM tx GROUP BY 1, 2, 3, 4, 5, 6, 7, 8",
+    "chemical_hazards": _HAZARDS,
+    "record_identifiers": _LIB + " SELECT library_id AS record, 'CAS' AS identifier_type, '50-' || n[4:5] || '-1' AS identifier, 'DBLINKS' AS field FROM l UNION SELECT library_id, 'PubChem', unnest([i, n]), 'DBLINKS' FROM l UNION SELECT library_id, 'KEGG', 'C' || n, 'ENTRY' FROM l UNION SELECT library_id, 'KEGG', unnest(['R' || n, 'R9' || n[2:5]]), 'REACTION' FROM l UNION SELECT library_id, 'EC', '1.1.1.' || i, 'ENZYME' FROM l UNION SELECT library_id, 'KEGG', 'M' || n, 'MODULE' FROM l",
+    "record_reactions": _LIB + " SELECT library_id AS record, 'R' || n AS reaction_id, CASE WHEN compound_type = 'class A' THEN compound || ' reaction' END AS name, CASE WHEN compound_type = 'class A' THEN 'water + 2 sugar <=> acid' END AS definition, CASE WHEN compound_type = 'class A' THEN 'C' || n || ' + 2 C00001 <=> C90001' END AS equation, 'record' AS evidence FROM l UNION ALL SELECT library_id, 'R9' || n[2:5], NULL, NULL, NULL, 'record' FROM l UNION ALL SELECT library_id, 'R8' || n[2:5], NULL, NULL, NULL, 'link' FROM l WHERE also_called IS NOT NULL",
+    "record_enzymes": _LIB + " SELECT library_id AS record, '1.1.1.' || i AS ec_number, NULL AS name, 'Oxidoreductases' AS enzyme_class, 'record' AS evidence FROM l",
+    "record_modules": _LIB + f" SELECT library_id AS record, 'M' || n AS module_id, {_SQUISHED.format('compound')} || ' synthesis' AS name, NULL AS definition, 'record' AS evidence FROM l",
+    "record_classifications": _LIB + f" SELECT library_id AS record, 'KEGG pathway group' AS classification_type, 'Secondary metabolism' AS classification, 'M' || n || ' ' || {_SQUISHED.format('compound')} || ' synthesis' AS evidence FROM l UNION ALL SELECT library_id, 'EC enzyme class', 'Oxidoreductases', '1.1.1.' || i FROM l UNION ALL SELECT library_id, 'KEGG BRITE', coalesce(compound_type, 'none') || ' [BR:08001]', 'BRITE' FROM l",
+    "record_participants": _LIB + " SELECT library_id AS record, 'R' || n AS reaction_id, unnest(['substrate', 'substrate', 'product']) AS side, unnest([0, 1, 0]) AS place, unnest(['C' || n, 'C00001', 'C90001']) AS participant_id, unnest(['water', 'sugar', 'acid']) AS participant_name FROM l WHERE compound_type = 'class A'",
+    "search_candidates": _FOUND + "SELECT m.query, m.entry_id, m.\"database\", score, CASE WHEN score = 0 THEN 'Yes' ELSE 'No' END AS accepted, CASE WHEN score <> 0 THEN 'broad_name_match_not_exact' END AS rejection, match_rank FROM m LEFT JOIN ac USING (query, entry_id, \"database\")",
+    "entry_queries": _FOUND + "SELECT library_id AS entry_id, coalesce(q, '(none)') AS query FROM chemical_library LEFT JOIN (SELECT entry_id, arg_min(query, ROW(match_rank, query)) AS q FROM ac GROUP BY 1) ON entry_id = library_id",
+    "identity_review": f"WITH r AS (SELECT compound_name_clean, min(CASE WHEN {known('inchikey')} OR {known('cid')} THEN 1 WHEN {known('smiles')} THEN 2 WHEN {known('compound_id')} THEN 3 ELSE 4 END) AS r, count(DISTINCT {non('inchikey')}) AS n_structures, count(DISTINCT {non('compound_id')}) AS n_ids, count(*) AS n_records, count(DISTINCT {non('species')}) AS n_species FROM plant_compounds WHERE {known('compound_name_clean')} GROUP BY 1) SELECT * EXCLUDE (r), CASE WHEN n_structures > 1 THEN 'ambiguous' ELSE ['resolved', 'structure_only', 'identifier_only', 'unresolved'][r] END AS issue FROM r WHERE n_species >= 2",
+    "identity_review_applied": f"WITH v AS (SELECT compound_name_clean, CASE WHEN curation_flag = 'checked' AND {non('inchikey')} IS NOT NULL THEN 'accepted' ELSE 'rejected' END AS d, CASE WHEN curation_flag = 'checked' THEN upper({non('inchikey')}) END AS k FROM plant_compounds WHERE curation_flag IN ('checked', 'needs_review') AND {known('compound_name_clean')}), g AS (SELECT compound_name_clean, count(DISTINCT d) AS n, count(DISTINCT k) AS m, min(d) AS d, min(k) AS k FROM v GROUP BY 1) SELECT occurrence_id, coalesce(CASE WHEN n = 1 AND m = 1 THEN k END, inchikey) AS inchikey, CASE WHEN n > 1 OR m > 1 THEN 'conflicting' ELSE coalesce(d, 'not_reviewed') END AS identity_decision FROM plant_compounds LEFT JOIN g USING (compound_name_clean)",
+    "identity_audit_summary": f"WITH q AS (SELECT count(*) AS n, count(*) - count(DISTINCT occurrence_id) AS dup, count(*) FILTER (issue = 'unresolved') AS u, count(*) FILTER (risks <> '') AS w FROM ({_PROVIDERS['identity_audit']})) " + _checks(("records", "n", "info"), ("repeated_identifiers", "dup", "fail"), ("unresolved", "u", "warn"), ("with_risks", "w", "warn"), ("invalid_confidence", "0", "fail")),
+    "manifest_checks": "WITH q AS (SELECT count(*) AS n, count(source_database) - count(DISTINCT source_database) AS dup, count(*) FILTER (coalesce(trim(source_database), '') = '') AS b, count(*) FILTER (trust_rank = 2) AS odd, count(*) FILTER (trust_rank = 1) AS p, count(*) FILTER (trust_rank < 0) AS neg FROM provider_sources) " + _checks(("stages", "n", "info"), ("repeated_stages", "dup", "fail"), ("blank_stages", "b", "fail"), ("unknown_statuses", "odd", "fail"), ("complete_without_path", "p", "fail"), ("negative_rows", "neg", "fail")),
+    "provider_diagnostics": f"WITH g AS (SELECT source_database, species, count(inchikey) AS n_records, {non('max(curation_flag)')} AS message FROM plant_compounds GROUP BY 1, 2) SELECT lower({non('source_database')}) AS provider, {non('species')} AS query, CASE WHEN n_records > 0 THEN 'complete' WHEN message IS NOT NULL THEN 'failed' ELSE 'no_records' END AS status, n_records, message FROM g",
+    "merged_context": _CTX + "SELECT * FROM mc",
+    "applied_context": _CTX + f""", us AS (SELECT * FROM mc WHERE review = 'No'), x AS (SELECT species_key, compound_key, record, {_PICKS} FROM us WHERE record IS NOT NULL GROUP BY 1, 2, 3), y AS (SELECT species_key, compound_key, {_PICKS} FROM us GROUP BY 1, 2),
+p AS (SELECT occurrence_id, plant_part_group, tissue_group, {words_sql("species")} AS sk, {_name_key("compound_name")} AS ck, {non("source_record_id")} AS rc FROM plant_compounds)
+SELECT occurrence_id, {_FILL} FROM p LEFT JOIN x ON x.species_key = sk AND x.compound_key = ck AND x.record = rc LEFT JOIN y ON y.species_key = sk AND y.compound_key = ck""",
+    "collapsed_membership": f"WITH n AS (SELECT species, compound_id, {non('compound_name_clean')} AS name, count(*) AS n FROM plant_compounds WHERE {non('species')} IS NOT NULL AND {non('compound_id')} IS NOT NULL GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY species, compound_id ORDER BY name IS NULL, length(name), name) AS place FROM n) SELECT species, compound_id, sum(n)::BIGINT AS n_rows, count(name) AS n_names, string_agg(name, '; ' ORDER BY place) FILTER (place <= 10 AND name IS NOT NULL) AS names FROM r GROUP BY 1, 2",
+    "group_compound_pairs": "WITH p AS (SELECT least(compound_id_a, compound_id_b) AS a, greatest(compound_id_a, compound_id_b) AS b, max(tanimoto) AS tanimoto FROM plant_compound_pair_tanimoto WHERE tanimoto >= 0.5 GROUP BY 1, 2), m AS (SELECT DISTINCT compound_id, plant_part_group AS g FROM plant_compounds WHERE compound_id IS NOT NULL AND plant_part_group IS NOT NULL), j AS (SELECT a, b, tanimoto, x.g AS ga, y.g AS gb FROM p JOIN m x ON x.compound_id = a JOIN m y ON y.compound_id = b WHERE a < b AND x.g <> y.g) SELECT least(ga, gb) AS group_1, CASE WHEN ga < gb THEN a ELSE b END AS compound_1, greatest(ga, gb) AS group_2, CASE WHEN ga < gb THEN b ELSE a END AS compound_2, tanimoto FROM j",
+    "preparation_checks": f"WITH q AS (SELECT count(*) AS n, count(*) FILTER (eligible) AS e, count(*) FILTER (eligible AND structure_id IS NULL) AS s, count(*) FILTER (eligible AND {non('species')} IS NULL) AS g, count(*) FILTER (NOT eligible AND exclusion_reason IS NULL) AS x, count(*) FILTER (eligible AND exclusion_reason IS NOT NULL) AS y FROM ({_CONTEXT['similarity_input']})) " + _checks(("rows", "n", "info"), ("eligible_rows", "e", "info"), ("eligible_without_structure", "s", "fail"), ("eligible_without_group", "g", "fail"), ("excluded_without_reason", "x", "fail"), ("eligible_with_reason", "y", "fail"), ("excluded_rows", "n - e", "warn")),
+    "provider_availability": _IX + " SELECT s AS source, count(record_id IS NOT NULL OR source IS NOT NULL) FILTER (key IS NOT NULL) AS n_records, count(DISTINCT species_key) AS n_species, CASE WHEN count(key) > 0 THEN 'ready' ELSE 'empty' END AS status FROM (SELECT unnest(['phydorex', 'herborum', 'nowhere']) AS s) LEFT JOIN (SELECT * FROM ix WHERE key_type = 'species') i ON lower(i.source) = s GROUP BY s",
+    "provider_gate": f"WITH ac AS ({_PROVIDERS['query_accounting']}) SELECT source, count(DISTINCT CASE WHEN status <> 'no_records' THEN plant_id END) AS n_plants, round(count(DISTINCT CASE WHEN status <> 'no_records' THEN plant_id END) / (SELECT count(*) FROM plant_metadata), 4) AS share, CASE WHEN round(count(DISTINCT CASE WHEN status <> 'no_records' THEN plant_id END) / (SELECT count(*) FROM plant_metadata), 4) >= 0.5 THEN 'pass' ELSE 'fail' END AS gate FROM ac GROUP BY source",
+    "remapped_queries": f"WITH a AS (SELECT {words_sql('species')} AS k, min(list_id) AS q FROM plant_list WHERE {words_sql('species')} <> '' GROUP BY 1), b AS (SELECT {words_sql('genus')} AS k, min(metadata_id) + 100000 AS q FROM plant_metadata WHERE {words_sql('genus')} <> '' GROUP BY 1) SELECT metadata_id, coalesce(a.q, b.q) AS query_id FROM plant_metadata m LEFT JOIN a ON a.k = {words_sql('m.species')} LEFT JOIN b ON b.k = {words_sql('m.genus')}",
+    "scope_rollup": f"SELECT comparison_scope, comparison_group, count(*) AS n_rows, count(DISTINCT {non('compound_id')}) AS n_compounds, grouping(comparison_scope) + grouping(comparison_group) AS level FROM plant_compounds GROUP BY ROLLUP (comparison_scope, comparison_group)",
+    "scope_cube": f"SELECT comparison_scope, matched_rank, count(*) AS n_rows, count(DISTINCT {non('compound_id')}) AS n_compounds, grouping(comparison_scope) + grouping(matched_rank) AS level FROM plant_compounds GROUP BY CUBE (comparison_scope, matched_rank)",
+    "monthly_records": "SELECT strftime(retrieved_at, '%Y-%m') AS month, count(*) AS n_rows, round(avg(date_diff('day', retrieved_at::DATE, loaded_at::DATE)), 3) AS mean_days, count(*) FILTER (dayofweek(retrieved_at) IN (0, 6)) AS n_weekend, quarter(max(retrieved_at)) AS quarter FROM plant_compounds GROUP BY 1",
+    "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+}
