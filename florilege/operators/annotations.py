@@ -111,7 +111,8 @@ def terms(tables: list[tuple[DataFrame, str, list[str]]]) -> DataFrame:
         part = df.select("query", F.lit(domain).alias("domain"), pairs).select("query", "domain", "p.term_type", F.explode(F.split("p.raw", r"\s*[;|]\s*")).alias("term_raw")).filter(non_empty(F.col("term_raw")).isNotNull())
         out = part if out is None else out.unionByName(part)
     clean, group, confidence = term_lookup(F.col("term_raw"))
-    return out.select("query", "domain", "term_type", "term_raw", clean.alias("term"), group.alias("term_group"), confidence.alias("confidence")).distinct()
+    out = rules.hold(rules.hold(rules.hold(out.distinct(), term=clean), term_group=group), confidence=confidence)  # one after the other, as all in one would be too long to compile
+    return out.select("query", "domain", "term_type", "term_raw", "term", "term_group", "confidence")
 
 
 def pathway_rows(records: DataFrame, links: DataFrame, metadata: DataFrame) -> DataFrame:

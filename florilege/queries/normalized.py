@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from florilege.functions.rules import formula_mass
+from florilege.functions.rules import formula_mass, pathway_group
 from florilege.operators import annotations as A
 from florilege.operators import context as C
 from florilege.operators import normalized as Z
@@ -70,6 +70,19 @@ def chemical_hazards(spark, d):
     return Z.chemical_hazards(notes.unionByName(docs))
 
 
+def derived_profile(spark, d):
+    """The 73 columns of every compound, out of its records, annotations and the assays that carry its number."""
+    rows = _rows(spark, d)
+    assays = chemical_bioassays(spark, d).withColumn("query", F.concat(F.lit("cid_"), (F.col("query") + 700000).cast("string"))).withColumn("bioactivity_domain", F.when(F.col("assay_name") == "click", "kinase_signaling"))
+    mass = formula_mass(F.col("molecular_formula"))
+    tables = {
+        "properties": rows.select("query", "cid", "molecular_formula", mass.alias("molecular_weight"), mass.alias("exact_mass"), (mass / 5).alias("tpsa")), "coverage": rows.groupBy("query", F.upper(F.trim("source_database")).alias("source")).agg(F.count(F.lit(1)).alias("n_records")),
+        "classes": chemical_classes(spark, d), "occurrences": chemical_occurrences(spark, d), "bioassays": assays, "uses": chemical_uses(spark, d), "hazards": chemical_hazards(spark, d),
+        "pathways": rows.select("query", pathway_group(F.regexp_replace("comparison_subgroup", "_", " ")).alias("pathway_group")).distinct(), "literature": rows.filter("citation_or_url like '%/doc/%'").select("query"),
+    }
+    return Z.derived_profile(rows, {name: stage(df, name) for name, df in tables.items()})
+
+
 def normalized_traits(spark, d):
     """Traits of seven tables."""
     rows = _rows(spark, d)
@@ -79,7 +92,7 @@ def normalized_traits(spark, d):
         "measurements": rows.select("query", "cid", F.lit("exact_mass").alias("property"), formula_mass(F.col("molecular_formula")).alias("value"), F.lit("high").alias("confidence"), F.lit("formula").alias("extraction_rule")),
         "terms": A.terms([(rows.select("query", "comparison_subgroup"), "classification", ["comparison_subgroup"])]), "hazards": chemical_hazards(spark, d),
     }
-    return T.dedupe_traits(T.build_traits(Z.all_traits(tables)))
+    return T.dedupe_traits(T.build_traits(stage(Z.all_traits({name: stage(df, name) for name, df in tables.items()}), "trait-rows")))
 
 
 def _records(spark, d):
@@ -238,7 +251,7 @@ def event_windows(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        chemical_classes, chemical_uses, chemical_bioassays, chemical_taxonomy, chemical_occurrences, chemical_hazards, normalized_traits, record_identifiers, record_reactions, record_enzymes, record_modules, record_classifications, record_participants,
+        chemical_classes, chemical_uses, chemical_bioassays, chemical_taxonomy, chemical_occurrences, chemical_hazards, derived_profile, normalized_traits, record_identifiers, record_reactions, record_enzymes, record_modules, record_classifications, record_participants,
         search_candidates, entry_queries, identity_review, identity_review_applied, identity_audit_summary, manifest_checks, provider_diagnostics, merged_context, applied_context, collapsed_membership, group_compound_pairs, preparation_checks,
         provider_availability, provider_gate, remapped_queries, scope_rollup, scope_cube, monthly_records, event_windows,
     )
