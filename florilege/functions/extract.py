@@ -55,7 +55,7 @@ def reaction_participants(df: DataFrame, row_id: str, equation: str, definition:
 
     both = df.filter(F.size(sides(equation)) == 2).select(row_id, sides(equation).alias("e"), sides(definition).alias("d"))
     side = both.select(row_id, F.posexplode("e").alias("s", "part"), "d")
-    pieces = side.select(row_id, "s", F.posexplode(F.split("part", r"\s+\+\s+")).alias("place", "piece"), F.split(F.col("d")[F.col("s")], r"\s+\+\s+").alias("names"))
+    pieces = side.select(row_id, "s", F.posexplode(F.split("part", r"\s+\+\s+")).alias("place", "piece"), F.split(F.get("d", F.col("s")), r"\s+\+\s+").alias("names"))
     ids = pieces.select(row_id, "s", "place", F.explode(all_matches(F.col("piece"), r"\b[CDG]\d{5}\b")).alias("participant_id"), non_empty(F.regexp_replace(F.try_element_at("names", F.col("place") + 1), r"^\d+\s+", "")).alias("participant_name"))
     return ids.select(row_id, F.when(F.col("s") == 0, "substrate").otherwise("product").alias("side"), "place", "participant_id", "participant_name")
 

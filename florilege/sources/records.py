@@ -80,8 +80,8 @@ def property_table(df: DataFrame, row_id: str, column: str) -> DataFrame:
 def synonym_rows(df: DataFrame, column: str) -> DataFrame:
     """Distinct (cid, synonym) of {"InformationList": {"Information": [{"CID": ..., "Synonym": [...]}]}}."""
     t = F.from_json(F.col(column), "struct<InformationList: struct<Information: array<struct<CID: bigint, Synonym: array<string>>>>>")
-    rows = df.select(F.explode(t["InformationList"]["Information"]).alias("i"))
-    return rows.select(F.col("i.CID").alias("cid"), non_empty(F.explode("i.Synonym")).alias("synonym")).filter("synonym is not null").distinct()
+    rows = df.select(F.explode(t["InformationList"]["Information"]).alias("i")).select(F.col("i.CID").alias("cid"), F.explode("i.Synonym").alias("s"))
+    return rows.select("cid", non_empty(F.col("s")).alias("synonym")).filter("synonym is not null").distinct()
 
 
 def alias_cid(c: Column) -> Column:

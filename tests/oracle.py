@@ -11,6 +11,8 @@ def canon(v):
         return None
     if isinstance(v, float):
         return repr(round(v, 9))
+    if hasattr(v, "isoformat"):
+        return v.replace(tzinfo=None).isoformat() if hasattr(v, "hour") else v.isoformat()
     return str(v)
 
 

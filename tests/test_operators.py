@@ -110,8 +110,8 @@ def test_traits(spark):
     got = traits.dedupe_traits(traits.build_traits(spark.createDataFrame(rows, cols))).orderBy("query").collect()
     assert [(r["matrix_key"], r["confidence_score"], r["n_rows"]) for r in got] == [("hazard__hazard_code__h319", 1.0, 2), ("use__odor__citrus", 0.65, 1)]
     term, group, conf = traits.term_lookup(F.col("c"))
-    looked = [tuple(r) for r in spark.createDataFrame([("Lemon peel",), ("H319",), ("odd Thing",), (None,)], "c string").select(term, group, conf).collect()]
-    assert looked == [("citrus", "citrus", "high"), ("h319", "hazard_code", "high"), ("odd thing", "odd thing", "medium"), (None, None, "low")]
+    looked = [tuple(r) for r in spark.createDataFrame([("Lemon peel",), (" H319 ",), ("h290",), ("odd Thing",), (None,)], "c string").select(term, group, conf).collect()]
+    assert looked == [("citrus", "citrus", "high"), ("h319", "eye_damage_irritation", "high"), ("h290", "hazard_code", "high"), ("odd thing", "odd thing", "medium"), (None, None, "low")]
 
 
 def test_standards(spark):
@@ -130,7 +130,7 @@ def test_flat_records_links_and_json(spark):
     assert [tuple(r) for r in records.flat_record_fields(df, "id", "body").orderBy("field", "place").collect()] == [(1, "ENTRY", 1, "C00001"), (1, "NAME", 1, "Water"), (1, "NAME", 2, "H2O")]
     assert [tuple(r) for r in records.json_scalars(df, "id", "js").collect()] == [(1, "a", "1")]
     nested = '{"Record": {"Section": [{"TOCHeading": "Safety", "Section": [{"TOCHeading": "GHS", "Information": [{"Name": "Code", "ReferenceNumber": 7, "Value": {"StringWithMarkup": [{"String": "H319"}]}}]}]}]}}'
-    got = records.nested_sections(spark.createDataFrame([(1, nested), (2, None)], "id int, d string"), "id", "d").collect()
+    got = records.nested_sections(spark.createDataFrame([(1, nested), (2, None), (3, "bad{")], "id int, d string"), "id", "d").collect()
     assert [(r["path"], r["text"], r["reference"]) for r in got] == [("Safety > GHS", "H319", 7)]
     links = spark.createDataFrame([(1, "cpd:C1\tpath:map001\ncpd:C1\tpath:map001")], "id int, b string")
     assert [tuple(r)[1:] for r in records.link_lines(links, "id", "b").collect()] == [("cpd:C1", "path", "map001")]
