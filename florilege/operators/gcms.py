@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from florilege.functions.rules import hold
 from florilege.functions.text import non_empty, squish
 from florilege.session import stage
 
@@ -123,7 +124,13 @@ def _claims(rest: DataFrame, ordered: DataFrame) -> DataFrame:
     places = F.array_sort(F.flatten(F.transform(F.array_distinct("mz"), lambda m: F.coalesce(F.try_element_at("at_mz", m), F.array().cast("array<int>")))))
     twice = F.filter(F.col("p"), lambda x, i: (i > 0) & (F.get(F.col("p"), i - 1) == x) & F.coalesce(F.get(F.col("limits"), x - 1) >= F.col("component_rt"), F.lit(False)))
     tables = (at_mz, [limits[k] for k in range(1, len(limits) + 1)])
-    met = attach(rest, tables, f"at_mz map<{mz_type}, array<int>>, limits array<double>").withColumn("p", places).withColumn("p", F.array_distinct(twice)).filter(F.size("p") > 0).drop("at_mz", "limits")
+    met = attach(rest, tables, f"at_mz map<{mz_type}, array<int>>, limits array<double>")
+    at = lambda k: F.try_element_at("at_mz", F.get("mz", k))
+    pair = F.array_sort(F.array_intersect(at(0), at(1)))  # two different m/z values are the common case, and cheaper than the count below
+    of_two = (F.size("mz") == 2) & (F.get("mz", 0) != F.get("mz", 1))
+    in_time = lambda x: F.coalesce(F.get(F.col("limits"), x - 1) >= F.col("component_rt"), F.lit(False))
+    met = hold(met, p=F.when(of_two, F.coalesce(pair, F.array().cast("array<int>"))).otherwise(places))  # computed once a row: inlined into the filter it would be computed for every element
+    met = stage(met.withColumn("p", F.when(of_two, F.filter("p", in_time)).otherwise(F.array_distinct(twice))).filter(F.size("p") > 0).drop("at_mz", "limits"), "gcms-met")
     best = {r["place"]: r["rt"] for r in met.select(F.explode("p").alias("place"), "component_rt").groupBy("place").agg(F.max("component_rt").alias("rt")).collect()}  # one row per target
     near = lambda x: F.abs(F.col("component_rt") - F.get(F.col("best"), x - 1)) <= RT_BAND
     taken = attach(met, ([best.get(k) for k in range(1, len(limits) + 1)],), "best array<double>")
