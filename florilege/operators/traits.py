@@ -341,9 +341,10 @@ def trait_summary(traits: DataFrame, by: str = "type", min_confidence: str | flo
 
 
 def trait_sets(source: DataFrame, key: str = "matrix_key") -> DataFrame:
-    """(representative, class_size, keys) of every class of compounds with the same keys, written once; the keys are sorted."""
+    """(representative, class_size, keys, ids) of every class of compounds with the same keys, written once; the keys are sorted, the ids are their 64-bit hashes."""
     sets = source.groupBy("query").agg(F.array_sort(F.collect_set(key)).alias("keys"))  # one compound's keys, bounded by the number of keys
-    return stage(sets.groupBy("keys").agg(F.min("query").alias("representative"), F.count(F.lit(1)).alias("class_size")), "trait-sets")
+    classes = sets.groupBy("keys").agg(F.min("query").alias("representative"), F.count(F.lit(1)).alias("class_size"))
+    return stage(classes.withColumn("ids", F.transform("keys", lambda k: F.xxhash64(k))), "trait-sets")
 
 
 def trait_classes(source: DataFrame, key: str = "matrix_key") -> DataFrame:
@@ -354,26 +355,25 @@ def trait_classes(source: DataFrame, key: str = "matrix_key") -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """The rarest keys of every set, as many as a partner with at least that Jaccard must share one of: representative, n_keys, key."""
-    keys = sets.select("representative", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
-    place = F.row_number().over(Window.partitionBy("representative").orderBy("often", "key"))
+    """The rarest keys of every set, as many as a partner with at least that Jaccard must share one of: representative, n_keys, id."""
+    keys = sets.select("representative", F.size("ids").alias("n_keys"), F.explode("ids").alias("id"))
+    often = keys.groupBy("id").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("representative").orderBy("often", "id"))
     most = F.col("n_keys") - F.ceil(F.lit(least) * F.col("n_keys") - 1e-9) + 1
-    return stage(keys.join(often, "key").withColumn("place", place).filter(F.col("place") <= most).select("representative", "n_keys", "key"), "trait-prefixes")
+    return stage(keys.join(often, "id").withColumn("place", place).filter(F.col("place") <= most).select("representative", "n_keys", "id"), "trait-prefixes")
 
 
 def _similar(sets: DataFrame, least: float, asked: DataFrame | None = None) -> DataFrame:
-    """Pairs of sets with at least that Jaccard (0: with any key in common): a, b and measures; with ``asked`` (representative) all partners of those, else a < b."""
+    """Pairs of sets with at least that Jaccard (0: with any key in common): a, b, class and set sizes, shared and united keys; with ``asked`` (representative) all partners of those, else a < b."""
     sent = _prefixes(sets, least)
     left = sent if asked is None else sent.join(asked, "representative", "left_semi")
     a, b = left.alias("a"), sent.alias("b")
     other = F.col("a.representative") < F.col("b.representative") if asked is None else F.col("a.representative") != F.col("b.representative")
     sizes = (F.col("a.n_keys") >= F.col("b.n_keys") * least - 1e-9) & (F.col("b.n_keys") >= F.col("a.n_keys") * least - 1e-9)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & other & sizes).select(F.col("a.representative").alias("a"), F.col("b.representative").alias("b")).distinct()
-    side = lambda s: sets.select(F.col("representative").alias(s), F.col("class_size").alias("n_" + s), F.col("keys").alias("keys_" + s))
-    both = met.join(side("a"), "a").join(side("b"), "b").withColumn("shared", F.array_intersect("keys_a", "keys_b")).withColumn("n_shared", F.size("shared"))
-    union = F.size("keys_a") + F.size("keys_b") - F.col("n_shared")
-    return both.withColumn("n_union", union).filter(F.col("n_shared") >= F.lit(least) * F.col("n_union") - 1e-9)
+    met = a.join(b, (F.col("a.id") == F.col("b.id")) & other & sizes).select(F.col("a.representative").alias("a"), F.col("b.representative").alias("b")).distinct()
+    side = lambda s: sets.select(F.col("representative").alias(s), F.col("class_size").alias("n_" + s), F.col("ids").alias("ids_" + s))
+    counted = met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", F.size("ids_a").alias("size_a"), F.size("ids_b").alias("size_b"), F.size(F.array_intersect("ids_a", "ids_b")).alias("n_shared"))
+    return counted.withColumn("n_union", F.col("size_a") + F.col("size_b") - F.col("n_shared")).filter(F.col("n_shared") >= F.lit(least) * F.col("n_union") - 1e-9)
 
 
 def trait_similarity(source: DataFrame, key: str = "matrix_key", least: float = 0.5, top_n: int = 12) -> DataFrame:
@@ -384,12 +384,14 @@ def trait_similarity(source: DataFrame, key: str = "matrix_key", least: float =
     membership. Only the rarest keys of each set are joined, so what is written grows with the pairs that
     are similar. With ``least`` 0 all pairs with a key in common come out; pairs without any have Jaccard 0.
     """
-    both = _similar(trait_sets(source, key), least)
-    only_a, only_b = F.array_except("keys_a", "keys_b"), F.array_except("keys_b", "keys_a")
+    sets = trait_sets(source, key)
+    side = lambda s: sets.select(F.col("representative").alias(s), F.col("keys").alias("keys_" + s))
+    both = _similar(sets, least).join(side("a"), "a").join(side("b"), "b")
+    shared, only_a, only_b = F.array_intersect("keys_a", "keys_b"), F.array_except("keys_a", "keys_b"), F.array_except("keys_b", "keys_a")
     listed = lambda c: F.when(F.size(c) > 0, F.array_join(F.slice(c, 1, top_n), "; "))
     return both.select(
-        "a", "b", "n_a", "n_b", "n_shared", "n_union", F.size(only_a).alias("n_only_a"), F.size(only_b).alias("n_only_b"), F.round(F.col("n_shared") / F.col("n_union"), 4).alias("jaccard"),
-        F.round(F.col("n_shared") / F.least(F.size("keys_a"), F.size("keys_b")), 4).alias("overlap"), listed(F.col("shared")).alias("shared_keys"), listed(only_a).alias("only_a_keys"), listed(only_b).alias("only_b_keys"),
+        "a", "b", "n_a", "n_b", "n_shared", "n_union", (F.col("size_a") - F.col("n_shared")).alias("n_only_a"), (F.col("size_b") - F.col("n_shared")).alias("n_only_b"), F.round(F.col("n_shared") / F.col("n_union"), 4).alias("jaccard"),
+        F.round(F.col("n_shared") / F.least("size_a", "size_b"), 4).alias("overlap"), listed(shared).alias("shared_keys"), listed(only_a).alias("only_a_keys"), listed(only_b).alias("only_b_keys"),
     )
 
 
