@@ -245,7 +245,26 @@ def event_windows(spark, d):
     """Events per hour and kind, as the stream counts them."""
     from florilege.streaming.incremental import windowed_counts
 
-    return windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    counts = windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+    return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def sql_functions(spark, d):
+    """The value rules as SQL functions, over the occurrence records."""
+    from florilege.functions.sql import register
+
+    register(spark)
+    table(spark, d, "plant_compounds").createOrReplaceTempView("fl_occurrences")
+    return spark.sql("SELECT fl_words_key(species) AS species_key, fl_slug(comparison_group) AS group_slug, count(*) AS n_rows, count_if(fl_known(tissue_group)) AS n_tissue, max(fl_confidence_rank(confidence)) AS best FROM fl_occurrences GROUP BY 1, 2")
+
+
+def sql_terms(spark, d):
+    """The other names of library entries, by the table function."""
+    from florilege.functions.sql import register
+
+    register(spark)
+    table(spark, d, "chemical_library").createOrReplaceTempView("fl_library")
+    return spark.sql("SELECT library_id, t.term FROM fl_library, LATERAL fl_terms(also_called) t")
 
 
 QUERIES = {
@@ -253,7 +272,7 @@ QUERIES = {
     for f in (
         chemical_classes, chemical_uses, chemical_bioassays, chemical_taxonomy, chemical_occurrences, chemical_hazards, derived_profile, normalized_traits, record_identifiers, record_reactions, record_enzymes, record_modules, record_classifications, record_participants,
         search_candidates, entry_queries, identity_review, identity_review_applied, identity_audit_summary, manifest_checks, provider_diagnostics, merged_context, applied_context, collapsed_membership, group_compound_pairs, preparation_checks,
-        provider_availability, provider_gate, remapped_queries, scope_rollup, scope_cube, monthly_records, event_windows,
+        provider_availability, provider_gate, remapped_queries, scope_rollup, scope_cube, monthly_records, event_windows, sql_functions, sql_terms,
     )
 }
 
@@ -358,4 +377,6 @@ SELECT occurrence_id, {_FILL} FROM p LEFT JOIN x ON x.species_key = sk AND x.com
     "scope_cube": f"SELECT comparison_scope, matched_rank, count(*) AS n_rows, count(DISTINCT {non('compound_id')}) AS n_compounds, grouping(comparison_scope) + grouping(matched_rank) AS level FROM plant_compounds GROUP BY CUBE (comparison_scope, matched_rank)",
     "monthly_records": "SELECT strftime(retrieved_at, '%Y-%m') AS month, count(*) AS n_rows, round(avg(date_diff('day', retrieved_at::DATE, loaded_at::DATE)), 3) AS mean_days, count(*) FILTER (dayofweek(retrieved_at) IN (0, 6)) AS n_weekend, quarter(max(retrieved_at)) AS quarter FROM plant_compounds GROUP BY 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "sql_functions": f"SELECT {words_sql('species')} AS species_key, regexp_replace(regexp_replace(comparison_group, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS group_slug, count(*) AS n_rows, count(*) FILTER ({known('tissue_group')}) AS n_tissue, max(CASE lower(trim(confidence)) WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END) AS best FROM plant_compounds GROUP BY 1, 2",
+    "sql_terms": "SELECT DISTINCT library_id, trim(t) AS term FROM (SELECT library_id, unnest(string_split(also_called, ';')) AS t FROM chemical_library) WHERE trim(t) <> ''",
 }
